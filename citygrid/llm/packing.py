@@ -4,7 +4,8 @@ The histogram of piece lengths (at most `size` entries, whatever the corpus) is
 1. lengths are put in bins of size / BINS tokens, rounded up; all patterns of up to PARTS bins that fill a sequence are listed;
 2. non-negative least squares (active sets) fits repeat counts of the patterns to the bins' counts; counts are rounded down, and
    further where a bin would run short;
-3. each pattern takes the longest lengths left in its bins, which gives patterns of exact lengths;
+3. each pattern takes the longest lengths left in its bins and, for its last place, the longest that still fits, which gives
+   patterns of exact lengths;
 4. what is left goes, longest first, to the fullest sequence that still has room (best fit), those of the patterns included, else to
    new sequences. Pieces of one length are alike, so this works on counts too.
 The result, slots (length, ranks from-to -> sequence and offset), has a bounded number of rows. Pieces get their rank among those of
@@ -14,6 +15,7 @@ their length from counts by (length, hash bucket) and a window inside a bucket,
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -82,12 +84,19 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], in
     out: list[tuple[tuple[int, ...], int]] = []
     if left[size]:
         out.append(((size,), left.pop(size)))
-    bin_of = lambda n: -(-n * BINS // size)
+    there = sorted(n for n in left if left[n] > 0)
     in_bin: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(left):
-        if left[n] > 0:
-            in_bin[bin_of(n)].append(n)
+    for n in there:
+        in_bin[-(-n * BINS // size)].append(n)
     bins = sorted(in_bin)
+
+    def longest(most: int, use: Counter) -> int | None:
+        """The longest length up to `most` of which there is one that `use` doesn't take."""
+        i = bisect_right(there, most) - 1
+        while i >= 0 and left[there[i]] <= use[there[i]]:
+            i -= 1
+        return there[i] if i >= 0 else None
+
     listed = patterns(bins)
     open_: dict[int, list[list]] = defaultdict(list)  # by room: [lengths, how many]
     if listed:
@@ -108,15 +117,20 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], in
             room -= need * times
             while times > 0:
                 parts, use = [], Counter()
-                for b in listed[j]:  # the longest left, as far as it isn't in use by this sequence already
-                    n = next(n for n in reversed(in_bin[b]) if left[n] - use[n] > 0)
+                for i, b in enumerate(listed[j]):  # the longest left in the bin; for the last place, the longest that fits
+                    most = size - sum(parts) if i == len(listed[j]) - 1 else b * size // BINS
+                    n = longest(most, use)
+                    if n is None:
+                        break
                     use[n] += 1
                     parts.append(n)
+                if len(parts) < 2:
+                    break
                 k = min(times, *(left[n] // c for n, c in use.items()))
                 for n, c in use.items():
                     left[n] -= c * k
-                    while in_bin[bin_of(n)] and left[in_bin[bin_of(n)][-1]] == 0:
-                        in_bin[bin_of(n)].pop()
+                    if left[n] == 0:
+                        del there[bisect_right(there, n) - 1]
                 open_[size - sum(parts)].append([tuple(parts), k])
                 times -= k
     for n in sorted((n for n in left if left[n] > 0), reverse=True):
