@@ -4,18 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .near_dedup import near_duplicates
+from .packing import pack, token_pieces
+from .quality import classify
+from .suffix_dedup import remove_repeats
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), 400).drop("removed")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_suffix_array_dedup, op4_minhash_near_dedup, op8_best_fit_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
