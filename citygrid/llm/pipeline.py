@@ -1 +1,53 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, with the columns of docs but for the last."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, near_dedup, packing, quality, secrets
+from .common import cut, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; blank ones go."""
+    return docs.where(quality.keeps(F.col("text").cast("string"), quality.fit(docs, table(spark, sf_dir, "labels")), spark))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8); equal rows fall together; without doc_id all stay."""
+    found = near_dedup.near_duplicates(docs, words=5, percent=80)
+    gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return docs.where(~decontaminate.has_leak(F.col("text").cast("string"), table(spark, sf_dir, "benchmark")))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark; n_chars follows."""
+    text = secrets.redact(F.col("text"), docs)
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents and their places in sequences."""
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Stage]]) -> DataFrame:
+    """The stages one after the other over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(stages):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(stages) - 1:
+            docs = cut(docs, name)
+    return docs

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -60,7 +60,7 @@ def votes(text: str | None) -> tuple[dict[str, list[int]], list[bytes]]:
     junk = [
         1 if symbols > 0.02 else -1,
         1 if shout > 0.2 else -1,
-        1 if n >= 12 and stutter > 0.2 else -1,
+        1 if n >= 20 and stutter > 0.2 else -1,
         1 if 40 <= n < 5000 and len(distinct) < 0.25 * n else -1,
         0 if symbols < 0.005 and shout < 0.02 and stutter < 0.1 and (n < 40 or len(bare & FREQUENT) > 3) else -1,
     ]
@@ -187,8 +187,8 @@ class Scorer:
         return (max(junk, 1.0), abuse) if not words else (junk, abuse)
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, junk_score, abuse_score, kept) for each row of docs(doc_id, text). labels: (doc_id, quality, toxic), 0 or 1 or null."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """Weights by question, from docs(doc_id, text). labels: (doc_id, quality, toxic), 0 or 1 or null."""
     spark = docs.sparkSession
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     voted = doc.mapInPandas(_codes, "doc_id long, junk string, abuse string")
@@ -213,7 +213,13 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
     texts = doc.join(F.broadcast(chosen.select("doc_id", "place", *QUESTIONS)), "doc_id").dropDuplicates(["doc_id"])  # chosen: at most `sample` short rows
     features = cut(texts.mapInPandas(_sample_features, "place long, junk double, abuse double, x binary"), "features")
     models = features.coalesce(1).mapInPandas(_train, "question string, weights binary").collect() if features.limit(1).count() else []
-    shared = spark.sparkContext.broadcast({m["question"]: np.frombuffer(m["weights"], np.float32) for m in models})
+    return {m["question"]: np.frombuffer(m["weights"], np.float32) for m in models}
+
+
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, junk_score, abuse_score, kept) for each row of docs(doc_id, text)."""
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))  # 2^BITS weights a question
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
@@ -222,3 +228,16 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "junk_score": s[:, 0], "abuse_score": s[:, 1], "kept": (s <= 0).all(axis=1)})
 
     return doc.mapInPandas(scored, "doc_id long, junk_score double, abuse_score double, kept boolean")
+
+
+def keeps(text: Column, weights: dict[str, np.ndarray], spark: SparkSession) -> Column:
+    """True where the classifier keeps the text."""
+    shared = spark.sparkContext.broadcast(weights)
+
+    @F.pandas_udf("boolean")
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for s in batches:
+            yield pd.Series([max(scorer.score(t)) <= 0 for t in s], dtype=bool)
+
+    return kept(text)

@@ -7,11 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, knn, warc
 from .common import table
+from .decontaminate import leaks
 from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
 from .quality import classify
+from .secrets import scan
 from .suffix_dedup import remove_repeats
+from .url_filter import judge
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.prefix_trees(chat.with_hard_case(table(spark, sf_dir, "conversations"))))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,18 +34,42 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return knn.top_k(e, e.where("vec_id % 50 = 0"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items of which they have passages."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their scores."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
 
 
+_ALL = (
+    op1_url_filter, op2_chat_formatting, op3_suffix_array_dedup, op4_minhash_near_dedup, op5_secret_scans, op6_exact_top_k, op7_warc, op8_best_fit_packing,
+    op9_benchmark_decontamination, op10_quality_classifier,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_suffix_array_dedup, op4_minhash_near_dedup, op8_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": chat.ORACLE_SQL, "op6_exact_top_k": knn.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
