@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citygrid.llm import pipeline as p
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", p.quality_classifier),
+    ("near_dedup", p.near_dedup_stage),
+    ("decontamination", p.decontamination),
+    ("secret_scan", p.secret_scan),
+    ("best_fit_packing", p.best_fit_packing),
+]
+#: Classifier, MinHash and tokens are beyond SQL; tests hold the pipeline against plain Python instead.
 ORACLE_SQL = None
 
 
