@@ -1,0 +1,6 @@
+"""The engine's queries: QUERIES by name, and SQL for those that SQL can express."""
+
+from . import grid
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "grid"]
