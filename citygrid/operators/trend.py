@@ -15,7 +15,7 @@ def trend(series: DataFrame, value: str = "value", keys: tuple[str, ...] = ("row
         F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("mean"), F.covar_pop(x, y).alias("sxy"), F.var_pop(x).alias("sxx"), F.var_pop(y).alias("syy")
     )
     ok = (F.col("n") >= 3) & (F.col("sxx") > 0)
-    slope = F.try_divide("sxy", "sxx")
+    slope = F.round(F.try_divide("sxy", "sxx"), 9)  # sums in another order don't turn a flat slope into a rising one
     r = F.when(F.col("syy") > 1e-12, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))))).otherwise(0.0)
     g = g.withColumns({"slope": F.when(ok, slope), "r": F.when(ok, r)})
     left = 1 - F.col("r") * F.col("r")

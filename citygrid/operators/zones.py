@@ -59,7 +59,7 @@ def spaced(cells: DataFrame, score: str, k: int, apart: float) -> DataFrame:
 
     k rounds of a top-1 and a filter; no cell but the k taken comes to the driver.
     """
-    left, taken = cells.where(F.col(score).isNotNull()).select("row", "col", F.col(score).alias("score")), []
+    left, taken = cut(cells.where(F.col(score).isNotNull()).select("row", "col", F.col(score).alias("score"))), []
     for _ in range(k):
         best = left.orderBy(F.desc("score"), "row", "col").limit(1).collect()
         if not best:
