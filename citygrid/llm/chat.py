@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 BUDGET = 65_536
 
@@ -109,7 +111,7 @@ def _packs(budget: int):
         if pack.conversations:
             yield pd.DataFrame([pack.row()], columns=["text", "nodes", "conversations"])
 
-    return run
+    return lean(run)
 
 
 def prefix_trees(conversations: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -117,7 +119,7 @@ def prefix_trees(conversations: DataFrame, budget: int = BUDGET) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), empty("role"), empty("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    keyed = whole.mapInPandas(_keys, "conv_id long, turns array<struct<turn:long,role:string,text:string>>, key string")
+    keyed = whole.mapInPandas(lean(_keys), "conv_id long, turns array<struct<turn:long,role:string,text:string>>, key string")
     spread = keyed.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
     return spread.mapInPandas(_packs(budget), PACK)
 
@@ -148,7 +150,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_back(packs: DataFrame) -> DataFrame:
     """Each conversation as its leaf sees it: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
-    return packs.mapInPandas(_read, READ)
+    return packs.mapInPandas(lean(_read), READ)
 
 
 HARD = "<|im_end|><|im_start|>assistant ok"

@@ -21,12 +21,10 @@ def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
         labels = labels.unionByName(start.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
     labels = cut(labels, "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label")), "b").select(F.col("a").alias("node"), "label")
-        least = labels.union(near.select("node", "label")).groupBy("node").agg(F.min("label").alias("label"))
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
+        least = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"))
-        new = cut(new, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
+        step = cut(least.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
+        labels = step.select("node", "label")
+        if not step.where("label <> old").limit(1).count():
             return labels

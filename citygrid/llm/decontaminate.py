@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 Q = 8
 W = 100
 MIN = 32
@@ -150,6 +152,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits): a row for each row of docs(doc_id, text) and item of which it has a passage."""
     spark = docs.sparkSession
+    small_batches(docs)
     schema = "doc_id long, item_id long, start long, end long, edits int"
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
@@ -159,17 +162,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def found(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = [(i, *x) for i, text in enumerate(pdf["text"]) for x in shared.value.find(text)]
-                frame = pd.DataFrame(rows, columns=["doc", "item_id", "start", "end", "edits"])
-                frame.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy()[frame.pop("doc").to_numpy(int)] if rows else [])
-                yield frame.astype({"doc_id": "Int64"})
+                frame = pd.DataFrame([x[1:] for x in rows], columns=["item_id", "start", "end", "edits"])
+                frame.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array[[x[0] for x in rows]])
+                yield frame
 
-        out = out.union(doc.mapInPandas(found, schema))
+        out = out.union(doc.mapInPandas(lean(found), schema))
     return out
 
 
 def has_leak(text: Column, benchmark: DataFrame) -> Column:
     """True where the text has a passage of the benchmark."""
     spark, any_ = benchmark.sparkSession, F.lit(False)
+    small_batches(benchmark)
     for b in blocks(benchmark):
         shared = spark.sparkContext.broadcast(b)
 

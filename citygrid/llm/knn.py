@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 PIVOTS = 48
 QUERIES = 1024
@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
                 if need.any():
                     yield pdf.loc[need, ["vec_id", "v"]].assign(group=np.int32(c))
 
-    copies = data.mapInPandas(replicas, "vec_id long, v array<double>, group int")
+    copies = data.mapInPandas(lean(replicas), "vec_id long, v array<double>, group int")
     # a slice of a group's replicas meets each of the group's blocks of queries
     salt = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).cast("int")
     counts = spark.createDataFrame([(int(c), int(n)) for c, n in parts.items()] or [(-1, 1)], "group int, blocks int")

@@ -1,11 +1,11 @@
 """MinHash near-duplicates: banded candidates, checked on odd sketches, confirmed on full shingle sets.
 
 Rows with the same shingle set fall together first (a grouped minimum); only one node for each distinct set goes on.
-Nodes that share a band's key are compared through a hub, the smallest node of the bucket, so a bucket of n nodes gives n - 1 pairs;
-buckets whose nodes are in one component by then are done. What is left after HUB_ROUNDS hubs is compared pair by pair across
+Nodes that share a band's key are compared through a hub, the bucket's node that shares buckets with most others (so an original
+before its variants); a bucket of n nodes gives n - 1 pairs. Buckets whose nodes are in one component by then are done. What is left after HUB_ROUNDS hubs is compared pair by pair across
 components only, so that no link between components is lost.
 A pair goes to the exact check if its odd sketches (parity bitmaps of the MinHash samples) put its similarity at FLOOR or above.
-Chances at a similarity of exactly 0.8: no shared band (1 - 0.8^5)^32 = 3e-6; sketch under the floor, below 1e-6.
+Chances at a similarity of exactly 0.8: no shared band (1 - 0.8^5)^32 = 3e-6; sketch under the floor, about 2e-5.
 
 Nulls: a null or blank text has an empty set and is linked with nothing; a row without doc_id is in its set's component and never kept.
 Repeated rows give repeated rows. Other columns are not read.
@@ -21,15 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, lean, mix, small_batches
 from .components import components
 from .shingles import shingle_set
 
 BANDS, ROWS = 32, 5
-SAMPLES = BANDS * ROWS
-BITS = 256  #: of an odd sketch
-FLOOR = 0.5
-HUB_ROUNDS = 2
+SAMPLES = 512  #: of which bands use the first
+BITS = 2048  #: of an odd sketch
+FLOOR = 0.72
+HUB_ROUNDS = 3
 
 _rng = np.random.Generator(np.random.PCG64(20_240_607))
 _MUL = (_rng.integers(0, 2**32, SAMPLES, np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -41,15 +41,15 @@ def samples(hashes: np.ndarray) -> np.ndarray:
     """MinHash samples of a set of 64-bit hashes."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(SAMPLES, 2**32 - 1, np.uint32)
-    for i in range(0, h.size, 512):
-        np.minimum(least, (h[i : i + 512, None] * _MUL + _ADD).min(axis=0), out=least)
+    for i in range(0, h.size, 192):
+        np.minimum(least, (h[i : i + 192, None] * _MUL + _ADD).min(axis=0), out=least)
     return least
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
-        key = mix(key + least[i::ROWS].astype(np.uint64))
+        key = mix(key + least[i : BANDS * ROWS : ROWS].astype(np.uint64))
     return key.view(np.int64)
 
 
@@ -79,7 +79,7 @@ def _signed(words: int):
             frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "same", "bands", "odd"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    return run
+    return lean(run)
 
 
 def _sets(words: int):
@@ -87,7 +87,7 @@ def _sets(words: int):
         for pdf in batches:
             yield pd.DataFrame({"node": pdf["doc_id"], "hashes": [shingle_set(t, words).tobytes() for t in pdf["text"]]})
 
-    return run
+    return lean(run)
 
 
 def _confirm(percent: int):
@@ -104,7 +104,7 @@ def _confirm(percent: int):
                 keep.append(100 * shared >= percent * (both.size - shared))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return run
+    return lean(run)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
@@ -113,13 +113,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     Links: 100 * intersection >= percent * union of the sets of words-word shingles. component_id: the smallest doc_id reachable.
     links: confirmed links of the row's set with other sets on the way (not all there are).
     """
+    small_batches(docs)
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(doc.mapInPandas(_signed(words), "doc_id long, n_shingles long, same binary, bands array<long>, odd array<long>"), "signed")
     nodes = signed.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "odd", "n_shingles"), "doc_id").alias("s"))
     nodes = cut(nodes.select("same", "node", "s.*"), "nodes")
     members = nodes.select(F.explode("bands").alias("key"), "node")
-    size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    members = cut(members.join(size, "key").select("key", "node", "hub"), "members")
+    size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(size, "key"), "buckets")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    members = cut(members.drop("n").join(company, "node"), "members")
+    hub = F.max_by("node", F.struct("company", "node")).alias("hub")
     sketch = nodes.select("node", F.struct("odd", "n_shingles").alias("s"))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = cut(doc.where("text IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets(words), "node long, hashes binary"), "sets")
@@ -139,10 +143,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
     links = None
     labels = None
-    left = members
+    left = cut(members.join(members.groupBy("key").agg(hub), "key"), "left")
     for round_ in range(HUB_ROUNDS + 1):
         if round_ < HUB_ROUNDS:
-            pairs = left.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+            pairs = left.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
             found = confirmed(screened(pairs))
         else:
             s = left.join(sketch, "node")
@@ -154,10 +158,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         if round_ == HUB_ROUNDS:
             break
         # hubs have met all nodes of their buckets; nodes still in several components meet the next hub
-        rest = left.where("node <> hub").select("key", "node")
-        rest = rest.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_ = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("hub")).where("l0 <> l1").select("key", "hub")
-        left = cut(rest.join(open_, "key").select("key", "node", "hub", "label"), "left")
+        rest = left.where("node <> hub").select("key", "node", "company")
+        rest = rest.join(labels, "node", "left").select("key", "node", "company", F.coalesce("label", "node").alias("label"))
+        open_ = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), hub).where("l0 <> l1").select("key", "hub")
+        left = cut(rest.join(open_, "key").select("key", "node", "company", "hub", "label"), "left")
         if left.limit(1).count() == 0:
             break
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

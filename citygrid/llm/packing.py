@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean, small_batches
 from .tokens import encoder
 
 BINS, PARTS = 96, 4
@@ -179,11 +179,12 @@ def _pieces(path: str, size: int, end_id: int):
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
-    return run
+    return lean(run)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and the end id, cut into pieces of `size` where longer. Null texts are empty."""
+    small_batches(docs)
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return doc.mapInPandas(_pieces(tokenizer, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -216,4 +217,4 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     w = Window.partitionBy("length", "_bucket").orderBy(*[F.col(c) for c in names])
     ranked = spread.withColumn("_n", F.row_number().over(w))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInPandas(lean(place), f"{fields}, sequence_id long, offset long")

@@ -5,8 +5,8 @@ Two questions are asked of a document: is it junk, is it abusive? For each:
 2. votes are counted by pattern, over all documents; at most 3^labellers patterns, whatever the corpus;
 3. expectation-maximisation on the pattern counts estimates each labeller's vote probabilities given the hidden class, and each
    pattern's posterior;
-4. a linear scorer over hashed features (each distinct word, its first four to six and last three characters, the votes) is trained
-   by FTRL with L1 on a bounded sample: at most SAMPLE documents by order of a hash of the id, those with human labels first, their
+4. a linear scorer over hashed features (each distinct word, its first four to six and last three characters; for junk also the
+   votes) is trained by FTRL with L1 on a bounded sample: at most SAMPLE documents by order of a hash of the id, those with human labels first, their
    labels the posteriors, both classes with half the weight where they can;
 5. every document's whole text is scored. A document is rejected if either score is above zero.
 
@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean, small_batches
 
 BITS = 18
 SAMPLE = 12_000
 EPOCHS = 4
+SHARE = 20.0  #: weight of a text's words, all together, against that of its shape
 
 #: Insults that a labeller looks for; what other words do is learned.
 INSULTS = frozenset(b"idiot moron stupid pathetic loser worthless disgusting trash scum clown imbecile garbage".split())
@@ -64,7 +65,7 @@ def votes(text: str | None) -> tuple[dict[str, list[int]], list[bytes]]:
         1 if 40 <= n < 5000 and len(distinct) < 0.25 * n else -1,
         0 if symbols < 0.005 and shout < 0.02 and stutter < 0.1 and (n < 40 or len(bare & FREQUENT) > 3) else -1,
     ]
-    return {"junk": junk, "abuse": [1 if insults else -1, 1 if insults > 1 else 0 if n > 40 and not insults else -1]}, list(low)
+    return {"junk": junk, "abuse": [1 if insults else -1, 1 if insults > 1 else -1]}, list(low)
 
 
 def _hash(x: bytes, kind: int) -> int:
@@ -76,7 +77,8 @@ def word_features(w: bytes) -> tuple[int, ...]:
 
 
 def vote_features(given: dict[str, list[int]]) -> list[int]:
-    return [_hash(f"{q}/{i}/{v}".encode(), 5) for q, votes_ in given.items() for i, v in enumerate(votes_)]
+    """Of junk only: what the text's shape shows isn't in its words; insults are."""
+    return [_hash(f"junk/{i}/{v}".encode(), 5) for i, v in enumerate(given["junk"])]
 
 
 def _codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,43 +124,59 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, human: boo
     return bad
 
 
-def ftrl(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, alpha: float = 0.1, l1: float = 1.0, l2: float = 1.0) -> np.ndarray:
-    """Weights of a logistic scorer (the last is the bias), by FTRL-proximal steps in the given order."""
+def ftrl(words: list[np.ndarray], shapes: list[np.ndarray], target: np.ndarray, weight: np.ndarray, alpha: float = 0.1, l1: float = 1.0, l2: float = 1.0) -> np.ndarray:
+    """Weights of a logistic scorer (the last is the bias), by FTRL-proximal steps in the given order.
+
+    With shapes (features of the votes): words count by their share, so that long texts are no different, and shapes by 1. Without:
+    each word counts by 1 and only against the text, so that one word can tell and many plain ones don't outweigh it.
+    """
     z, s = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
         zi = z[i]
-        return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(s[i])) / alpha + l2))
-
-    for _ in range(EPOCHS):
-        for x, y, g in zip(rows, target, weight):
-            i, k = np.unique(np.append(x, 1 << BITS), return_counts=True)
-            k = np.minimum(k, 4) / (1 + np.log1p(x.size) / 8)
+        w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((1.0 + np.sqrt(s[i])) / alpha + l2))
+        return w if shapes else np.maximum(w, 0)
+
+    rows = []
+    for j, x in enumerate(words):
+        i, k = np.unique(x, return_counts=True)
+        k = SHARE * k / max(x.size, 1) if shapes else np.minimum(k, 3).astype(float)
+        extra = shapes[j] if shapes else x[:0]
+        rows.append((np.concatenate((i, extra, [1 << BITS])), np.concatenate((k, np.ones(extra.size + 1)))))
+    bias = 1 << BITS
+    for _ in range(min(40, max(EPOCHS, EPOCHS * SAMPLE // max(len(rows), 1)))):  # about as many steps for few rows
+        for (i, k), y, g in zip(rows, target, weight):
             w = weights(i)
+            if not shapes:
+                w[-1] = -z[bias] / ((1.0 + np.sqrt(s[bias])) / alpha + l2)  # the bias may have either sign
             d = (1 / (1 + np.exp(-np.clip((w * k).sum(), -30, 30))) - y) * g * k
             t = (np.sqrt(s[i] + d * d) - np.sqrt(s[i])) / alpha
             z[i] += d - t * w
             s[i] += d * d
-    return weights(slice(None)).astype(np.float32)
+    out = weights(slice(None))
+    if not shapes:
+        out[-1] = -z[bias] / ((1.0 + np.sqrt(s[bias])) / alpha + l2)
+    return out.astype(np.float32)
 
 
 def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        feats = []
+        x, shape = [], []
         for text in pdf["text"]:
             v, words = votes(text)
-            feats.append(np.array([f for w in words for f in word_features(w)] + vote_features(v), np.int32).tobytes())
-        yield pdf[["place", *QUESTIONS]].assign(x=feats)
+            x.append(np.array([f for w in words for f in word_features(w)], np.int32).tobytes())
+            shape.append(np.array(vote_features(v), np.int32).tobytes())
+        yield pdf[["place", *QUESTIONS]].assign(x=x, shape=shape)
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(batches)).sort_values("place")  # at most SAMPLE rows
-    rows = [np.frombuffer(x, np.int32) for x in pdf["x"]]
+    words, shapes = ([np.frombuffer(x, np.int32) for x in pdf[c]] for c in ("x", "shape"))
     for q in QUESTIONS:
         y = pdf[q].to_numpy(float)
         bad = max(float(y.sum()), 1.0)
         weight = np.where(y > 0.5, np.clip(0.5 * len(y) / bad, 1, 6), 1.0)
-        yield pd.DataFrame({"question": [q], "weights": [ftrl(rows, y, weight).tobytes()]})
+        yield pd.DataFrame({"question": [q], "weights": [ftrl(words, shapes if q == "junk" else [], y, weight).tobytes()]})
 
 
 class Scorer:
@@ -171,7 +189,7 @@ class Scorer:
     def _word(self, w: bytes) -> complex:
         s = self.known.get(w)
         if s is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             a = self.w[list(word_features(w))].sum(axis=0)
             s = self.known[w] = complex(a[0], a[1])
@@ -179,19 +197,19 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, float]:
         v, words = votes(text)
-        extra = self.w[vote_features(v)].sum(axis=0)
-        s = sum(map(self._word, words), complex(*extra))
-        n = len(words) * 5 + sum(map(len, v.values()))
-        k = 1 / (1 + np.log1p(n) / 8)
-        junk, abuse = s.real * k + self.w[-1, 0] * k, s.imag * k + self.w[-1, 1] * k
-        return (max(junk, 1.0), abuse) if not words else (junk, abuse)
+        if not words:
+            return 1.0, -1.0
+        s = sum(map(self._word, words), 0j)
+        junk = SHARE * s.real / (5 * len(words)) + self.w[vote_features(v), 0].sum() + self.w[-1, 0]
+        return float(junk), float(s.imag + self.w[-1, 1])
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Weights by question, from docs(doc_id, text). labels: (doc_id, quality, toxic), 0 or 1 or null."""
     spark = docs.sparkSession
+    small_batches(docs)
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    voted = doc.mapInPandas(_codes, "doc_id long, junk string, abuse string")
+    voted = doc.mapInPandas(lean(_codes), "doc_id long, junk string, abuse string")
     if labels is not None:
         said = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).alias("q"), F.max("toxic").alias("t"))
         voted = voted.join(said, "doc_id", "left")
@@ -211,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
     chosen = labelled.where("doc_id IS NOT NULL").select("doc_id", place.alias("place"), human_first.alias("rank"), F.col("junk_bad").alias("junk"), F.col("abuse_bad").alias("abuse")).orderBy("rank", "place", "doc_id").limit(sample)
     chosen = cut(chosen, "chosen")
     texts = doc.join(F.broadcast(chosen.select("doc_id", "place", *QUESTIONS)), "doc_id").dropDuplicates(["doc_id"])  # chosen: at most `sample` short rows
-    features = cut(texts.mapInPandas(_sample_features, "place long, junk double, abuse double, x binary"), "features")
-    models = features.coalesce(1).mapInPandas(_train, "question string, weights binary").collect() if features.limit(1).count() else []
+    features = cut(texts.mapInPandas(lean(_sample_features), "place long, junk double, abuse double, x binary, shape binary"), "features")
+    models = features.coalesce(1).mapInPandas(lean(_train), "question string, weights binary").collect() if features.limit(1).count() else []
     return {m["question"]: np.frombuffer(m["weights"], np.float32) for m in models}
 
 
@@ -227,7 +245,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
             s = np.array([scorer.score(t) for t in pdf["text"]]).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "junk_score": s[:, 0], "abuse_score": s[:, 1], "kept": (s <= 0).all(axis=1)})
 
-    return doc.mapInPandas(scored, "doc_id long, junk_score double, abuse_score double, kept boolean")
+    return doc.mapInPandas(lean(scored), "doc_id long, junk_score double, abuse_score double, kept boolean")
 
 
 def keeps(text: Column, weights: dict[str, np.ndarray], spark: SparkSession) -> Column:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 PARTS, MIDDLE, RATE, FEW = 200, 0.3, 0.1, 50
@@ -180,8 +180,9 @@ def _schema() -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row of docs(doc_id, text); offsets are code points."""
+    small_batches(docs)
     doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(doc.mapInPandas(_scan, _schema()), "secrets")
+    seen = cut(doc.mapInPandas(lean(_scan), _schema()), "secrets")
     level = _levels_of(seen)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,13 +194,14 @@ def scan(docs: DataFrame) -> DataFrame:
                 spans.append(joined(have + more))
             yield pdf[["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]].assign(doc_id=pdf["doc_id"].astype("Int64"), spans=spans)
 
-    return seen.mapInPandas(add, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return seen.mapInPandas(lean(add), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: Column, docs: DataFrame, mark: str = "[SECRET]") -> Column:
     """The text column of docs with every secret replaced by a mark. Levels are of all docs; the texts are read twice and not shuffled."""
+    small_batches(docs)
     doc = docs.select(F.lit(None).cast("long").alias("doc_id"), text.cast("string").alias("text"))
-    level = _levels_of(doc.mapInPandas(_scan, _schema()))
+    level = _levels_of(doc.mapInPandas(lean(_scan), _schema()))
 
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:

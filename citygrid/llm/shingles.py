@@ -8,7 +8,7 @@ import xxhash
 from .common import mix
 
 _WORDS: dict[bytes, int] = {}
-_MOST = 400_000  #: words remembered in a Python worker; beyond that the memory starts anew
+_MOST = 100_000  #: words remembered in a Python worker; beyond that the memory starts anew
 
 
 def _hash(word: bytes) -> int:

@@ -8,8 +8,8 @@
    each round adds one symbol per string. The round's symbols in the current order are the next column of the collection's
    Burrows-Wheeler transform; a stable sort by symbol gives the next order, and the common-suffix starts of neighbours follow by
    range maxima. A window is repeated if it agrees with a neighbour in the order over `length` bytes or more. As the strings are
-   aligned, only one column of the transform is open at a time; collections are taken in blocks of at most BLOCK strings, so a
-   column is at most BLOCK bytes and files on disk are not needed.
+   aligned, only one column of the transform is open at a time; a collection is of whole anchors and has less than BLOCK + HOT
+   strings, so a column is at most that many bytes and files on disk are not needed.
 4. An anchor with more than HOT different contexts isn't gathered: its contexts' windows are counted by hash, in shuffles.
 5. Repeated intervals go back to all occurrences of their context, and per document their union is taken out.
 
@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, lean, mix, small_batches
 
 GRAM = 50
-BLOCK = 4096  #: strings in one collection
-HOT = 2000  #: different contexts of an anchor beyond which its windows are counted instead
+BLOCK = 4096  #: strings from which on a collection ends with its anchor
+HOT = 30_000  #: different contexts of an anchor beyond which its windows are counted instead
 CHUNK = 1 << 19  #: bytes of a document looked at at a time
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -94,7 +94,7 @@ def _occurrences(length: int):
             if rows:
                 yield pd.concat(rows)
 
-    return run
+    return lean(run)
 
 
 def _contexts(length: int):
@@ -109,19 +109,20 @@ def _contexts(length: int):
                     rows.append((x["anchor"], x["same"], p - a, raw[a : p + length]))
             yield pd.DataFrame(rows, columns=["anchor", "same", "before", "bytes"])
 
-    return run
+    return lean(run)
 
 
 def repeated_windows(strings: list[tuple[int, bytes]], length: int) -> np.ndarray:
     """Which windows of aligned strings (bytes before the anchor, bytes) occur in another one at the same place.
 
-    A row for each string; column s is the window from s - (length - GRAM) bytes before the anchor.
+    Empties the list. A row for each string; column s is the window from s - (length - GRAM) bytes before the anchor.
     """
     m, left = len(strings), length - GRAM
     width = left + length
     table = np.full((width, m), 255, np.uint8)  # a column of the collection is a row here; 255 isn't in UTF-8
     for i, (before, raw) in enumerate(strings):
         table[left - before : left - before + len(raw), i] = np.frombuffer(raw, np.uint8)
+    strings.clear()  # the table has them
     found = np.zeros((left + 1, m), bool)
     order = np.arange(m)
     start = np.zeros(m, np.int32)  # where the common part of a string and the one before it in the order starts
@@ -175,7 +176,7 @@ def _column_wise(length: int):
             for anchor, same, before, raw in zip(pdf["anchor"], pdf["same"], pdf["before"], pdf["bytes"]):
                 if keys and keys[-1][0] != anchor:
                     mark = len(keys)
-                if len(keys) >= BLOCK - HOT and mark == len(keys):
+                if len(keys) >= BLOCK and mark == len(keys):
                     yield _spans(keys, repeated_windows(strings, length), length)
                     keys, strings, mark = [], [], 0
                 keys.append((anchor, same))
@@ -183,7 +184,7 @@ def _column_wise(length: int):
         if keys:
             yield _spans(keys, repeated_windows(strings, length), length)
 
-    return run
+    return lean(run)
 
 
 def _windows(length: int):
@@ -195,7 +196,7 @@ def _windows(length: int):
                     at = np.arange(h.size, dtype=np.int32) - np.int32(before)
                     yield pd.DataFrame({"anchor": anchor, "same": same, "at": at, "window": mix(h + at.astype(np.uint64)).view(np.int64)})
 
-    return run
+    return lean(run)
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,9 +255,10 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row of docs(doc_id, text); removed: starts and ends in turn."""
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows.select("row_id", "text"), length)
     per = spans.groupBy("row_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     out = rows.join(per, "row_id", "left").select("doc_id", "text", "spans")
-    return out.mapInPandas(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
+    return out.mapInPandas(lean(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")

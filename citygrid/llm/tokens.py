@@ -12,7 +12,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: str.split() takes these for white space and the tokenizer's normaliser may not: such texts are encoded in one go.
 _ODD = re.compile("[\x1c-\x1f\x85 ᠎ -​    　﻿\xa0]")
 _NOT_LATIN = re.compile("[^\x00-\xff]")  #: without these, lower-casing first changes nothing
-_MOST = 600_000  #: pieces remembered in a Python worker; beyond that the memory starts anew
+_MOST = 250_000  #: pieces remembered in a Python worker; beyond that the memory starts anew
 
 
 class Encoder:

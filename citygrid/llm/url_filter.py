@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import lean, mix
 
 ORDER = 4
 BITS = 18
@@ -119,7 +119,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, seeds: tuple[str, ...
         seeded = seeded | F.contains("host", F.lit(w))
     s = F.concat("host", "path")
     taught = url.where("host <> '' OR path <> ''").select(F.coalesce(by_rule == "block", seeded).cast("int").alias("bad"), s.alias("s"))
-    sums = taught.mapInPandas(_count, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^(BITS + 2) rows
+    sums = taught.mapInPandas(lean(_count), "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^(BITS + 2) rows
     table = np.zeros((4, 1 << BITS), np.int64)
     table[sums["kind"], sums["slot"]] = sums["n"]
     both = all(table[i].any() for i in range(4))
@@ -132,13 +132,13 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, seeds: tuple[str, ...
 
     limit = np.inf
     if both:
-        grid = taught.where("bad = 0").mapInPandas(scores, "bad int, score double")
+        grid = taught.where("bad = 0").mapInPandas(lean(scores), "bad int, score double")
         at = F.least(F.greatest(F.floor((F.col("score") + 10) * (GRID / 20)), F.lit(0)), F.lit(GRID - 1))
         hist = grid.groupBy(at.cast("int").alias("at")).agg(F.count("*").alias("n")).toPandas().sort_values("at")  # at most GRID rows
         over = hist["n"][::-1].cumsum()[::-1].to_numpy() / max(int(hist["n"].sum()), 1)
         fits = hist["at"].to_numpy()[over <= rate]
         limit = max(0.0, (float(fits[0]) if fits.size else float(hist["at"].max()) + 1) * 20 / GRID - 10)
     scored = url.withColumn("s", s).select("page_id", "host", "path", "rule", by_rule.alias("ruled"), "s")
-    scored = scored.mapInPandas(scores, "page_id long, host string, path string, rule string, ruled string, score double")
+    scored = scored.mapInPandas(lean(scores), "page_id long, host string, path string, rule string, ruled string, score double")
     verdict = F.coalesce("ruled", F.when((F.col("score") > limit) & ((F.col("host") != "") | (F.col("path") != "")), "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

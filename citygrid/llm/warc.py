@@ -4,7 +4,7 @@ Writing. Equal payloads of at least `least` bytes are found by digest and size (
 the record with the largest page_id is the response, others revisit it. Records go out through Spark's text writer, whose line
 separator is the end of a record, so files are committed by Spark and lie on any file system it knows.
 
-Reading. Files are split at the magic line by Spark's text reader; a task emits for each piece its length, its header and what
+Reading. Files are split at the magic line by Spark's text reader (compressed ones, of at most RECORDS records, are one block each); a task emits for each piece its length, its header and what
 offset its record's successor would have. Offsets follow from the pieces' lengths, summed within a block of a file and then over
 blocks. A magic inside a payload gives a false candidate. Per file, pointer jumping from offset 0 (doubling the jump each round)
 finds the offsets that records really start at; only those count. This needs a file's offsets in one task, 16 bytes a record, and
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import cut, lean, new_path
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -40,7 +40,7 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
+def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
     """Write pages(page_id, url, html) as WARC files below path."""
     page = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\r\n]", "").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
@@ -56,7 +56,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
         F.when(again, F.concat(F.lit("\r\nWARC-Refers-To: "), name("last"))).otherwise(""), F.lit("\r\nContent-Length: "), F.when(again, "0").otherwise(F.col("size").cast("string")), F.lit(END),
     )
     record = page.select(F.concat(head, F.when(again, "").otherwise(F.col("html"))).alias("value"))
-    record.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+    record.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def _header(raw: bytes) -> tuple[dict[str, str], int]:
@@ -157,7 +157,7 @@ def _join_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records below path, digests of responses from their bytes."""
-    pieces = cut(_text(spark, path).mapInPandas(_pieces, _PIECE), "pieces")
+    pieces = cut(_text(spark, path).mapInPandas(lean(_pieces), _PIECE), "pieces")
     sums = pieces.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     earlier = sums.select("file", F.col("block").alias("b0"), F.col("bytes").alias("n0"))
     blocks = sums.join(earlier, "file").where("b0 <= block").groupBy("file", "block").agg((F.sum("n0") - F.max(F.when(F.col("b0") == F.col("block"), F.col("n0")))).alias("base"))
@@ -167,10 +167,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     records = cut(records.drop("block", "at", "size", "base"), "records")
     split = records.where("NOT whole").select("file", "start", "ahead")
     if split.limit(1).count():
-        parts = _with_start(_text(spark, path).mapInPandas(_raw, "file string, block long, at long, raw binary"), blocks)
+        parts = _with_start(_text(spark, path).mapInPandas(lean(_raw), "file string, block long, at long, raw binary"), blocks)
         parts = parts.select("file", F.struct("start", "raw").alias("part"), F.col("start").alias("s"))
         whole = split.join(parts, "file").where("s >= start AND s < start + ahead").groupBy("file", "start", "ahead").agg(F.collect_list("part").alias("parts"))
-        joined = whole.mapInPandas(_join_pieces, "file string, start long, digest2 string, bytes2 long")
+        joined = whole.mapInPandas(lean(_join_pieces), "file string, start long, digest2 string, bytes2 long")
         records = records.join(joined, ["file", "start"], "left").withColumns({"digest": F.coalesce("digest", "digest2"), "bytes": F.coalesce("bytes", "bytes2")})
     again = F.col("kind") == "revisit"
     return records.select(
@@ -179,10 +179,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 0, compression: str = "gzip") -> DataFrame:
     """Write pages to archives in the shared folder and read them back."""
     path = new_path(pages.sparkSession, "warc")
-    write(pages, path, least)
+    write(pages, path, least, compression)
     return read(pages.sparkSession, path)
 
 
