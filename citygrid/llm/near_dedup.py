@@ -2,7 +2,8 @@
 
 Rows with the same shingle set fall together first (a grouped minimum); only one node for each distinct set goes on.
 Nodes that share a band's key are compared through a hub, the bucket's node that shares buckets with most others (so an original
-before its variants); a bucket of n nodes gives n - 1 pairs. Buckets whose nodes are in one component by then are done. What is left after HUB_ROUNDS hubs is compared pair by pair across
+before its variants): at first each node with the best hub of all its buckets, then with each bucket's hub that is in another component,
+at most n - 1 pairs in a bucket of n nodes. Buckets whose nodes are in one component by then are done. What is left after HUB_ROUNDS hubs is compared pair by pair across
 components only, so that no link between components is lost.
 A pair goes to the exact check if its odd sketches (parity bitmaps of the MinHash samples) put its similarity at FLOOR or above.
 Chances at a similarity of exactly 0.8: no shared band (1 - 0.8^5)^32 = 3e-6; sketch under the floor, about 2e-5.
@@ -123,7 +124,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     members = cut(members.join(size, "key"), "buckets")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = cut(members.drop("n").join(company, "node"), "members")
-    hub = F.max_by("node", F.struct("company", "node")).alias("hub")
     sketch = nodes.select("node", F.struct("odd", "n_shingles").alias("s"))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = cut(doc.where("text IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(_sets(words), "node long, hashes binary"), "sets")
@@ -141,29 +141,37 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         both = pairs.join(sketch.selectExpr("node AS a", "s AS x"), "a").join(sketch.selectExpr("node AS b", "s AS y"), "b")
         return both.where(alike("x", "y")).select("a", "b")
 
-    links = None
-    labels = None
-    left = cut(members.join(members.groupBy("key").agg(hub), "key"), "left")
+    def opened(rest: DataFrame, labels: DataFrame) -> DataFrame:
+        """The buckets of rest(key, node, company) whose nodes are in several components, each with its hub."""
+        rest = rest.join(labels, "node", "left").select("key", "node", "company", F.coalesce("label", "node").alias("label"))
+        hub = F.max_by(F.struct("node", "label"), F.struct("company", "node")).alias("hub")
+        open_ = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), hub).where("l0 <> l1")
+        open_ = open_.selectExpr("key", "hub.node AS hub", "hub.label AS hub_label")
+        return cut(rest.join(open_, "key"), "left")
+
+    def in_order(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+    # at first each node meets the best of its buckets' hubs alone: one pair a node brings most groups together
+    hubs = members.groupBy("key").agg(F.max(F.struct("company", "node")).alias("hub"))
+    best = members.join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).selectExpr("node", "hub.node AS hub")
+    links = cut(confirmed(screened(in_order(best.where("node <> hub")))), "links")
+    labels = components(links)
+    left = opened(members, labels)
     for round_ in range(HUB_ROUNDS + 1):
+        if left.limit(1).count() == 0:
+            break
         if round_ < HUB_ROUNDS:
-            pairs = left.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-            found = confirmed(screened(pairs))
+            found = confirmed(screened(in_order(left.where("node <> hub AND label <> hub_label"))))
         else:
             s = left.join(sketch, "node")
             pairs = s.selectExpr("key", "node AS a", "label AS la", "s AS x").join(s.selectExpr("key", "node AS b", "label AS lb", "s AS y"), "key")
             found = confirmed(pairs.where("a < b AND la <> lb").where(alike("x", "y")).select("a", "b").distinct())
         found = cut(found, "links")
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         labels = components(links, labels)
-        if round_ == HUB_ROUNDS:
-            break
-        # hubs have met all nodes of their buckets; nodes still in several components meet the next hub
-        rest = left.where("node <> hub").select("key", "node", "company")
-        rest = rest.join(labels, "node", "left").select("key", "node", "company", F.coalesce("label", "node").alias("label"))
-        open_ = rest.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), hub).where("l0 <> l1").select("key", "hub")
-        left = cut(rest.join(open_, "key").select("key", "node", "company", "hub", "label"), "left")
-        if left.limit(1).count() == 0:
-            break
+        if round_ < HUB_ROUNDS:  # hubs have met all nodes of their buckets; nodes still in several components meet the next hub
+            left = opened(left.where("node <> hub").select("key", "node", "company"), labels)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = nodes.select("same", "node").join(labels, "node", "left").join(degree, "node", "left")
     known = cut(known.select("same", F.coalesce("label", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "known")
