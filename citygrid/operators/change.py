@@ -57,7 +57,7 @@ def radial_profile(cells: DataFrame, value: Column, distance: Column, step: floa
 def hotspots(smooth: DataFrame, value: str, percentile: float) -> DataFrame:
     """Adds hot: at or above the percentile of the positive cells."""
     level = smooth.where(F.col(value) > 0).agg(F.percentile(value, percentile).alias("level"))
-    return smooth.join(F.broadcast(level)).select("row", "col", value, F.coalesce((F.col(value) > 0) & (F.col(value) >= F.col("level")), F.lit(False)).alias("hot"))
+    return smooth.join(F.broadcast(level)).select(*smooth.columns, F.coalesce((F.col(value) > 0) & (F.col(value) >= F.col("level")), F.lit(False)).alias("hot"))
 
 
 def green_change(pair: DataFrame, green: float = 0.3, delta: float = 0.1) -> DataFrame:

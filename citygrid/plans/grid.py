@@ -172,7 +172,7 @@ g2 AS (SELECT c.row, c.col, sum(s.x * w) AS smooth FROM g1 c CROSS JOIN gw JOIN
 @query(f"WITH {CHG}, dd AS (SELECT row, col, greatest(delta, 0) AS delta FROM chg), {_gauss_sql('dd', 'delta', 1.5)}, lv AS (SELECT quantile_cont(smooth, 0.9) AS l FROM g2 WHERE smooth > 0) SELECT row, col, {R('smooth')} AS smooth, coalesce(smooth > 0 AND round(smooth, 9) >= round(l, 9), false) AS hot FROM g2, lv")
 def growth_hotspots(spark, d):
     s = S.gaussian(chg(spark, d).select("row", "col", F.greatest("delta", F.lit(0.0)).alias("delta")), "delta", 1.5, N, N)
-    return C.hotspots(s.withColumn("smooth", F.round("smooth", 9)), "smooth", 0.9)
+    return C.hotspots(s.withColumn("r", F.round("smooth", 9)), "r", 0.9).select("row", "col", "smooth", "hot")
 
 
 @query(f"SELECT a.row, a.col, {R('avg(b.frac)')} AS mean FROM (SELECT * FROM built WHERE year = 2000) a CROSS JOIN disk3 o JOIN built b ON b.year = 2000 AND b.row = greatest(0, least(49, a.row + o.dr)) AND b.col = greatest(0, least(49, a.col + o.dc)) GROUP BY 1, 2")

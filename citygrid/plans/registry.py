@@ -30,14 +30,14 @@ def query(sql: str | None = None, with_views: bool = True):
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Whole numbers as BIGINT, others as DOUBLE rounded to six places."""
+    """Whole numbers as BIGINT, others as DOUBLE rounded to six places: the binary product with a million, halves away from zero, as SQL engines do."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("int", "smallint", "tinyint") or kind.startswith("decimal") and kind.endswith(",0)"):
             c = c.cast("long")
         elif kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") * 1e6) / 1e6 + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
 
