@@ -164,9 +164,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         if round_ < HUB_ROUNDS:
             found = confirmed(screened(in_order(left.where("node <> hub AND label <> hub_label"))))
         else:
-            s = left.join(sketch, "node")
+            s = left.join(nodes.select("node", F.struct("odd", "n_shingles", "bands").alias("s")), "node")
             pairs = s.selectExpr("key", "node AS a", "label AS la", "s AS x").join(s.selectExpr("key", "node AS b", "label AS lb", "s AS y"), "key")
-            found = confirmed(pairs.where("a < b AND la <> lb").where(alike("x", "y")).select("a", "b").distinct())
+            # once a pair, in the first band they share; where that bucket no longer holds both, one was its hub and has met the other
+            once = F.expr("a < b AND la <> lb AND key = element_at(filter(zip_with(x.bands, y.bands, (p, q) -> IF(p = q, p, NULL)), k -> k IS NOT NULL), 1)")
+            found = confirmed(pairs.where(once).where(alike("x", "y")).select("a", "b"))
         found = cut(found, "links")
         links = links.union(found)
         labels = components(links, labels)
