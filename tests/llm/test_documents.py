@@ -274,6 +274,35 @@ def test_alignment_and_leaks(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_passages_at_every_offset_and_short_items():
+    import random
+
+    rnd = random.Random(5)
+    item = prose(rnd, 90)
+    before, after, size = prose(rnd, 60), prose(rnd, 60), decontaminate.PASSAGE
+    b = decontaminate.Benchmark([(1, item), (2, "Lan derpe"), (3, "Zug"), (4, "qu xo zy qu xo zy qu xo")])
+    whole = decontaminate.normal(item)
+    for n in (size, 60, 90, 100, 110, 130):
+        for a in range(0, len(whole) - n, 3):
+            found = b.find(before + "#" + whole[a : a + n].decode() + "#" + after)
+            assert [x[0] for x in found] == [1] and found[0][3] == 0, (n, a)
+            assert found[0][1] <= len(before) + 1 and found[0][2] >= len(before) + 1 + n
+    for a in range(0, len(whole) - size, 7):  # edits inside, and too many of them
+        for many, want in ((4, True), (12, False)):
+            part = list(whole[a : a + size].decode())
+            for i in range(many):
+                part[3 + i * (size - 6) // many] = "#"
+            assert bool(b.find(before + "#" + "".join(part) + "#" + after)) == want
+    assert not b.find(before + "#" + whole[20 : 20 + size - 12].decode() + "#" + after)
+    assert [x[0] for x in b.find("a lan  DERPE, zug")] == [2, 3] and not b.find("zugs lan derp")
+    assert [x[0] for x in b.find("so qu xo zy qu xo zi qu xo ra")] == [4]
+    for _ in range(100):
+        w = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(12)), np.uint8).astype(np.int16)
+        s = np.frombuffer(bytes(rnd.choice(b"abc") for _ in range(30)), np.uint8).astype(np.int16)
+        d, end = decontaminate.window_edits(w[None], s[None])
+        assert (d[0], end[0]) == decontaminate.edits(bytes(w.astype(np.uint8)), bytes(s.astype(np.uint8)))
+
+
 def test_posterior_of_planted_labellers():
     rnd = np.random.default_rng(2)
     bad = rnd.random(20_000) < 0.2
