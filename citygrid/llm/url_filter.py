@@ -4,7 +4,9 @@ Rules are `host/path-prefix` strings; a rule fits its host and all subdomains, i
 The models are variable-order Markov models (contexts of 0 to ORDER characters), one for accepted and one for rejected URLs. The
 corpus itself teaches them: URLs that an allow rule fits, and such as no rule and no seed fits, are accepted; URLs that a block rule
 fits, or whose host has a seed (a word that blocklists start from), are rejected. All URLs of the table are counted.
-- Counts of (context, character) and of contexts go to 2^BITS hashed slots a model: a bounded table, summed by slot in Spark.
+- Counts are exact and stay in Spark: a window of ORDER + 1 bytes is a number, windows are counted in a grouped table, and the lower
+  orders' counts are sums over it. Each window's share of a score is worked out once and joined to the URLs' windows; the few windows
+  that make up over 1 / HOT of all go to every task, so no key of the shuffled join holds more.
 - Each order's estimate is smoothed by the one below (Witten and Bell's weights: how many different characters followed).
 - A URL's score is its log-likelihood difference per character, rejected minus accepted. The accepted training URLs' scores are
   counted on a grid; the verdict is block above the score that all but RATE of them stay under, and above 0.
@@ -22,10 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mix
+from .common import cut, lean, small_batches
 
 ORDER = 4
-BITS = 18
+HOT = 2000
 RATE = 0.005
 GRID = 4000
 SEEDS = ("casino", "pills", "bets", "spam", "porn", "viagra", "xxx", "ads-", "poker", "loan", "cheap-")
@@ -56,58 +58,63 @@ def _bytes(s: str) -> np.ndarray:
     return np.frombuffer(("\x02" * ORDER + s + "\x03").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
 
 
-def slots(s: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed slots of (context, character) and of the context, a row per order and a column per character of s."""
+def windows(s: str) -> np.ndarray:
+    """For each byte of s and its end, it and the ORDER bytes before as a number; the byte itself is lowest."""
     b = _bytes(s)
     n = b.size - ORDER
-    mask = np.uint64((1 << BITS) - 1)
-    with_char, alone = np.empty((ORDER + 1, n), np.int64), np.empty((ORDER + 1, n), np.int64)
-    h = np.zeros(n, np.uint64)
+    out = np.zeros(n, np.int64)
     for k in range(ORDER + 1):
-        if k:
-            h = mix(h + b[ORDER - k : ORDER - k + n] + np.uint64(1))
-        salt = np.uint64(k << 40)
-        with_char[k] = mix(h ^ salt ^ (b[ORDER:] + np.uint64(1 << 20))) & mask
-        alone[k] = mix(h ^ salt ^ np.uint64(1 << 50)) & mask
-    return with_char, alone
+        out = out << 8 | b[k : k + n].astype(np.int64)
+    return out
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of the task's URLs by (kind, slot); kind: 0 or 1 rejected, plus 2 for contexts."""
-    table = np.zeros((4, 1 << BITS), np.int64)
+    """Sums of a batch's URLs by (bad, w)."""
     for pdf in batches:
-        for bad, s in zip(pdf["bad"], pdf["s"]):
-            with_char, alone = slots(s)
-            np.add.at(table[int(bad)], with_char.ravel(), 1)
-            np.add.at(table[2 + int(bad)], alone.ravel(), 1)
-    kind, slot = np.nonzero(table)
-    yield pd.DataFrame({"kind": kind.astype(np.int32), "slot": slot.astype(np.int32), "n": table[kind, slot]})
+        for bad, part in pdf.groupby("bad")["s"]:
+            w, n = np.unique(np.concatenate([windows(x) for x in part]), return_counts=True)
+            yield pd.DataFrame({"bad": np.full(w.size, bad, np.int32), "w": w, "n": n})
 
 
-class Ratio:
-    """Two models in tables of 2^BITS slots: joint[bad], context[bad]."""
-
-    def __init__(self, table: np.ndarray):
-        self.joint, self.context = table[:2].astype(np.float64), table[2:].astype(np.float64)
+def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, w) for each window of the URLs."""
+    for pdf in batches:
+        each = [windows(x) for x in pdf["s"]]
+        yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), [x.size for x in each]), "w": np.concatenate(each) if each else np.empty(0, np.int64)})
 
-    def logs(self, bad: int, with_char: np.ndarray, alone: np.ndarray) -> np.ndarray:
-        p = np.full(with_char.shape[1], 1 / 128)
-        for k in range(ORDER + 1):
-            n, c = self.context[bad][alone[k]], np.minimum(self.joint[bad][with_char[k]], self.context[bad][alone[k]])
-            weight = 4 + np.sqrt(n)  # of the lower order: about the number of different followers
-            p = (c + weight * p) / (n + weight)
-        return np.log(p)
 
-    def score(self, s: str) -> float:
-        if not s:
-            return -1.0
-        with_char, alone = slots(s)
-        return float((self.logs(1, with_char, alone) - self.logs(0, with_char, alone)).mean())
+def window_scores(taught: DataFrame) -> DataFrame:
+    """(w, n, d) of each window of taught(bad, s): how often it is there, and log of its likelihood, rejected minus accepted."""
+    counts = taught.mapInPandas(lean(_count), "bad int, w long, n long").groupBy("w").agg(*[F.sum(F.when(F.col("bad") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in (0, 1)])
+    counts = cut(counts, "windows")
+    table, p = counts.select("w", (F.col("c0") + F.col("c1")).alias("n")), [F.lit(1 / 128), F.lit(1 / 128)]
+    for k in range(ORDER + 1):
+        for what, cols, bits, drop in (("joint", k + 1, 8 * (k + 1), 0), ("context", k, 8 * (k + 1), 8)):
+            key = lambda: F.shiftright(F.col("w").bitwiseAND((1 << bits) - 1), drop)  # noqa: E731, B023
+            sums = counts.groupBy(key().alias("key")).agg(F.sum("c0").alias(f"{what}{k}0"), F.sum("c1").alias(f"{what}{k}1"))
+            if cols <= 2:  # at most 65,536 rows
+                sums = F.broadcast(sums)
+            table = table.join(sums, key() == F.col("key")).drop("key")
+        for bad in (0, 1):
+            n = F.col(f"context{k}{bad}")
+            weight = 4 + F.sqrt(n)  # of the lower order: about the number of different followers
+            p[bad] = (F.col(f"joint{k}{bad}") + weight * p[bad]) / (n + weight)
+    return cut(table.select("w", "n", (F.log(p[1]) - F.log(p[0])).alias("d")), "scores")
+
+
+def url_scores(urls: DataFrame, scores: DataFrame) -> DataFrame:
+    """(id, score) of urls(id, s) with s not blank: the mean over its windows. Sums are of whole numbers, so they don't hang on the order."""
+    total = scores.agg(F.sum("n").alias("total"))
+    marked = scores.join(F.broadcast(total)).select("w", F.round(F.col("d") * 2.0**40).cast("long").alias("d"), (F.col("n") * HOT > F.col("total")).alias("hot"))
+    spread = urls.where("s <> ''").select("id", "s").mapInPandas(lean(_spread), "id long, w long")
+    hot = spread.join(F.broadcast(marked.where("hot").select("w", F.col("d").alias("known"))), "w", "left")  # under HOT rows
+    cold = hot.where("known IS NULL").join(marked.where("NOT hot").select("w", "d"), "w").select("id", "d")
+    both = hot.where("known IS NOT NULL").select("id", F.col("known").alias("d")).union(cold)
+    return both.groupBy("id").agg((F.sum("d") / F.count("*") / 2.0**40).alias("score"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, seeds: tuple[str, ...] = SEEDS, rate: float = RATE) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row of pages(page_id, url)."""
-    spark = pages.sparkSession
     url = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     host, path = parts(F.col("url"))
     url = url.select("page_id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("url"))
@@ -117,28 +124,20 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, seeds: tuple[str, ...
     seeded = F.lit(False)
     for w in seeds:
         seeded = seeded | F.contains("host", F.lit(w))
-    s = F.concat("host", "path")
-    taught = url.where("host <> '' OR path <> ''").select(F.coalesce(by_rule == "block", seeded).cast("int").alias("bad"), s.alias("s"))
-    sums = taught.mapInPandas(lean(_count), "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^(BITS + 2) rows
-    table = np.zeros((4, 1 << BITS), np.int64)
-    table[sums["kind"], sums["slot"]] = sums["n"]
-    both = all(table[i].any() for i in range(4))
-    shared = spark.sparkContext.broadcast(table.astype(np.float32))  # of a fixed size
-
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratio = Ratio(shared.value)
-        for pdf in batches:
-            yield pdf.drop(columns="s").assign(score=[ratio.score(x) for x in pdf["s"]])
+    small_batches(pages)
+    rows = url.select(F.monotonically_increasing_id().alias("id"), "page_id", "host", "path", "rule", by_rule.alias("ruled"), F.concat("host", "path").alias("s"), F.coalesce(by_rule == "block", seeded).cast("int").alias("bad"))
+    rows = cut(rows, "urls")
+    taught = rows.where("s <> ''").select("bad", "s")
+    both = taught.select("bad").distinct().count() == 2
+    scored = cut(rows.drop("s").join(url_scores(rows, window_scores(taught)), "id", "left").withColumn("score", F.coalesce("score", F.lit(-1.0))), "scored")
 
     limit = np.inf
     if both:
-        grid = taught.where("bad = 0").mapInPandas(lean(scores), "bad int, score double")
         at = F.least(F.greatest(F.floor((F.col("score") + 10) * (GRID / 20)), F.lit(0)), F.lit(GRID - 1))
-        hist = grid.groupBy(at.cast("int").alias("at")).agg(F.count("*").alias("n")).toPandas().sort_values("at")  # at most GRID rows
+        good = scored.where("bad = 0 AND (host <> '' OR path <> '')")
+        hist = good.groupBy(at.cast("int").alias("at")).agg(F.count("*").alias("n")).toPandas().sort_values("at")  # at most GRID rows
         over = hist["n"][::-1].cumsum()[::-1].to_numpy() / max(int(hist["n"].sum()), 1)
         fits = hist["at"].to_numpy()[over <= rate]
         limit = max(0.0, (float(fits[0]) if fits.size else float(hist["at"].max()) + 1) * 20 / GRID - 10)
-    scored = url.withColumn("s", s).select("page_id", "host", "path", "rule", by_rule.alias("ruled"), "s")
-    scored = scored.mapInPandas(lean(scores), "page_id long, host string, path string, rule string, ruled string, score double")
     verdict = F.coalesce("ruled", F.when((F.col("score") > limit) & ((F.col("host") != "") | (F.col("path") != "")), "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -53,6 +53,40 @@ def test_url_rules_and_models(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_scores_are_those_of_exact_counts(spark):
+    import hashlib
+    import math
+    from collections import Counter
+
+    # over 300,000 different windows: more than a table of 2^18 slots has
+    urls = [(i, "http://" + hashlib.sha256(str(i).encode()).hexdigest()[:40] + (".spam" if i % 9 == 0 else ".org") + "/" + hashlib.md5(str(i).encode()).hexdigest()) for i in range(8000)]
+    n, c, order = [Counter(), Counter()], [Counter(), Counter()], url_filter.ORDER
+    for _, u in urls:
+        s, bad = "\2" * order + u[7:] + "\3", int(".spam" in u)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                n[bad][s[i - k : i]] += 1
+                c[bad][s[i - k : i + 1]] += 1
+    assert sum(len(x) for x in c) > 1 << 18
+
+    def score(u):
+        s, total = "\2" * order + u[7:] + "\3", 0
+        for i in range(order, len(s)):
+            p = [1 / 128, 1 / 128]
+            for bad in (0, 1):
+                for k in range(order + 1):
+                    m = n[bad][s[i - k : i]]
+                    w = 4 + math.sqrt(m)
+                    p[bad] = (c[bad][s[i - k : i + 1]] + w * p[bad]) / (m + w)
+            total += math.log(p[1]) - math.log(p[0])
+        return total / (len(s) - order)
+
+    got = {r["page_id"]: r["score"] for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert len(got) == len(urls)
+    for i, u in urls[::37]:
+        assert got[i] == pytest.approx(score(u), abs=1e-9)
+
+
 CONVERSATIONS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "a\\b <| <\\| |> \\n"), (2, 0, "user", "hi"), (2, 1, "assistant", "c<|im_end|>\n<|im_start|>user\nx"), (3, 0, "user", "hi"), (3, 1, "assistant", "a\\b <| <\\| |> \\n"),
     (4, 0, None, None), (4, 1, "assistant", None), (4, None, "sys\ntem\\", "first"), (5, 0, "assistant", "é" * 3000), (5, 0, "assistant", "tie"), (5, 0, "assistant", "tie"), (None, 0, "user", "nobody"), (6, 3, "user", ""), (6, 1, "a<|b", "x"),
