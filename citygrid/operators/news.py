@@ -35,6 +35,14 @@ def impact(kind: Column, months: Column, basis: Column) -> Column:
     return m * basis * recency(months)
 
 
+def radius(kind: Column) -> Column:
+    """The kind's radius in km; kinds not listed have that of a view."""
+    r = F.lit(EFFECTS["view"][1])
+    for k, (_, v) in EFFECTS.items():
+        r = F.when(kind == k, v).otherwise(r)
+    return r
+
+
 def check_evidence(text: Column, direction: Column) -> Column:
     """A negative claim needs a negative cue, a positive one a positive cue; without, it is neutral."""
     neg, pos = F.rlike(text, F.lit(f"(?i){NEGATIVE_CUES}")), F.rlike(text, F.lit(f"(?i){POSITIVE_CUES}"))
@@ -52,8 +60,19 @@ def cluster_events(rows: DataFrame) -> DataFrame:
     return g.select(*key, "n_articles", "n_sources", "best_id", (F.col("best") * sure).alias("impact"))
 
 
-def zone_index(zones: DataFrame, events: DataFrame, reach: int = 3) -> DataFrame:
-    """(row, col, index): events' impacts fading as exp(-(d / r)^2), summed and squashed; each event goes to the cells within `reach` radii's box only."""
+def zone_index(zones: DataFrame, events: DataFrame, reach: int | None = None) -> DataFrame:
+    """(row, col, index): events' impacts fading as exp(-(d / radius)^2), summed over all cells and squashed.
+
+    The fade is a product of one along rows and one along columns, so impacts, summed by cell and radius, spread in two passes of a
+    line each. With reach, each event goes to the box of `reach` cells around it only, and what lies beyond is lost.
+    """
+    if reach is None:
+        fade = lambda x, y: F.exp(-(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) / (F.col("radius") * F.col("radius")))
+        by_cell = events.groupBy("row", "col", "radius").agg(F.sum("impact").alias("v"))
+        lines = [F.broadcast(zones.select(F.col(x).alias(f"to_{x}")).distinct()) for x in ("row", "col")]
+        down = by_cell.crossJoin(lines[0]).groupBy("to_row", "col", "radius").agg(F.sum(F.col("v") * fade("to_row", "row")).alias("v"))
+        across = down.crossJoin(lines[1]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum(F.col("v") * fade("to_col", "col")).alias("v"))
+        return zones.select("row", "col").join(across, ["row", "col"], "left").select("row", "col", F.tanh(F.coalesce("v", F.lit(0.0)) / 1.5).alias("index"))
     span = F.sequence(-F.lit(reach), F.lit(reach))
     spread = events.select("impact", "radius", "row", "col", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
     d2 = F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")

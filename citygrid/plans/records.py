@@ -132,10 +132,20 @@ def news_events(spark, d):
 
 @query(f"WITH {IMPACT}, e AS (SELECT impact, user_id % 50 AS row, (user_id * 7) % 50 AS col FROM im), z AS (SELECT c.row, c.col, sum(impact * exp(-((c.row - e.row) ** 2 + (c.col - e.col) ** 2) / 4.0)) AS s FROM cells c JOIN e ON abs(c.row - e.row) <= 3 AND abs(c.col - e.col) <= 3 GROUP BY 1, 2) SELECT c.row, c.col, {R('tanh(coalesce(s, 0) / 1.5)')} AS index FROM cells c LEFT JOIN z USING (row, col)")
 def news_zone_index(spark, d):
+    """As its SQL says: single articles, one radius, and a box of three cells. news_zone_index_whole is the whole sum."""
     e = impacts(spark, d).select("impact", (F.col("user_id") % 50).alias("row"), (F.col("user_id") * 7 % 50).alias("col"), F.lit(2.0).alias("radius"))
     return W.zone_index(v.grid(spark), e, 3)
 
 
+@query()
+def news_zone_index_whole(spark, d):
+    """Clustered events, each kind with its radius, over all cells; the cell is the events' place."""
+    cell = F.concat_ws(",", F.col("user_id") % 50, F.col("user_id") * 7 % 50)
+    at = F.split("place", ",")
+    e = W.cluster_events(impacts(spark, d).withColumn("place", cell))
+    return W.zone_index(v.grid(spark), e.select("impact", at[0].cast("long").alias("row"), at[1].cast("long").alias("col"), W.radius(F.col("kind")).alias("radius")))
+
+
 @query("SELECT source, count(*) AS n, count(*) FILTER (WHERE kind = 'error') AS setbacks, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) + 0 AS share FROM article GROUP BY 1 ORDER BY n DESC, source LIMIT 8")
 def news_rollup(spark, d):
     g = v.article(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "error").alias("setbacks"))
@@ -188,7 +198,7 @@ def opportunity_robustness(spark, d):
 @query()
 def opportunity_sites(spark, d):
     """Ten sites at least five cells apart, after news."""
-    x = opportunity_score(spark, d).join(news_zone_index(spark, d), ["row", "col"])
+    x = opportunity_score(spark, d).join(news_zone_index_whole(spark, d), ["row", "col"])
     return spaced(x.withColumn("s", F.col("score") + 0.1 * X.clip(F.col("index"), -1, 1)), "s", 10, 5.0)
 
 

@@ -169,3 +169,13 @@ def test_dedupe_keeps_the_newest(spark):
     rows = [(1, "metro line opens in city centre today", "2024-01-01"), (2, "Metro line opens in city centre today!", "2024-01-03"), (3, "metro line opens in city centre now today", "2024-01-02"), (4, "another story", "2024-01-01"), (5, "", "2024-01-01"), (6, None, "2024-01-01")]
     got = {r["id"]: r["kept"] for r in W.dedupe(spark.createDataFrame(rows, "id long, title string, published string")).collect()}
     assert got[1] is False and got[2] is True and got[3] is False and got[4] is True and got[5] is True
+
+
+def test_zone_index_sums_over_all_cells(spark):
+    zones = layer(spark, 12, 15, lambda i, j: 0.0)
+    events = [(0.9, 3.0, 4, 5), (0.9, 3.0, 4, 5), (-0.5, 2.0, 0, 14), (0.3, 1.0, 11, 0), (2000.0, 1.0, 6, 6)]
+    got = W.zone_index(zones, spark.createDataFrame(events, "impact double, radius double, row long, col long")).collect()
+    assert len(got) == 12 * 15
+    for r in got:
+        total = sum(v * math.exp(-((r["row"] - a) ** 2 + (r["col"] - b) ** 2) / q**2) for v, q, a, b in events)
+        assert r["index"] == pytest.approx(math.tanh(total / 1.5), abs=1e-12)
