@@ -81,12 +81,12 @@ def zone_index(zones: DataFrame, events: DataFrame, reach: int | None = None) ->
     return zones.join(total, ["row", "col"], "left").select("row", "col", F.tanh(F.coalesce("v", F.lit(0.0)) / 1.5).alias("index"))
 
 
-def dedupe(articles: DataFrame, share: float = 0.7, rounds: int = 50) -> DataFrame:
+def dedupe(articles: DataFrame, share: float = 0.7) -> DataFrame:
     """(id, kept): newest first, an article is dropped if its title is `share` alike (Jaccard, tokens) to one kept before it.
 
     Similar pairs come from the token index by prefix filtering: two such titles share one of their rarest tokens. Titles with the
     same tokens are one node, of which the newest stands for all. Rounds: undecided nodes without kept or undecided newer neighbours
-    are kept, nodes with a kept newer neighbour are dropped.
+    are kept, nodes with a kept newer neighbour are dropped. The newest undecided node is decided in each round, so all are in the end.
     """
     t = articles.select("id", "published", F.array_sort(tokens(F.col("title"))).alias("t"))
     order = F.struct("published", -F.col("id"))
@@ -104,7 +104,7 @@ def dedupe(articles: DataFrame, share: float = 0.7, rounds: int = 50) -> DataFra
     newer = F.col("ga") > F.col("gb")
     edges = cut(alike.select(F.when(newer, F.col("a")).otherwise(F.col("b")).alias("new"), F.when(newer, F.col("b")).otherwise(F.col("a")).alias("old")))
     state = cut(nodes.select("node", F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(rounds):
+    while True:
         seen = edges.join(state.select(F.col("node").alias("new"), F.col("kept").alias("k")), "new").groupBy("old").agg(
             F.max(F.coalesce("k", F.lit(False))).alias("kept_newer"), F.max(F.col("k").isNull()).alias("open_newer")
         )

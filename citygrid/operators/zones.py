@@ -24,14 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def label_zones(mask: DataFrame, cols: int, rounds: int = 100) -> DataFrame:
+def label_zones(mask: DataFrame, cols: int) -> DataFrame:
     """(row, col, label) of the mask's cells (row, col): the smallest row * cols + col of the 8-connected zone.
 
-    Each round takes the least label of the neighbourhood, then the label of the cell that the label names (pointer jumping).
+    Each round takes the least label of the neighbourhood, then the label of the cell that the label names (pointer jumping),
+    until no label changes; labels only fall, so that comes.
     """
     labels = cut(mask.select("row", "col", (F.col("row") * cols + F.col("col")).alias("label")))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-    for _ in range(rounds):
+    while True:
         near = labels.select("label", "row", "col", around).select("label", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
         least = near.groupBy("row", "col").agg(F.min("label").alias("new"))
         step = labels.join(least, ["row", "col"])

@@ -179,3 +179,10 @@ def test_zone_index_sums_over_all_cells(spark):
     for r in got:
         total = sum(v * math.exp(-((r["row"] - a) ** 2 + (r["col"] - b) ** 2) / q**2) for v, q, a, b in events)
         assert r["index"] == pytest.approx(math.tanh(total / 1.5), abs=1e-12)
+
+
+def test_dedupe_decides_long_chains(spark):
+    # each title shares seven of eight words with the next: 7 / 9 alike; every other one is kept, as the one between is dropped
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 8)), f"2024-01-01 00:{59 - i:02d}:00") for i in range(54)]
+    got = {r["id"]: r["kept"] for r in W.dedupe(spark.createDataFrame(rows, "id long, title string, published string")).collect()}
+    assert got == {i: i % 2 == 0 for i in range(54)}
