@@ -95,3 +95,19 @@ def kappa_matrix(maps: DataFrame, keys: list[str], flags: list[str]) -> DataFram
     long = maps.select(arr).select("p.*")
     g = confusion(long, F.col("x"), F.col("y"), "a", "b")
     return g.select("a", "b", "kappa", "overall", (F.col("hits") + F.col("misses") + F.col("false_alarms") + F.col("rejections")).alias("n"))
+
+
+def weightings(spark, draws: int, n: int) -> DataFrame:
+    """(draw, w): n weights of each draw, Dirichlet(1, ..., 1): normalised -ln of hashed uniforms, so the same in every run."""
+    draw = spark.range(draws).select(F.col("id").alias("draw"))
+    e = [-F.log((F.pmod(F.xxhash64(F.col("draw"), F.lit(j)), F.lit(1 << 40)) + 0.5) / float(1 << 40)) for j in range(n)]
+    total = sum(e[1:], e[0])
+    return draw.select("draw", F.array(*[x / total for x in e]).alias("w"))
+
+
+def robustness(cells: DataFrame, components: list[str], draws: int = 2000, k: int = 10) -> DataFrame:
+    """(row, col, mean_rank, top_share) of the cells under random weightings: the mean rank, and the share of draws in the top k; ties by row and col."""
+    s = sum((F.col("w")[j] * F.col(c) for j, c in enumerate(components[1:], 1)), F.col("w")[0] * F.col(components[0]))
+    x = cells.crossJoin(F.broadcast(weightings(cells.sparkSession, draws, len(components)))).select("row", "col", "draw", s.alias("s"))
+    r = x.withColumn("rn", F.row_number().over(Window.partitionBy("draw").orderBy(F.desc("s"), "row", "col")))
+    return r.groupBy("row", "col").agg(F.avg("rn").alias("mean_rank"), F.avg((F.col("rn") <= k).cast("int")).alias("top_share"))

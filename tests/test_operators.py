@@ -186,3 +186,22 @@ def test_dedupe_decides_long_chains(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(i, i + 8)), f"2024-01-01 00:{59 - i:02d}:00") for i in range(54)]
     got = {r["id"]: r["kept"] for r in W.dedupe(spark.createDataFrame(rows, "id long, title string, published string")).collect()}
     assert got == {i: i % 2 == 0 for i in range(54)}
+
+
+def test_robustness_under_random_weightings(spark):
+    draws, names = 2000, list("abcde")
+    w = [r["w"] for r in K.weightings(spark, draws, 5).orderBy("draw").collect()]
+    assert len({tuple(x) for x in w}) == draws and all(sum(x) == pytest.approx(1) and min(x) > 0 for x in w)
+    assert all(sum(x[j] for x in w) / draws == pytest.approx(0.2, abs=0.02) for j in range(5))
+    assert sum(x[0] ** 2 for x in w) / draws == pytest.approx(2 / 30, abs=0.005)  # Dirichlet(1, ..., 1) has mean square 2 / (n (n + 1))
+    cells = [(i // 5, i % 5, *[((i + 3) * (j + 2) * 7919 % 101) / 101 for j in range(5)]) for i in range(25)]
+    rank, top = [0] * 25, [0] * 25
+    for x in w:
+        order = sorted(range(25), key=lambda i: (-sum(a * b for a, b in zip(x, cells[i][2:])), i))
+        for n, i in enumerate(order, 1):
+            rank[i] += n
+            top[i] += n <= 10
+    df = spark.createDataFrame(cells, "row long, col long, " + ", ".join(f"{c} double" for c in names))
+    for r in K.robustness(df, names).collect():
+        i = r["row"] * 5 + r["col"]
+        assert r["mean_rank"] == pytest.approx(rank[i] / draws, abs=1e-3) and r["top_share"] == pytest.approx(top[i] / draws, abs=1e-3)
