@@ -1,4 +1,4 @@
-"""Constrained growth: demand, allocation rounds and projection."""
+"""Constrained growth: demand and allocation rounds."""
 
 from __future__ import annotations
 
