@@ -57,16 +57,24 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 PACK = "text string, nodes array<struct<start:int,end:int,parent:int,position:int,attends:array<struct<start:int,end:int>>,loss_start:int,loss_end:int>>, conversations array<struct<conv_id:long,leaf:int>>"
 
 
+def _chain(key: str) -> list[str]:
+    return [key[i : i + 16] for i in range(0, len(key), 16)]
+
+
 class _Pack:
     def __init__(self):
         self.parts: list[str] = []
         self.size, self.nodes, self.conversations, self.path = 0, [], [], []  # path: (key, node) of the last conversation
 
-    def add(self, conv_id: int | None, turns, key: str) -> None:
-        chain = [key[i : i + 16] for i in range(0, len(key), 16)]
-        depth = 0
+    def shared(self, key: str) -> int:
+        """How many turns the conversation shares with the last one; add() emits those after them only."""
+        chain, depth = _chain(key), 0
         while depth < min(len(chain), len(self.path)) and self.path[depth][0] == chain[depth]:
             depth += 1
+        return depth
+
+    def add(self, conv_id: int | None, turns, key: str) -> None:
+        chain, depth = _chain(key), self.shared(key)
         del self.path[depth:]
         for k, t in zip(chain[depth:], turns[depth:]):
             parent = self.path[-1][1] if self.path else -1
@@ -102,7 +110,7 @@ def _packs(budget: int):
         for pdf in batches:
             done = []
             for conv, turns, key in zip(pdf["conv_id"].astype("Int64"), pdf["turns"], pdf["key"]):
-                if pack.size and pack.size + sum(len(t["text"]) for t in turns) > budget or len(pack.conversations) >= 4096:
+                if pack.size and pack.size + sum(len(t["text"]) for t in turns[pack.shared(key) :]) > budget or len(pack.conversations) >= 4096:
                     done.append(pack.row())
                     pack = _Pack()
                 pack.add(None if conv is pd.NA else int(conv), turns, key)

@@ -127,6 +127,18 @@ def test_shared_turns_are_emitted_once(spark):
     assert len(p["nodes"]) == 2 + 2 * 20 and p["text"].count("turn 0<") == 1
 
 
+def test_long_shared_turns_are_emitted_once_a_pack(spark):
+    df = spark.createDataFrame([(i, t, "user" if t == 0 else "assistant", "a" * 800 if t == 0 else f"answer {i:02d}") for i in range(20) for t in range(2)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        packs = chat.prefix_trees(df, 1200).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(packs) <= 3 and sum(len(p["conversations"]) for p in packs) == 20
+    assert all(len(p["text"]) <= 1200 + 100 and sum(x["parent"] == -1 for x in p["nodes"]) == 1 for p in packs)
+    assert {r["n_turns"] for r in chat.read_back(spark.createDataFrame(packs, chat.PACK)).collect()} == {2}
+
+
 def test_top_k(spark):
     rnd = np.random.default_rng(3)
     v = rnd.normal(size=(400, 8)).astype(np.float32)
