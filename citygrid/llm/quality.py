@@ -29,6 +29,7 @@ from .common import cut, lean, small_batches
 BITS = 18
 SAMPLE = 12_000
 EPOCHS = 4
+LONG, BLOCK = 5000, 500
 SHARE = 20.0  #: weight of a text's words, all together, against that of its shape
 
 #: Insults that a labeller looks for; what other words do is learned.
@@ -44,6 +45,16 @@ ABUSE = ("insult", "insults")
 QUESTIONS = {"junk": JUNK, "abuse": ABUSE}
 
 
+def repeats(words: list[bytes], distinct: int) -> bool:
+    """Whether under a quarter of the words are distinct. Long prose has that too, so from LONG words on its blocks of BLOCK words or its five-word runs must."""
+    n = len(words)
+    if n < LONG:
+        return distinct < 0.25 * n
+    if sum(len(set(words[i : i + BLOCK])) for i in range(0, n, BLOCK)) < 0.25 * n:
+        return True
+    return len(set(zip(*[words[i:] for i in range(5)]))) < 0.25 * n
+
+
 def votes(text: str | None) -> tuple[dict[str, list[int]], list[bytes]]:
     """Votes by question (1: bad, 0: fine, -1: none), and the text's distinct words in lower case."""
     raw = text.encode("utf-8", "surrogatepass") if text else b""
@@ -62,7 +73,7 @@ def votes(text: str | None) -> tuple[dict[str, list[int]], list[bytes]]:
         1 if symbols > 0.02 else -1,
         1 if shout > 0.2 else -1,
         1 if n >= 20 and stutter > 0.2 else -1,
-        1 if 40 <= n < 5000 and len(distinct) < 0.25 * n else -1,
+        1 if n >= 40 and repeats(words, len(distinct)) else -1,
         0 if symbols < 0.005 and shout < 0.02 and stutter < 0.1 and (n < 40 or len(bare & FREQUENT) > 3) else -1,
     ]
     return {"junk": junk, "abuse": [1 if insults else -1, 1 if insults > 1 else -1]}, list(low)

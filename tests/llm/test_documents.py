@@ -303,6 +303,20 @@ def test_passages_at_every_offset_and_short_items():
         assert (d[0], end[0]) == decontaminate.edits(bytes(w.astype(np.uint8)), bytes(s.astype(np.uint8)))
 
 
+def test_repeated_text_is_junk_at_any_length():
+    import random
+
+    rnd = random.Random(9)
+    many = [f"w{i}" for i in range(4000)]
+    draw = lambda n: [rnd.choice(many) for _ in range(n)]
+    said = lambda words: quality.votes(" ".join(words))[0]["junk"][3]
+    for n in (4999, 5000, 20_000):
+        assert said((draw(12) * n)[:n]) == 1  # a short line again and again
+        assert said([rnd.choice(many[:40]) for _ in range(n)]) == 1  # few words in any order
+    assert said(draw(900) * 30) == 1  # a long passage again and again
+    assert said(draw(20_000)) == -1  # 4,000 different words: under a quarter of all, but nothing is repeated
+
+
 def test_posterior_of_planted_labellers():
     rnd = np.random.default_rng(2)
     bad = rnd.random(20_000) < 0.2
