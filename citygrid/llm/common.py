@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL = 500_000  #: rows of a few short columns up to which a table is sent to every task
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. There is no other that would do on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path
 
 
@@ -40,9 +41,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame) -> None:
-    """Texts are long: Python workers get them in batches of a thousand rows, which bounds their memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def only(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """df joined with the distinct keys of a written table: they go to every task if they are at most SMALL rows, else both sides are shuffled."""
+    return df.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, on, how)
 
 
 def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

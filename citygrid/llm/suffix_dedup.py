@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, mix, small_batches
+from .common import cut, lean, mix
 
 GRAM = 50
 BLOCK = 4096  #: strings from which on a collection ends with its anchor
@@ -255,7 +255,6 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row of docs(doc_id, text); removed: starts and ends in turn."""
-    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(rows.select("row_id", "text"), length)

@@ -70,6 +70,36 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == near_brute(rows, 4)
 
 
+def test_near_duplicates_around_the_limit(spark):
+    """Several hundred variants of two texts, 0.6 to 0.9 alike: few links with the hubs, many across."""
+    import random
+
+    rnd = random.Random(15)
+    rows = []
+    for group in range(2):
+        base = prose(rnd, 120).split()
+        for i in range(220):
+            w = list(base)
+            for at in rnd.sample(range(120), rnd.choice([1, 2, 3, 4, 5, 6, 7, 9])):
+                w[at] = f"v{rnd.randrange(10**6)}"
+            rows.append((1000 * group + i, " ".join(w)))
+        rows += [(5000 + group, None), (None, rows[-1][1]), (None, rows[-1][1]), rows[-2]]
+    rnd.shuffle(rows)
+    got = near_dedup.near_duplicates(frame(spark, rows, False)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=str) == near_brute(rows, 4)
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = documents() + [(70, "other words of the same id"), (None, "nobody's words alone"), (None, "nobody's words alone"), (None, documents()[3][1])]
+    df = frame(spark, rows)
+    out = near_dedup.one_of_each(df, 5)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    best = {d for d, _, _, kept in near_brute(rows, 5) if kept}
+    want = {(d, t) for d, t in rows if d in best or d is not None and not (t or "").split()} | {(None, "nobody's words alone")}
+    assert got == sorted(want, key=str)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert near_dedup.near_duplicates(none).count() == 0
@@ -91,7 +121,7 @@ def test_odd_sketch_follows_similarity():
             a = np.unique(np.concatenate((both, rnd.integers(0, 2**63, own, np.uint64))))
             b = np.unique(np.concatenate((both, rnd.integers(0, 2**63, own, np.uint64))))
             seen.append(pop(near_dedup.odd_sketch(near_dedup.samples(a)), near_dedup.odd_sketch(near_dedup.samples(b))))
-        assert abs(np.mean(seen) - near_dedup.most_bits(share)) < 20
+        assert abs(np.mean(seen) - near_dedup.most_bits(both.size / (both.size + 2 * own))) < 20  # own is rounded down
 
 
 def removed_brute(rows, length):
