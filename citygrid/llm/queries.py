@@ -27,7 +27,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), 400).drop("removed")
+    """The contract's columns, the removed runs, and what is left of each text."""
+    return remove_repeats(table(spark, sf_dir, "documents"), 400)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

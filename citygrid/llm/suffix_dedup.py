@@ -10,10 +10,12 @@
    range maxima. A window is repeated if it agrees with a neighbour in the order over `length` bytes or more. As the strings are
    aligned, only one column of the transform is open at a time; a collection is of whole anchors and has less than BLOCK + HOT
    strings, so a column is at most that many bytes and files on disk are not needed.
-4. An anchor with more than HOT different contexts isn't gathered: its contexts' windows are counted by hash, in shuffles.
-5. Repeated intervals go back to all occurrences of their context, and per document their union is taken out.
+4. No task may hold an unbounded group: an anchor with more than HOT different contexts is cut up to single windows, which are
+   compared by hash in shuffles, the columns of one window at a time being all that is left to compare.
+5. Repeated intervals go back to all occurrences of their context, and per document their union is taken out. Contexts that make up
+   over 1 / SPLIT of all occurrences (fewer than SPLIT) go to every task, so no key of the shuffled join holds more.
 
-Nulls: a null text is empty. Rows are told apart by a hash of doc_id and text; equal rows are copies of each other and so lose all their windows.
+Nulls: a null text is empty. Rows are told apart by 128 bits of hash of doc_id and text; equal rows are copies of each other and so lose all their windows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ GRAM = 50
 BLOCK = 4096  #: strings from which on a collection ends with its anchor
 HOT = 30_000  #: different contexts of an anchor beyond which its windows are counted instead
 CHUNK = 1 << 19  #: bytes of a document looked at at a time
+SPLIT = 1000
+ROW = ["r1", "r2"]  #: a row's two hashes
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -83,14 +87,14 @@ def _occurrences(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row_id, text in zip(pdf["row_id"], pdf["text"]):
+            for r1, r2, text in zip(pdf["r1"], pdf["r2"], pdf["text"]):
                 raw = _encoded(text)
                 if len(raw) < length:
                     continue
                 pos, h = anchors(np.frombuffer(raw, np.uint8), length)
                 lo, hi = np.maximum(pos - (length - GRAM), 0), np.minimum(pos + length, len(raw))
                 same = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], p - a) for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist())), np.uint64, pos.size)
-                rows.append(pd.DataFrame({"row_id": row_id, "pos": pos.astype(np.int32), "anchor": h.view(np.int64), "same": same.view(np.int64)}))
+                rows.append(pd.DataFrame({"r1": r1, "r2": r2, "pos": pos.astype(np.int32), "anchor": h.view(np.int64), "same": same.view(np.int64)}))
             if rows:
                 yield pd.concat(rows)
 
@@ -106,8 +110,8 @@ def _contexts(length: int):
                 for x in wanted:
                     p = x["pos"]
                     a = max(p - (length - GRAM), 0)
-                    rows.append((x["anchor"], x["same"], p - a, raw[a : p + length]))
-            yield pd.DataFrame(rows, columns=["anchor", "same", "before", "bytes"])
+                    rows.append((x["anchor"], x["same"], x["kinds"], p - a, raw[a : p + length]))
+            yield pd.DataFrame(rows, columns=["anchor", "same", "kinds", "before", "bytes"])
 
     return lean(run)
 
@@ -204,14 +208,14 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
             raw = _encoded(text)
-            gone = union([] if spans is None else [(x["a"], x["b"]) for x in spans])
+            gone = union([] if spans is None else [(x["a"], min(x["b"], len(raw))) for x in spans])
             parts, at = [], 0
             for a, b in gone:
                 parts.append(raw[at:a])
                 at = b
             kept = b"".join(parts) + raw[at:]
-            rows.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [x for y in gone for x in y]))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+            rows.append((doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [x for y in gone for x in y], kept.decode("utf-8", "ignore") if gone else text))
+        frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "text"])
         yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
 
@@ -226,16 +230,16 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(row_id, a, b): stretches of docs(row_id, text) that repeated windows cover; they may overlap."""
-    met = cut(docs.mapInPandas(_occurrences(length), "row_id long, pos int, anchor long, same long"), "met")
-    kinds = met.groupBy("anchor", "same").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos")).alias("first"))
+    """(r1, r2, a, b): stretches of docs(r1, r2, text) that repeated windows cover; they may overlap."""
+    met = cut(docs.mapInPandas(_occurrences(length), "r1 long, r2 long, pos int, anchor long, same long"), "met")
+    kinds = met.groupBy("anchor", "same").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "pos")).alias("first"))
     kinds = cut(kinds, "kinds")
     per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     kinds = cut(kinds.join(per, "anchor").select("anchor", "same", "n", "kinds", "first"), "repeated")
     # contexts that occur more than once are covered whole; what else an anchor has is compared
-    wanted = kinds.where("kinds > 1").groupBy(F.col("first.row_id").alias("row_id")).agg(F.collect_list(F.struct("anchor", "same", F.col("first.pos").alias("pos"))).alias("wanted"))
-    contexts = docs.join(wanted, "row_id").select("text", "wanted").mapInPandas(_contexts(length), "anchor long, same long, before int, bytes binary")
-    contexts = cut(contexts.join(per.select("anchor", "kinds"), "anchor"), "contexts")
+    wanted = kinds.where("kinds > 1").groupBy("first.r1", "first.r2").agg(F.collect_list(F.struct("anchor", "same", F.col("first.pos").alias("pos"), "kinds")).alias("wanted"))
+    contexts = docs.join(wanted, ROW).select("text", "wanted").mapInPandas(_contexts(length), "anchor long, same long, kinds long, before int, bytes binary")
+    contexts = cut(contexts, "contexts")
     few = contexts.where(f"kinds <= {HOT}").select("anchor", "same", "before", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     spans = few.mapInPandas(_column_wise(length), "anchor long, same long, lo int, hi int")
     windows = contexts.where(f"kinds > {HOT}").mapInPandas(_windows(length), "anchor long, same long, at int, window long")
@@ -246,18 +250,27 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     hot = hot.selectExpr("anchor", "same", f"inline({step.format(length)})")
     found = spans.union(hot).groupBy("anchor", "same").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
     whole = F.array(F.struct(F.lit(-(2**30)).alias("lo"), F.lit(2**30).alias("hi")))
-    marked = kinds.join(found, ["anchor", "same"], "left").select("anchor", "same", F.when(F.col("n") > 1, whole).otherwise(F.col("parts")).alias("parts")).where("parts IS NOT NULL")
-    every = met.join(marked, ["anchor", "same"]).select("row_id", "pos", F.explode("parts").alias("p"))
+    on = ["anchor", "same"]
+    marked = kinds.join(found, on, "left").select(*on, "n", F.when(F.col("n") > 1, whole).otherwise(F.col("parts")).alias("parts")).where("parts IS NOT NULL")
+    marked = cut(marked, "marked")
+    total = met.agg(F.count("*").alias("total"))
+    often = marked.join(F.broadcast(total)).where(f"n * {SPLIT} > total").select(*on, "parts")
+    rest = marked.join(F.broadcast(total)).where(f"n * {SPLIT} <= total").select(*on, "parts")
+    every = met.join(F.broadcast(often), on).unionByName(met.join(F.broadcast(often.select(*on)), on, "left_anti").join(rest, on))
+    every = every.select(*ROW, "pos", F.explode("parts").alias("p"))
     lo = F.greatest(F.col("p.lo"), F.lit(-(length - GRAM))) + F.col("pos")
     hi = F.least(F.col("p.hi"), F.lit(length)) + F.col("pos")
-    return every.select("row_id", F.greatest(lo, F.lit(0)).alias("a"), hi.alias("b"))
+    return every.select(*ROW, F.greatest(lo, F.lit(0)).alias("a"), hi.alias("b"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row of docs(doc_id, text); removed: starts and ends in turn."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, text) for each row of docs(doc_id, text).
+
+    removed: starts and ends of the removed runs in turn, in bytes; text: what is left, without the halves of characters that a run cut.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows.select("row_id", "text"), length)
-    per = spans.groupBy("row_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    out = rows.join(per, "row_id", "left").select("doc_id", "text", "spans")
-    return out.mapInPandas(lean(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>")
+    rows = rows.withColumns({"r1": F.xxhash64("doc_id", "text"), "r2": F.xxhash64(F.lit(1), "doc_id", "text")})
+    spans = repeated_spans(rows.select(*ROW, "text"), length)
+    per = spans.groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    out = rows.join(per, ROW, "left").select("doc_id", "text", "spans")
+    return out.mapInPandas(lean(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<int>, text string")
