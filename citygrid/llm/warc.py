@@ -1,7 +1,8 @@
 """WARC archives: written with revisit records for equal payloads, read back with boundary-chain verification.
 
 Writing. Equal payloads of at least `least` bytes are found by digest and size (a maximum of page_id, combined before the shuffle);
-the record with the largest page_id is the response, others revisit it. Records go out through Spark's text writer, whose line
+the record with the largest page_id is the response, others revisit it. The few payloads that make up over 1 / HOT of all pages go to
+every task, and so do all repeated ones while they are few; only beyond that are pages shuffled by digest. Records go out through Spark's text writer, whose line
 separator is the end of a record, so files are committed by Spark and lie on any file system it knows.
 
 Reading. Files are split at the magic line by Spark's text reader (compressed ones, of at most RECORDS records, are one block each); a task emits for each piece its length, its header and what
@@ -11,6 +12,7 @@ finds the offsets that records really start at; only those count. This needs a f
 files hold at most RECORDS records. A record whose payload holds the magic is in several pieces: for these alone the files are read
 once more and their pieces joined.
 
+Pieces are bytes from the reader on, so archives whose payloads or headers aren't UTF-8 are read like others.
 Nulls: null html is empty, a null url too; of records without page_id only their payload is told. Repeated rows of one page are
 responses alike where they are the last of their payload. An empty table gives an empty archive and no rows.
 """
@@ -23,14 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, new_path
+from .common import cut, lean, new_path, only
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 RECORDS = 20_000
+HOT = 1000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -46,8 +49,12 @@ def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip"
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\r\n]", "").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
     page = page.withColumns({"size": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html").cast("binary"))})
-    last = page.groupBy("digest", "size").agg(F.max("page_id").alias("last"))
-    page = page.join(last, ["digest", "size"])
+    on = ["digest", "size"]
+    last = page.groupBy(*on).agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    last = cut(last.where("n > 1").join(F.broadcast(page.agg(F.count("*").alias("total")))), "payloads")
+    often = page.join(F.broadcast(last.where(f"n * {HOT} > total").select(*on, "last")), on, "left")  # under HOT rows
+    rest = only(often.where("last IS NULL").drop("last"), cut(last.where(f"n * {HOT} <= total").select(*on, "last"), "payloads"), on, "left")
+    page = often.where("last IS NOT NULL").unionByName(rest)
     again = (F.col("size") >= least) & F.coalesce(F.col("page_id") != F.col("last"), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     head = F.concat(
@@ -88,7 +95,7 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file, block, text in zip(pdf["file"], pdf["block"], pdf["value"]):
             if (file, block) != now:
                 now, at = (file, block), 0
-            raw = text.encode("utf-8", "surrogatepass")
+            raw = bytes(text)
             fields, head = _header(raw)
             content = _number(fields.get("content-length")) if head else None
             if content is not None and content >= 0:
@@ -125,7 +132,7 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
 def _with_start(pieces: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -139,7 +146,7 @@ def _raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file, block, text in zip(pdf["file"], pdf["block"], pdf["value"]):
             if (file, block) != now:
                 now, at = (file, block), 0
-            raw = text.encode("utf-8", "surrogatepass")
+            raw = bytes(text)
             out.append((file, block, at, raw))
             at += len(raw) + len(MAGIC)
         yield pd.DataFrame(out, columns=["file", "block", "at", "raw"])
@@ -159,8 +166,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records below path, digests of responses from their bytes."""
     pieces = cut(_text(spark, path).mapInPandas(lean(_pieces), _PIECE), "pieces")
     sums = pieces.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
-    earlier = sums.select("file", F.col("block").alias("b0"), F.col("bytes").alias("n0"))
-    blocks = sums.join(earlier, "file").where("b0 <= block").groupBy("file", "block").agg((F.sum("n0") - F.max(F.when(F.col("b0") == F.col("block"), F.col("n0")))).alias("base"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.select("file", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
     placed = _with_start(pieces, blocks).where("ahead IS NOT NULL AND start >= 0")
     chain = placed.select("file", "start", "ahead").groupBy("file").applyInPandas(_chain, "file string, start long")
     records = placed.join(chain, ["file", "start"])
