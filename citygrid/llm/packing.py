@@ -9,7 +9,8 @@ The histogram of piece lengths (at most `size` entries, whatever the corpus) is
 4. what is left goes, longest first, to the fullest sequence that still has room (best fit), those of the patterns included, else to
    new sequences. Pieces of one length are alike, so this works on counts too.
 The result, slots (length, ranks from-to -> sequence and offset), has a bounded number of rows. Pieces get their rank among those of
-their length from counts by (length, hash bucket) and a window inside a bucket, and look their slot up.
+their length from counts by (length, hash bucket) and a window inside a bucket, and look their slot up. A length has as many buckets as
+its count asks for, BUCKET pieces in each, about. Repeated rows are packed each.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import cut, lean
 from .tokens import encoder
 
 BINS, PARTS = 96, 4
-BUCKETS = 256
+BUCKET = 20_000
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1500) -> np.ndarray:
@@ -191,24 +192,28 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int
 def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
     """pieces(length, ...) with sequence_id and offset: every row once, gapless from 0, no sequence over size. An empty table stays empty."""
     names = pieces.columns
-    spread = cut(pieces.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.lit(BUCKETS)).cast("int")), "pieces")
-    counts = spread.groupBy("length", "_bucket").agg(F.count("*").alias("n")).toPandas()  # at most size * BUCKETS rows
+    spread = cut(pieces, "pieces")
+    spark = spread.sparkSession
+    histogram = {int(r["length"]): int(r["n"]) for r in spread.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
+    buckets = spark.createDataFrame([(n, -(-k // BUCKET)) for n, k in histogram.items()] or [(0, 1)], "_length long, _buckets long")
+    spread = spread.join(F.broadcast(buckets), F.col("length") == F.col("_length"))
+    spread = spread.select(*names, F.pmod(F.xxhash64(*[F.col(c) for c in names]), "_buckets").alias("_bucket"))
+    counts = spread.groupBy("length", "_bucket").agg(F.count("*").alias("n")).toPandas()  # at most size rows, and one more for each BUCKET pieces
     counts = counts.sort_values(["length", "_bucket"])
-    histogram = counts.groupby("length")["n"].sum().to_dict()
     table = slots(plan(histogram, size))
+    step = np.int64(2) ** 40  # ranks and buckets of a length lie below
     before = (counts.groupby("length")["n"].cumsum() - counts["n"]).to_numpy(np.int64)
-    key = counts["length"].to_numpy(np.int64) * BUCKETS + counts["_bucket"].to_numpy(np.int64)
+    key = counts["length"].to_numpy(np.int64) * step + counts["_bucket"].to_numpy(np.int64)
     model = (key, before, *(table[c].to_numpy(np.int64) for c in table))
-    shared = spread.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, before, length, rank, sequence, offset = shared.value
         starts = np.searchsorted(length, np.arange(size + 2))
-        step = np.int64(2) ** 40  # ranks of a length lie below
         code = length * step + rank
         for pdf in batches:
             n = pdf["length"].to_numpy(np.int64)
-            r = before[np.searchsorted(key, n * BUCKETS + pdf["_bucket"].to_numpy(np.int64))] + pdf["_n"].to_numpy(np.int64) - 1
+            r = before[np.searchsorted(key, n * step + pdf["_bucket"].to_numpy(np.int64))] + pdf["_n"].to_numpy(np.int64) - 1
             at = np.searchsorted(code, n * step + r, side="right") - 1
             assert (at >= starts[n]).all()
             yield pdf[names].assign(sequence_id=sequence[at] + r - rank[at], offset=offset[at])
