@@ -14,7 +14,9 @@ Hot groups are cut into slices, queries are cut into blocks of at most QUERIES r
 Bounds are kept SLACK apart, so that rounding and ties lose nothing.
 
 Vectors that are null or have null or non-finite components take no part; missing trailing components count as 0. Ties go to the
-smaller id. Repeated ids are rows of their own; a query leaves out all rows with its own id.
+smaller id. Repeated ids are rows of their own, as data and as queries: each query row has its own ranking, and leaves out all rows with
+its own id. Every query has to meet every group that the bounds can't rule out, so the work grows with queries times data; blocks and slices
+are large, so that what is shuffled is some thousandths of it.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut, lean
 
 PIVOTS = 48
-QUERIES = 1024
-SLICE = 20_000  #: replicas per slice, about
+QUERIES = 8192
+SLICE = 50_000  #: replicas per slice, about
 SLACK = 1e-6
 
 
@@ -66,7 +68,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL").where(whole)
         return df.select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
-    data, query = clean(vectors), clean(queries)
+    data, query = clean(vectors), clean(queries).withColumn("qid", F.monotonically_increasing_id())
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     facts = data.agg(F.max(norm).alias("m"), F.max(F.size("v")).alias("d")).first()
     schema = "query_id long, rank int, vec_id long, score long"
@@ -91,7 +93,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
         return run
 
     data = cut(data.mapInPandas(grouped(True), "vec_id long, v array<double>, cell int, far double"), "data")
-    query = cut(query.mapInPandas(grouped(False), "vec_id long, v array<double>, cell int, far double"), "query")
+    query = cut(query.mapInPandas(grouped(False), "vec_id long, v array<double>, qid long, cell int, far double"), "query")
     q = query.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()  # a row per pivot, at most
     # the k + 1 nearest of each cell: distances are first rounded up to a grid, whose counts are all that is gathered
     top = float(data.agg(F.max("far")).first()[0]) + 1.0
@@ -125,32 +127,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     copies = copies.withColumn("slice", salt).join(F.broadcast(counts), "group")  # counts: a row per pivot
     copies = copies.select("group", "slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
     asked = query.withColumnRenamed("cell", "group").join(F.broadcast(counts), "group")
-    asked = asked.select("group", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    asked = asked.select("group", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "block", "vec_id", "v")
+    asked = asked.select("group", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int").alias("block"), "qid", "vec_id", "v")
+    asked = asked.select("group", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "block", "qid", "vec_id", "v")
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left) and len(right):
             y, ids = _stack(list(right["v"]), width), right["vec_id"].to_numpy(np.int64)
-            for i in range(0, len(left), 256):
-                part = left.iloc[i : i + 256]
-                own = part["vec_id"].to_numpy(np.int64)
+            for i in range(0, len(left), 64):
+                part = left.iloc[i : i + 64]
+                own, qid = part["vec_id"].to_numpy(np.int64), part["qid"].to_numpy(np.int64)
                 for j, vec, score in _best(_stack(list(part["v"]), width) @ y.T, ids, own, k):
-                    rows.append((int(own[j]), vec, int(score)))
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+                    rows.append((int(qid[j]), int(own[j]), vec, int(score)))
+        return pd.DataFrame(rows, columns=["qid", "query_id", "vec_id", "score"])
 
     on = ["group", "block", "slice"]
-    local = asked.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    local = asked.groupBy(*on).cogroup(copies.groupBy(*on)).applyInPandas(solve, "qid long, query_id long, vec_id long, score long")
     best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")))
-    merged = local.groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))  # k rows a slice
+    merged = local.groupBy("qid", "query_id").agg(F.slice(best, 1, k).alias("best"))  # k rows a slice
     return merged.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS qid, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2]))::BIGINT AS score
+s AS (SELECT q.qid, q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2]))::BIGINT AS score
       FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
