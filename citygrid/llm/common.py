@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. There is no other that would do on a cluster."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a single machine (tests) gets a temporary one; a cluster has no such folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="ckpt-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 

@@ -1,6 +1,7 @@
 """Operators over documents against plain Python."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,6 +17,7 @@ from citygrid.llm.tokens import encoder
 
 from .fixtures import documents, frame, prose
 
+SF = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -144,8 +146,16 @@ def removed_brute(rows, length):
 def test_repeats(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = documents()
-    got = suffix_dedup.remove_repeats(frame(spark, rows), 400).drop("removed").collect()
-    assert sorted(map(tuple, got), key=str) == removed_brute(rows, 400)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), 400).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == removed_brute(rows, 400)
+    texts = dict(rows)
+    for r in got:
+        runs = list(zip(r["removed"][::2], r["removed"][1::2]))
+        assert sum(b - a for a, b in runs) == r["n_removed"] and len(runs) == r["n_spans"]
+        if not runs:
+            assert r["text"] == (texts[r["doc_id"]] if r["doc_id"] != 70 else "x y z w v")
+        elif texts[r["doc_id"]].isascii():
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
 
 
 def test_column_wise_windows():
@@ -202,10 +212,47 @@ def test_random_strings_are_found_and_names_are_not(spark):
     df = frame(spark, rows)
     got = {r["doc_id"]: "random" in r["spans"] for r in secrets.scan(df).collect()}
     assert sum(got[i] for i in truth if truth[i]) >= 85 and sum(got[i] for i in truth if not truth[i]) <= 15
-    clean = {r["doc_id"]: r["t"] for r in df.select("doc_id", secrets.redact(F.col("text"), df).alias("t")).collect()}
+    out = secrets.redacted(df)
+    assert out.columns == df.columns
+    clean = {r["doc_id"]: r["text"] for r in out.collect()}
     assert all((clean[i] == "before [SECRET] after") == got[i] for i in truth)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_planted_keys_in_documents(spark):
+    """Keys of several encodings and lengths, in a copy of documents: at least nine tenths are found, and what else is found is random digits."""
+    import random
+    import string
+
+    rnd = random.Random(3)
+    alphabets = {"base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF", "decimal": string.digits}
+    rows, keys = [], {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        t = r["text"]
+        if t and r["doc_id"] % 3 == 0:
+            kind = rnd.choice(sorted(alphabets))
+            key = "".join(rnd.choice(alphabets[kind]) for _ in range(rnd.choice([20, 24, 32, 40, 64])))
+            at = rnd.randrange(len(t))
+            at = t.rfind(" ", 0, at) + 1
+            t = t[:at] + key + " " + t[at:]
+            keys[r["doc_id"]] = (at, at + len(key), kind)
+        rows.append((r["doc_id"], t))
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found, other = 0, []
+    for d, t in rows:
+        for x in filter(None, got[d]["spans"].split(",")):
+            kind, a, b = x.split(":")
+            if d in keys and int(a) < keys[d][1] and keys[d][0] < int(b):
+                found += 1
+            elif kind == "random":
+                other.append(t[int(a) : int(b)])
+        assert len(list(filter(None, got[d]["base_p"].split(",")))) == got[d]["n_assign"] + got[d]["n_access"] + got[d]["n_hex"]
+    assert found >= 0.9 * len(keys)
+    assert sum(not x.isdigit() for x in other) <= 0.1 * (found + len(other))
+    p = [float(x.split(":")[3]) for r in got.values() for x in r["base_p"].split(",") if x.startswith("hex")]
+    assert len(p) >= 5 and np.mean(np.array(p) > 0.05) > 0.7  # the tables' hex keys are random
+
+
 def test_test_battery_is_calibrated():
     import random
     import string

@@ -143,15 +143,15 @@ def test_top_k(spark):
     rnd = np.random.default_rng(3)
     v = rnd.normal(size=(400, 8)).astype(np.float32)
     v[100:220] = v[100]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(400)] + [(400, None), (450, [1.0, None]), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (600, [0.5] * 8), (None, [1.0] * 8), (650, [1.0, 2.0])]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(400)] + [(400, None), (450, [1.0, None]), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (600, [0.5] * 8), (None, [1.0] * 8), (650, [1.0, 2.0]), (50, [float(x) for x in v[51]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS label", "'x' AS v", "2 AS cell")
     q = df.where("vec_id % 50 = 0")
     got = sorted(map(tuple, knn.top_k(df, q).collect()))
-    ok = {i: np.pad(np.floor(256 * np.array(x, float)), (0, 8 - len(x))) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()}
+    ok = [(i, np.pad(np.floor(256 * np.array(x, float)), (0, 8 - len(x)))) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
     want = []
-    for i in ok:
+    for i, x in ok:  # two rows of id 50 have two rankings
         if i % 50 == 0:
-            best = sorted(((-int(ok[i] @ ok[j]), j) for j in ok if j != i))[:5]
+            best = sorted(((-int(x @ y), j) for j, y in ok if j != i))[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert got == sorted(want)
     assert knn.top_k(df.limit(0), q).count() == 0 and knn.top_k(df, q.limit(0)).count() == 0
@@ -178,6 +178,22 @@ def test_warc_round_trip_with_magic_in_payloads(spark, compression):
     assert some == 0 and warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_one_common_payload(spark):
+    rows = [(i, "u", "same" if i % 3 else f"page {i}") for i in range(3000)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got.count() == 3000 and got.where("record_type = 'revisit'").groupBy("refers_to").count().collect()[0][1] == 1999
+
+
+def test_archives_that_are_not_utf8(spark, tmp_path):
+    bodies = [b"plain", b"caf\xe9 \xff\xfe", b"", b"\x80" + warc.MAGIC.encode() + b"\x81", b"last"]
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n"
+    raw = b"".join((head % (i, len(b))).encode() + b + b"\r\n\r\n" for i, b in enumerate(bodies))
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.warc").write_bytes(raw)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {i: (len(b), warc.base32(b)) for i, b in enumerate(bodies)}
+
+
 def test_chain_rejects_unreachable():
     start, succ = np.array([0, 10, 15, 40, 90]), np.array([40, 15, 40, 90, 120])
     assert warc.reachable(start, succ).tolist() == [True, False, False, True, True]
