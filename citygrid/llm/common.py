@@ -50,6 +50,13 @@ def only(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_s
     return df.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, on, how)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most so many rows: what a Python worker builds from a part stays small, and in its caches."""
+    for pdf in batches:
+        for i in range(0, len(pdf), rows):
+            yield pdf.iloc[i : i + rows].reset_index(drop=True)
+
+
 def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """f, after which the Python worker gives its free memory back: workers live on between tasks, beside the executor's heap."""
 

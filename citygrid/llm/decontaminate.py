@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, slices
 
 Q = 8
 PASSAGE = 50
@@ -240,7 +240,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(b)
 
         def found(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in slices(batches):
                 rows = [(i, *x) for i, text in enumerate(pdf["text"]) for x in shared.value.find(text)]
                 frame = pd.DataFrame([x[1:] for x in rows], columns=["item_id", "start", "end", "edits"])
                 frame.insert(0, "doc_id", pdf["doc_id"].astype("Int64").array[[x[0] for x in rows]])

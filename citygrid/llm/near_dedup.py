@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, mix, only
+from .common import cut, lean, mix, only, slices
 from .components import components
 from .shingles import shingle_set
 
@@ -78,7 +78,7 @@ def digest(s: np.ndarray) -> bytes:
 def _signed(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()  # a partition's sets: bands come with the first row of each
-        for pdf in batches:
+        for pdf in slices(batches):
             out = []
             for text in pdf["text"]:
                 s = shingle_set(text, words)
@@ -96,7 +96,7 @@ def _signed(words: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             out = []
             for text in pdf["text"]:
                 s = shingle_set(text, words)

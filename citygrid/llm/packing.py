@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, lean, slices
 from .tokens import encoder
 
 BINS, PARTS = 96, 4
@@ -170,7 +170,7 @@ def slots(made: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 def _pieces(path: str, size: int, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = np.array([end_id], "<u4").tobytes()
-        for pdf in batches:
+        for pdf in slices(batches):
             rows = []
             for doc, raw in zip(pdf["doc_id"], encoder(path).encode(list(pdf["text"]))):
                 raw += last
