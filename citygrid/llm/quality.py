@@ -11,6 +11,7 @@ Two questions are asked of a document: is it junk, is it abusive? For each:
 5. every document's whole text is scored. A document is rejected if either score is above zero.
 
 Nulls: a null or blank text gets no votes but that it is blank, and is rejected as junk. Rows with a null doc_id are scored too.
+Repeated rows are counted and scored each; of rows of one doc_id, one text at most is in the sample. Repeated labels of an id: the worst counts.
 An empty table gives an empty result; without any vote of one class the scorer is constant.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, lean, slices
 
 BITS = 18
 SAMPLE = 12_000
@@ -171,7 +172,7 @@ def ftrl(words: list[np.ndarray], shapes: list[np.ndarray], target: np.ndarray,
 
 
 def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in slices(batches):
         x, shape = [], []
         for text in pdf["text"]:
             v, words = votes(text)
@@ -195,15 +196,17 @@ class Scorer:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = np.stack([weights[q] for q in QUESTIONS], axis=1).astype(np.float64) if weights else np.zeros(((1 << BITS) + 1, len(QUESTIONS)))
-        self.known: dict[bytes, complex] = {}  # both questions' sums at once, as one number's parts
+        self.both = (self.w[:, 0] + 1j * self.w[:, 1]).tolist()  # both questions at once, as one number's parts
+        self.known: dict[bytes, complex] = {}
 
     def _word(self, w: bytes) -> complex:
         s = self.known.get(w)
         if s is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            a = self.w[list(word_features(w))].sum(axis=0)
-            s = self.known[w] = complex(a[0], a[1])
+            a, b, c, d, e = word_features(w)
+            both = self.both
+            s = self.known[w] = both[a] + both[b] + both[c] + both[d] + both[e]
         return s
 
     def score(self, text: str | None) -> tuple[float, float]:
@@ -251,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
-        for pdf in batches:
+        for pdf in slices(batches):
             s = np.array([scorer.score(t) for t in pdf["text"]]).reshape(-1, 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "junk_score": s[:, 0], "abuse_score": s[:, 1], "kept": (s <= 0).all(axis=1)})
 
