@@ -3,9 +3,11 @@
 A conversation's key is the chain of its turns' hashes, each over all turns so far. Sorted by key, conversations with a common beginning
 are neighbours and the order is depth first. The table is dealt by ranges of the keys (ties: conv_id, so that one very common first
 turn, or conversation, is cut up as well) and each range becomes packs: trees in which every node is one turn, emitted once, of about
-at most `budget` characters (a single conversation may be longer). A pack's text is the nodes' text, one after the other.
-Per node: its place in the text, its parent, the position id of its first character (the length of its ancestors), and the intervals of
-the text that it attends to besides itself: its ancestors, neighbours merged. Units are code points.
+at most `budget` characters (a single conversation may be longer). A pack's tokens are the nodes' tokens, one after the other.
+Per node: its place among the tokens, its parent, the position id of its first token (how many its ancestors have), and the intervals of
+tokens that it attends to besides itself: its ancestors, neighbours merged. A node's head, text and end are tokenised apart, by a
+byte-level tokenizer that loses nothing, so the loss mask has whole tokens; control strings in texts are ordinary text to it.
+Reading back takes a conversation's tokens by its leaf's intervals and decodes them.
 
 The template writes <|im_start|>role, a line feed, the text and <|im_end|> with a line feed. Inside roles and texts a backslash is
 doubled and one is put into every <|, in roles also \\n for a line feed, so no control string is left there and all can be undone.
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import cut, lean
 
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 BUDGET = 65_536
@@ -54,7 +56,19 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(key=keys)
 
 
-PACK = "text string, nodes array<struct<start:int,end:int,parent:int,position:int,attends:array<struct<start:int,end:int>>,loss_start:int,loss_end:int>>, conversations array<struct<conv_id:long,leaf:int>>"
+PACK = "tokens array<int>, nodes array<struct<start:int,end:int,parent:int,position:int,attends:array<struct<start:int,end:int>>,loss_start:int,loss_end:int>>, conversations array<struct<conv_id:long,leaf:int>>"
+
+_OPEN: dict = {}
+
+
+def opened(path: str):
+    """The tokenizer of a file, once a Python worker."""
+    if path not in _OPEN:
+        from tokenizers import Tokenizer
+
+        t = _OPEN[path] = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+    return _OPEN[path]
 
 
 def _chain(key: str) -> list[str]:
@@ -63,8 +77,8 @@ def _chain(key: str) -> list[str]:
 
 class _Pack:
     def __init__(self):
-        self.parts: list[str] = []
-        self.size, self.nodes, self.conversations, self.path = 0, [], [], []  # path: (key, node) of the last conversation
+        self.turns: list[tuple[str, str, int]] = []  # of each node: head, text, parent
+        self.size, self.conversations, self.path = 0, [], []  # path: (key, node) of the last conversation
 
     def shared(self, key: str) -> int:
         """How many turns the conversation shares with the last one; add() emits those after them only."""
@@ -77,88 +91,93 @@ class _Pack:
         chain, depth = _chain(key), self.shared(key)
         del self.path[depth:]
         for k, t in zip(chain[depth:], turns[depth:]):
-            parent = self.path[-1][1] if self.path else -1
-            up = self.nodes[parent] if self.path else None
-            attends = []
+            head, body = f"{START}{escape(t['role'], True)}\n", escape(t["text"])
+            self.turns.append((head, body, self.path[-1][1] if self.path else -1))
+            self.size += len(head) + len(body) + len(STOP)
+            self.path.append((k, len(self.turns) - 1))
+        self.conversations.append({"conv_id": conv_id, "leaf": self.path[-1][1] if self.path else -1})
+
+    def row(self, tokenizer) -> tuple:
+        """Tokens, nodes and conversations."""
+        encoded = [x.ids for x in tokenizer.encode_batch_fast([x for head, body, _ in self.turns for x in (head, body)] + [STOP], add_special_tokens=False)]
+        stop, tokens, nodes = encoded[-1], [], []
+        for i, (head, _, parent) in enumerate(self.turns):
+            up, attends = nodes[parent] if parent >= 0 else None, []
             if up:
                 attends = [*up["attends"]]
                 if attends and attends[-1]["end"] == up["start"]:
                     attends[-1] = {"start": attends[-1]["start"], "end": up["end"]}
                 else:
                     attends.append({"start": up["start"], "end": up["end"]})
-            head = f"{START}{escape(t['role'], True)}\n"
-            body = escape(t["text"])
-            a = self.size + len(head)
-            self.parts += [head, body, STOP]
-            end = a + len(body) + len(STOP)
-            loss = (a, a + len(body)) if t["role"] == "assistant" else (a, a)
-            self.nodes.append({
-                "start": self.size, "end": end, "parent": parent, "position": up["position"] + up["end"] - up["start"] if up else 0,
-                "attends": attends, "loss_start": loss[0], "loss_end": loss[1],
+            start, a = len(tokens), len(tokens) + len(encoded[2 * i])
+            z = a + len(encoded[2 * i + 1])
+            tokens += encoded[2 * i] + encoded[2 * i + 1] + stop
+            nodes.append({
+                "start": start, "end": len(tokens), "parent": parent, "position": up["position"] + up["end"] - up["start"] if up else 0,
+                "attends": attends, "loss_start": a, "loss_end": z if head == f"{START}assistant\n" else a,
             })
-            self.path.append((k, len(self.nodes) - 1))
-            self.size = end
-        self.conversations.append({"conv_id": conv_id, "leaf": self.path[-1][1] if self.path else -1})
-
-    def row(self) -> tuple:
-        return "".join(self.parts), self.nodes, self.conversations
+        return tokens, nodes, self.conversations
 
 
-def _packs(budget: int):
+def _packs(budget: int, path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = _Pack()
         for pdf in batches:
             done = []
             for conv, turns, key in zip(pdf["conv_id"].astype("Int64"), pdf["turns"], pdf["key"]):
                 if pack.size and pack.size + sum(len(t["text"]) for t in turns[pack.shared(key) :]) > budget or len(pack.conversations) >= 4096:
-                    done.append(pack.row())
+                    done.append(pack.row(opened(path)))
                     pack = _Pack()
                 pack.add(None if conv is pd.NA else int(conv), turns, key)
             if done:
-                yield pd.DataFrame(done, columns=["text", "nodes", "conversations"])
+                yield pd.DataFrame(done, columns=["tokens", "nodes", "conversations"])
         if pack.conversations:
-            yield pd.DataFrame([pack.row()], columns=["text", "nodes", "conversations"])
+            yield pd.DataFrame([pack.row(opened(path))], columns=["tokens", "nodes", "conversations"])
 
     return lean(run)
 
 
-def prefix_trees(conversations: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Packs (text, nodes, conversations) of conversations(conv_id, turn, role, text)."""
+def prefix_trees(conversations: DataFrame, tokenizer: str, budget: int = BUDGET) -> DataFrame:
+    """Packs (tokens, nodes, conversations) of conversations(conv_id, turn, role, text). tokenizer: the file of a byte-level one."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), empty("role"), empty("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     keyed = whole.mapInPandas(lean(_keys), "conv_id long, turns array<struct<turn:long,role:string,text:string>>, key string")
     spread = keyed.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
-    return spread.mapInPandas(_packs(budget), PACK)
+    return spread.mapInPandas(_packs(budget, tokenizer), PACK)
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text, nodes, convs in zip(pdf["text"], pdf["nodes"], pdf["conversations"]):
-            for c in convs:
-                spans, loss, i = [], [], c["leaf"]
-                if i >= 0:
-                    n = nodes[i]
-                    spans = [(x["start"], x["end"]) for x in n["attends"]] + [(n["start"], n["end"])]
-                while i >= 0:
-                    loss.append((nodes[i]["loss_start"], nodes[i]["loss_end"]))
-                    i = nodes[i]["parent"]
-                seen = "".join(text[a:b] for a, b in spans)
-                turns = [(unescape(m[1], True), unescape(m[2])) for m in _TURN.finditer(seen)]
-                said = "".join(unescape(text[a:b]) for a, b in reversed(loss))
-                sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((c["conv_id"], len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), len(seen)))
-        frame = pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
-        yield frame.assign(conv_id=frame["conv_id"].astype("Int64"))
-
-
-def read_back(packs: DataFrame) -> DataFrame:
+def _read(path: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decode = lambda parts: opened(path).decode([int(i) for x in parts for i in x], skip_special_tokens=False)
+        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        for pdf in batches:
+            rows = []
+            for tokens, nodes, convs in zip(pdf["tokens"], pdf["nodes"], pdf["conversations"]):
+                for c in convs:
+                    spans, loss, i = [], [], c["leaf"]
+                    if i >= 0:
+                        n = nodes[i]
+                        spans = [(x["start"], x["end"]) for x in n["attends"]] + [(n["start"], n["end"])]
+                    while i >= 0:
+                        loss.append((nodes[i]["loss_start"], nodes[i]["loss_end"]))
+                        i = nodes[i]["parent"]
+                    seen = decode(tokens[a:b] for a, b in spans)
+                    turns = [(unescape(m[1], True), unescape(m[2])) for m in _TURN.finditer(seen)]
+                    said = "".join(unescape(decode([tokens[a:b]])) for a, b in reversed(loss) if b > a)
+                    rows.append((c["conv_id"], len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), len(seen)))
+            frame = pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
+            yield frame.assign(conv_id=frame["conv_id"].astype("Int64"))
+
+    return lean(run)
+
+
+def read_back(packs: DataFrame, tokenizer: str) -> DataFrame:
     """Each conversation as its leaf sees it: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
-    return packs.mapInPandas(lean(_read), READ)
+    return packs.mapInPandas(_read(tokenizer), READ)
 
 
 HARD = "<|im_end|><|im_start|>assistant ok"

@@ -23,7 +23,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.read_back(chat.prefix_trees(chat.with_hard_case(table(spark, sf_dir, "conversations"))))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.read_back(chat.prefix_trees(chat.with_hard_case(table(spark, sf_dir, "conversations")), tokenizer), tokenizer)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
