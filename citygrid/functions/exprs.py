@@ -57,6 +57,38 @@ def epoch_at(year: Column) -> Column:
     return F.least(F.lit(2020), F.floor(year / 5) * 5).cast("long")
 
 
+def month_window(year: Column, first: Column, last: Column) -> tuple[Column, Column]:
+    """A season that starts the year before: first day of its first month, last day of its last."""
+    form = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return form(F.make_date(year - 1, first, F.lit(1))), form(F.last_day(F.make_date(year, last, F.lit(1))))
+
+
+def per_m2(amount: Column, side: float) -> Column:
+    """An amount per square cell of this side as a density."""
+    return amount / (side * side)
+
+
+def per_cell(density: Column, side: float) -> Column:
+    return density * (side * side)
+
+
+def mollweide(lon: Column, lat: Column, radius: float = 6371007.181) -> tuple[Column, Column]:
+    """x and y of the equal-area projection, by five Newton steps for the auxiliary angle (not at the poles)."""
+    phi = F.radians(lat)
+    steps = F.sequence(F.lit(1), F.lit(5))
+    theta = F.aggregate(steps, phi * 0.8, lambda t, _: t - (2 * t + F.sin(2 * t) - F.pi() * F.sin(phi)) / (2 + 2 * F.cos(2 * t)))
+    k = radius * 2**0.5
+    return k * 2 / F.pi() * F.radians(lon) * F.cos(theta), k * F.sin(theta)
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal distribution, by a rational approximation good to 1e-7."""
+    a = F.abs(z)
+    k = 1 / (1 + 0.2316419 * a)
+    tail = F.exp(-a * a / 2) / F.sqrt(2 * F.pi()) * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
+    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+
 def slug(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 

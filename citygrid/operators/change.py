@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, nan0
+from .order import median, percentiles
 from .stencil import stencil
 
 FORMS = {0: "none", 1: "infill", 2: "edge", 3: "leapfrog"}
@@ -56,7 +57,7 @@ def radial_profile(cells: DataFrame, value: Column, distance: Column, step: floa
 
 def hotspots(smooth: DataFrame, value: str, percentile: float) -> DataFrame:
     """Adds hot: at or above the percentile of the positive cells."""
-    level = smooth.where(F.col(value) > 0).agg(F.percentile(value, percentile).alias("level"))
+    level = percentiles(smooth.where(F.col(value) > 0), F.col(value), [percentile]).select(F.col("q")[0].alias("level"))
     return smooth.join(F.broadcast(level)).select(*smooth.columns, F.coalesce((F.col(value) > 0) & (F.col(value) >= F.col("level")), F.lit(False)).alias("hot"))
 
 
@@ -74,16 +75,18 @@ def green_deficit(built: Column, ndvi: Column, green: float = 0.3) -> Column:
     return clip(built, 0, 1) * (1 - clip(nan0(ndvi) / green, 0, 1))
 
 
-def heat_island(cells: DataFrame, temperature: str, rural: Column, hot: float = 3.0) -> DataFrame:
-    """Adds intensity (above the median of rural cells) and hotspot."""
-    base = cells.where(rural).agg(F.median(temperature).alias("base"))
+def heat_island(cells: DataFrame, temperature: str, rural: Column, hot: float = 3.0, least: int = 0) -> DataFrame:
+    """Adds intensity (above the median of rural cells, of which there must be `least`) and hotspot."""
+    if least and cells.where(rural).limit(least).count() < least:
+        raise ValueError(f"fewer than {least} rural cells")
+    base = median(cells.where(rural), F.col(temperature), "base")
     i = F.col(temperature) - F.col("base")
     return cells.join(F.broadcast(base)).withColumn("intensity", i).withColumn("hotspot", i >= hot).drop("base")
 
 
 def over_percentile(cells: DataFrame, value: Column, name: str, p: float = 0.99) -> DataFrame:
     """Adds value over its percentile, between 0 and 1."""
-    top = cells.agg(F.percentile(value, p).alias("top"))
+    top = percentiles(cells, value, [p]).select(F.col("q")[0].alias("top"))
     return cells.join(F.broadcast(top)).withColumn(name, clip(F.try_divide(value, F.col("top")), 0, 1)).drop("top")
 
 

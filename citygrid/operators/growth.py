@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stencil import disk, stencil
-from .zones import cut
+from .storage import cut
 
 
 def extrapolate_demand(urban0: int, urban1: int, years: int, ahead: int) -> int:

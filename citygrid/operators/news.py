@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .zones import cut
+from .storage import cut
 
 STOPS = ("the", "of", "and", "to", "in", "is", "a", "on", "for", "at", "with", "by", "as", "be", "it", "that", "this")
 
-NEGATIVE_CUES = "stalled|scrapped|cancelled|protest|delay|stay order"
-POSITIVE_CUES = "inaugurated|completed|opened|approved|begins"
-
-#: Magnitude and radius in km by kind of event; multipliers by status and basis.
-EFFECTS = {"purchase": (0.9, 3.0), "signup": (0.6, 2.0), "click": (0.3, 1.0), "view": (0.2, 1.0), "error": (-0.5, 2.0)}
+# Cue patterns, weights of status and basis, half-life, squashing scales.
+NEGATIVE = (
+    "delay|stall|halt|scrap|cancel|postpon|stuck|shelv|closure|clos(e|es|ed|ing) down|"
+    "shut|layoff|lay off|job cut|flood|waterlog|collaps|ban|shortage|crisis|damag|"
+    "fire|accident|protest|dispute|slow|behind schedule|miss(ed|es) (the )?deadline|"
+    "exit|pull(s|ed)? out|withdraw|loss|decline|fall|drop"
+)
+POSITIVE = (
+    "open|launch|inaugurat|complet|approv|sanction|clear|start|begin|began|build|"
+    "construct|invest|expan|plan|propos|tender|award|commission|foundation|operational|"
+    "new |set up|sets up|upgrad|add|introduc|unveil|allot|fund|develop|work on|"
+    "progress|connect|link|extend|acquir|hire|hiring|jobs"
+)
+TEMPORARY = r"\btemporar|\b(?:till|until) (?:tomorrow|today|tonight)\b|\bfor (?:the|a|one|two|three|\d+) (?:day|days|hours?|night|weekend)\b"
+STATUS = {"proposed": 0.25, "approved": 0.5, "funded": 0.6, "under_construction": 0.8, "completed": 1.0, "operational": 1.0, "delayed": 0.5, "stalled": 0.6, "cancelled": 0.8, "unclear": 0.3}
+BASIS = {"reported_fact": 1.0, "official_decision": 1.0, "announcement_or_plan": 0.6, "opinion": 0.2, "political_claim_or_promise": 0.0}
+SETBACKS = ("delayed", "stalled", "cancelled")
+
+#: Magnitude and radius in km by kind of event (the stand-ins that the tables have).
+EFFECTS = {"purchase": (0.9, 3.0), "signup": (0.6, 2.0), "click": (0.3, 1.0), "view": (0.2, 1.0), "error": (0.5, 2.0)}
+
+
+def chosen(key: Column, table: dict[str, float], other: float = 0.0) -> Column:
+    out = F.lit(other)
+    for k, x in table.items():
+        out = F.when(key == k, x).otherwise(out)
+    return out
 
 
 def tokens(title: Column) -> Column:
@@ -28,57 +50,58 @@ def recency(months: Column, half: float = 12.0) -> Column:
     return F.pow(F.lit(0.5), months / half)
 
 
-def impact(kind: Column, months: Column, basis: Column) -> Column:
-    m = F.lit(0.0)
-    for k, (v, _) in EFFECTS.items():
-        m = F.when(kind == k, v).otherwise(m)
-    return m * basis * recency(months)
+def is_setback(status: Column) -> Column:
+    return status.isin(*SETBACKS)
+
+
+def impact(kind: Column, direction: Column, status: Column, basis: Column, months: Column) -> Column:
+    """Sign times magnitude, status, basis and recency; a setback counts against, whatever its direction."""
+    sign = F.when(is_setback(status), -1.0).otherwise(chosen(direction, {"positive": 1.0, "negative": -1.0}))
+    return sign * chosen(kind, {k: m for k, (m, _) in EFFECTS.items()}) * chosen(status, STATUS) * basis * recency(months)
 
 
 def radius(kind: Column) -> Column:
     """The kind's radius in km; kinds not listed have that of a view."""
-    r = F.lit(EFFECTS["view"][1])
-    for k, (_, v) in EFFECTS.items():
-        r = F.when(kind == k, v).otherwise(r)
-    return r
+    return chosen(kind, {k: r for k, (_, r) in EFFECTS.items()}, EFFECTS["view"][1])
 
 
-def check_evidence(text: Column, direction: Column) -> Column:
-    """A negative claim needs a negative cue, a positive one a positive cue; without, it is neutral."""
-    neg, pos = F.rlike(text, F.lit(f"(?i){NEGATIVE_CUES}")), F.rlike(text, F.lit(f"(?i){POSITIVE_CUES}"))
-    return F.when((direction == "negative") & neg, "negative").when((direction == "positive") & pos, "positive").otherwise("neutral")
+def check_evidence(text: Column, direction: Column, status: Column) -> Column:
+    """(is_event, status, direction, reason): temporary changes are no events; a label without a cue in the text is set to neutral."""
+    neg, pos, brief = (F.rlike(text, F.lit(f"(?i)(?:{p})")) for p in (NEGATIVE, POSITIVE, TEMPORARY))
+    reason = (
+        F.when(brief, "temporary").when(is_setback(status) & ~neg, "setback without a cue").when((direction == "negative") & ~neg, "negative without a cue")
+        .when((direction == "positive") & ~pos, "positive without a cue")
+    )
+    kept = reason.isNull() | (reason == "temporary")
+    return F.struct(
+        F.coalesce(reason != "temporary", F.lit(True)).alias("is_event"), F.when(reason == "setback without a cue", "unclear").otherwise(status).alias("status"),
+        F.when(kept, direction).otherwise("neutral").alias("direction"), reason.alias("reason"),
+    )
 
 
 def cluster_events(rows: DataFrame) -> DataFrame:
-    """(kind, place, sign, n_articles, n_sources, best_id, impact): the strongest article stands for the event, more sources weigh more."""
-    key = ["kind", "place", "sign"]
+    """(kind, place, setback, n_articles, n_sources, best_id, impact): the strongest article stands for the event, more sources weigh more."""
+    key = ["kind", "place", "setback"]
     strongest = F.max_by("id", F.struct(F.abs("impact"), -F.col("id"))).alias("best_id")
-    g = rows.withColumn("sign", (F.col("impact") < 0).cast("int")).groupBy(*key).agg(
+    g = rows.groupBy(*key).agg(
         F.count("*").alias("n_articles"), F.countDistinct("source").alias("n_sources"), strongest, F.max_by("impact", F.struct(F.abs("impact"), -F.col("id"))).alias("best")
     )
     sure = F.least(F.lit(1.0), 0.5 + 0.25 * F.col("n_sources"))
     return g.select(*key, "n_articles", "n_sources", "best_id", (F.col("best") * sure).alias("impact"))
 
 
-def zone_index(zones: DataFrame, events: DataFrame, reach: int | None = None) -> DataFrame:
+def zone_index(zones: DataFrame, events: DataFrame) -> DataFrame:
     """(row, col, index): events' impacts fading as exp(-(d / radius)^2), summed over all cells and squashed.
 
     The fade is a product of one along rows and one along columns, so impacts, summed by cell and radius, spread in two passes of a
-    line each. With reach, each event goes to the box of `reach` cells around it only, and what lies beyond is lost.
+    line each; the lines are as long as the frame is high and wide.
     """
-    if reach is None:
-        fade = lambda x, y: F.exp(-(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) / (F.col("radius") * F.col("radius")))
-        by_cell = events.groupBy("row", "col", "radius").agg(F.sum("impact").alias("v"))
-        lines = [F.broadcast(zones.select(F.col(x).alias(f"to_{x}")).distinct()) for x in ("row", "col")]
-        down = by_cell.crossJoin(lines[0]).groupBy("to_row", "col", "radius").agg(F.sum(F.col("v") * fade("to_row", "row")).alias("v"))
-        across = down.crossJoin(lines[1]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum(F.col("v") * fade("to_col", "col")).alias("v"))
-        return zones.select("row", "col").join(across, ["row", "col"], "left").select("row", "col", F.tanh(F.coalesce("v", F.lit(0.0)) / 1.5).alias("index"))
-    span = F.sequence(-F.lit(reach), F.lit(reach))
-    spread = events.select("impact", "radius", "row", "col", F.explode(span).alias("dr")).select("*", F.explode(span).alias("dc"))
-    d2 = F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")
-    hit = spread.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col("impact") * F.exp(-d2 / (F.col("radius") * F.col("radius")))).alias("v"))
-    total = hit.groupBy("row", "col").agg(F.sum("v").alias("v"))
-    return zones.join(total, ["row", "col"], "left").select("row", "col", F.tanh(F.coalesce("v", F.lit(0.0)) / 1.5).alias("index"))
+    fade = lambda x, y: F.exp(-(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) / (F.col("radius") * F.col("radius")))
+    by_cell = events.groupBy("row", "col", "radius").agg(F.sum("impact").alias("v"))
+    lines = [F.broadcast(zones.select(F.col(x).alias(f"to_{x}")).distinct()) for x in ("row", "col")]
+    down = by_cell.crossJoin(lines[0]).groupBy("to_row", "col", "radius").agg(F.sum(F.col("v") * fade("to_row", "row")).alias("v"))
+    across = down.crossJoin(lines[1]).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum(F.col("v") * fade("to_col", "col")).alias("v"))
+    return zones.select("row", "col").join(across, ["row", "col"], "left").select("row", "col", F.tanh(F.coalesce("v", F.lit(0.0)) / 1.5).alias("index"))
 
 
 def dedupe(articles: DataFrame, share: float = 0.7) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import percentiles
+
 
 def block(c: str, factor: int) -> Column:
     return F.floor(F.col(c) / factor)
@@ -50,12 +52,13 @@ def summarise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(name, mean, median, p90, max, sum, n_nonzero) a row per column, of finite values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
     long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf")))
-    return long.groupBy("name").agg(
-        F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.9).alias("p90"), F.max("v").alias("max"), F.sum("v").alias("sum"), F.count_if(F.col("v") != 0).alias("n_nonzero")
-    )
+    g = long.groupBy("name").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.sum("v").alias("sum"), F.count_if(F.col("v") != 0).alias("n_nonzero"))
+    q = percentiles(long, F.col("v"), [0.5, 0.9], ["name"]).select("name", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"))
+    return g.join(q, "name").select("name", "mean", "median", "p90", "max", "sum", "n_nonzero")
 
 
 def quantile_profile(df: DataFrame, value: Column, *by: str) -> DataFrame:
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), p.alias("p"), F.avg(value).alias("mean"))
+    q = percentiles(df, value, (0.05, 0.25, 0.5, 0.75, 0.95), by).withColumnRenamed("q", "p")
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    out = out.join(q, list(by), "left") if by else out.join(F.broadcast(q))
     return out.select(*by, "n", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "q1", "med", "q3", "p95"))], "mean")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import log_radiance, student_p
+from .order import median
+from .storage import cut
 
 
 def trend(series: DataFrame, value: str = "value", keys: tuple[str, ...] = ("row", "col")) -> DataFrame:
@@ -29,8 +31,8 @@ def relative_series(series: DataFrame, reference: DataFrame, least: int = 30) ->
     n = reference.count()
     if n < least:
         raise ValueError(f"{n} reference cells; {least} are needed")
-    logs = series.select("row", "col", "year", log_radiance(F.col("value")).alias("value"))
-    base = logs.join(reference.select("row", "col"), ["row", "col"], "left_semi").groupBy("year").agg(F.median("value").alias("base"))
+    logs = cut(series.select("row", "col", "year", log_radiance(F.col("value")).alias("value")))
+    base = median(logs.join(reference.select("row", "col"), ["row", "col"], "left_semi"), F.col("value"), "base", ["year"])
     return logs.join(F.broadcast(base), "year").select("row", "col", "year", (F.col("value") - F.col("base")).alias("value"))
 
 
@@ -42,6 +44,9 @@ def window_mean(series: DataFrame, years: list[int]) -> DataFrame:
     return series.where(F.col("year").isin(years)).groupBy("row", "col").agg(F.avg(F.coalesce("value", F.lit(0.0))).alias("mean"))
 
 
+RULES = ("raw", "significant", "relative", "relative_significant")
+
+
 def rising(rule: str, slope: Column, p: Column, relative_slope: Column, relative_p: Column, alpha: float = 0.1) -> tuple[Column, Column]:
     """(rising, falling) under a rule: raw, significant, relative or relative_significant."""
     if rule == "raw":

@@ -47,3 +47,10 @@ def mix(points: DataFrame, weights: dict[str, float]) -> DataFrame:
 def cell_of(c: Column, origin: float, size: float) -> Column:
     """The index of a coordinate's cell, cut towards zero."""
     return ((c - origin) / size).cast("long")
+
+
+def by_alias(rows: DataFrame, name: str, aliases: dict[str, str], value: str) -> DataFrame:
+    """(name, n, total): names through a table of aliases (those without one in lower case), summed by what they become."""
+    table = rows.sparkSession.createDataFrame(list(aliases.items()), "alias string, to string")  # a literal table
+    x = rows.join(F.broadcast(table), F.col(name) == F.col("alias"), "left")
+    return x.groupBy(F.coalesce("to", F.lower(name)).alias("name")).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total"))

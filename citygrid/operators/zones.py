@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .order import numbered, tiles
+from .storage import cut
 
 
 def label_zones(mask: DataFrame, cols: int) -> DataFrame:
@@ -46,13 +31,11 @@ def label_zones(mask: DataFrame, cols: int) -> DataFrame:
 
 def zone_stats(zones: DataFrame, cells: DataFrame, score: str, least: int, cell_km2: float = 1.0) -> DataFrame:
     """(zone_id, label, n_cells, km2, centroid_row, centroid_col, mean_score) of zones of at least `least` cells, largest first, then by score."""
-    from pyspark.sql import Window
-
     g = zones.join(cells, ["row", "col"]).groupBy("label").agg(
         F.count("*").alias("n_cells"), F.avg("row").alias("centroid_row"), F.avg("col").alias("centroid_col"), F.avg(score).alias("mean_score")
     )
-    w = Window.orderBy(F.desc("n_cells"), F.desc("mean_score"), "label")
-    return g.where(F.col("n_cells") >= least).select(F.row_number().over(w).alias("zone_id"), "label", "n_cells", (F.col("n_cells") * cell_km2).alias("km2"), "centroid_row", "centroid_col", "mean_score")
+    g = numbered(g.where(F.col("n_cells") >= least).withColumn("_s", -F.col("mean_score")), "n_cells", ("_s", "label"), "zone_id", descending=True)
+    return g.select("zone_id", "label", "n_cells", (F.col("n_cells") * cell_km2).alias("km2"), "centroid_row", "centroid_col", "mean_score")
 
 
 def spaced(cells: DataFrame, score: str, k: int, apart: float) -> DataFrame:
@@ -77,7 +60,5 @@ def block_id(size: int, across: int) -> Column:
 
 def folds(blocks: DataFrame, k: int = 5) -> DataFrame:
     """(block, fold): blocks dealt to k folds evenly in a hashed order."""
-    from pyspark.sql import Window
-
     h = (F.col("block") * 7919 + 104729) % 10007
-    return blocks.select("block").distinct().withColumn("fold", F.ntile(k).over(Window.orderBy(h, "block")))
+    return tiles(blocks.select("block").distinct().withColumn("h", h), "h", ("block", "block"), k, "fold").select("block", "fold")

@@ -1,6 +1,6 @@
 """The engine's queries: QUERIES by name, and SQL for those that SQL can express."""
 
-from . import grid, models, records, trends
+from . import grid, layers, models, records, trends
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "grid", "models", "records", "trends"]
+__all__ = ["QUERIES", "SQL", "grid", "layers", "models", "records", "trends"]

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import news as W
+from ..operators import stencil as S
+from ..operators import trend as T
 from ..operators import vector as V
 from ..operators.activity import rank01
+from ..operators.order import median, numbered
+from ..operators.storage import cut
 from ..operators.scoring import robustness
 from ..operators.zones import spaced
 from ..sources import views as v
+from .grid import CHG, chg
 from .registry import R, query
-from .trends import _rank_sql
+from .trends import LT, _rank_sql
 
 N = v.ROWS
 
@@ -72,18 +77,25 @@ def zonal_revenue(spark, d):
     return x.groupBy("n_name").agg(F.round(F.sum("r"), 2).alias("revenue"), F.sum("q").alias("q")).where("q > 0").drop("q")
 
 
-@query("SELECT n_name, max_by(c_name, c_acctbal * 1e9 + c_custkey) AS largest FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", with_views=False)
+@query("SELECT n_name, max_by(c_name, (c_acctbal, c_custkey)) AS largest FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", with_views=False)
 def largest_in_district(spark, d):
     c = v.table(spark, d, "customer").join(v.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.groupBy("n_name").agg(F.max_by("c_name", F.col("c_acctbal") * 1e9 + F.col("c_custkey")).alias("largest"))
+    return c.groupBy("n_name").agg(F.max_by("c_name", F.struct("c_acctbal", "c_custkey")).alias("largest"))
 
 
-@query(f"WITH e AS (SELECT avg(p_retailprice) AS m, p_brand FROM part GROUP BY 2) SELECT p_brand, count(*) AS n, {R('median(abs(100 * (p_retailprice - m) / m))')} AS median_error, {R('avg((abs(p_retailprice - m) <= 0.1 * m)::INT)')} AS within10 FROM part JOIN e USING (p_brand) GROUP BY 1", with_views=False)
+@query(f"""WITH e AS (SELECT avg(p_retailprice) AS m, p_brand FROM part GROUP BY 2), x AS (SELECT p_brand, p_retailprice AS p, m FROM part JOIN e USING (p_brand))
+SELECT p_brand, count(*) AS n, {R('median(abs(100 * (p - m) / m))')} AS median_error, {R('avg(abs(p - m))')} AS mae, {R('avg((abs(p - m) <= 0.1 * m)::INT)')} AS within10, {R('100 * (sum(p) - sum(m)) / sum(m)')} AS total_error FROM x GROUP BY GROUPING SETS ((p_brand), ())""", with_views=False)
 def district_errors(spark, d):
+    """Errors by group and, without a group, in total."""
     p = v.table(spark, d, "part")
-    x = p.join(p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("m")), "p_brand")
-    err = F.abs(X.percent_difference(F.col("p_retailprice"), F.col("m")))
-    return x.groupBy("p_brand").agg(F.count("*").alias("n"), F.median(err).alias("median_error"), F.avg((F.abs(F.col("p_retailprice") - F.col("m")) <= 0.1 * F.col("m")).cast("int")).alias("within10"))
+    x = p.join(p.groupBy("p_brand").agg(F.avg("p_retailprice").alias("m")), "p_brand").select("p_brand", F.col("p_retailprice").alias("p"), "m")
+    x = x.union(x.select(F.lit(None).cast("string"), "p", "m")).withColumn("key", F.coalesce("p_brand", F.lit("")))
+    off = F.col("p") - F.col("m")
+    g = x.groupBy("key").agg(
+        F.max("p_brand").alias("p_brand"), F.count("*").alias("n"), F.avg(F.abs(off)).alias("mae"), F.avg((F.abs(off) <= 0.1 * F.col("m")).cast("int")).alias("within10"),
+        X.percent_difference(F.sum("p"), F.sum("m")).alias("total_error"),
+    )
+    return g.join(median(x, F.abs(X.percent_difference(F.col("p"), F.col("m"))), "median_error", ["key"]), "key").select("p_brand", "n", "median_error", "mae", "within10", "total_error")
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages", with_views=False)
@@ -103,22 +115,36 @@ def direction():
     return F.when(F.col("kind") == "error", "negative").when(F.col("kind") == "view", "neutral").otherwise("positive")
 
 
-@query(f"SELECT id, CASE WHEN {DIRECTION} = 'negative' AND regexp_matches(lower(body), 'th|ou') THEN 'negative' WHEN {DIRECTION} = 'positive' AND regexp_matches(lower(body), 'stalled|inaugurated|ing') THEN 'positive' ELSE 'neutral' END AS verdict FROM article")
+STATUS_SQL = "CASE user_id % 10 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(W.STATUS)) + " END"
+
+
+def status():
+    """The stand-in of an article's status: statuses in turn by user."""
+    return F.element_at(F.array(*[F.lit(k) for k in W.STATUS]), (F.col("user_id") % 10).cast("int") + 1)
+
+
+@query(f"""WITH a AS (SELECT id, title || ' ' || body AS t, {DIRECTION} AS direction, {STATUS_SQL} AS status FROM article), c AS (SELECT *, regexp_matches(t, '{W.TEMPORARY}', 'i') AS temporary, regexp_matches(t, '{W.NEGATIVE}', 'i') AS neg, regexp_matches(t, '{W.POSITIVE}', 'i') AS pos FROM a),
+r AS (SELECT *, CASE WHEN temporary THEN 'temporary' WHEN status IN ('delayed', 'stalled', 'cancelled') AND NOT neg THEN 'setback without a cue' WHEN direction = 'negative' AND NOT neg THEN 'negative without a cue' WHEN direction = 'positive' AND NOT pos THEN 'positive without a cue' END AS reason FROM c)
+SELECT id, coalesce(reason <> 'temporary', true) AS is_event, CASE WHEN reason = 'setback without a cue' THEN 'unclear' ELSE status END AS status, CASE WHEN reason IS NULL OR reason = 'temporary' THEN direction ELSE 'neutral' END AS direction, reason FROM r""")
 def evidence_check(spark, d):
-    a = v.article(spark, d)
-    neg, pos = F.rlike("body", F.lit("(?i)th|ou")), F.rlike("body", F.lit("(?i)stalled|inaugurated|ing"))
-    return a.select("id", F.when((direction() == "negative") & neg, "negative").when((direction() == "positive") & pos, "positive").otherwise("neutral").alias("verdict"))
+    a = v.article(spark, d).select("id", F.concat_ws(" ", "title", "body").alias("t"), direction().alias("direction"), status().alias("status"))
+    return a.select("id", W.check_evidence(F.col("t"), F.col("direction"), F.col("status")).alias("e")).select("id", "e.*")
 
 
-EFFECT = "CASE kind WHEN 'purchase' THEN 0.9 WHEN 'signup' THEN 0.6 WHEN 'click' THEN 0.3 WHEN 'view' THEN 0.2 WHEN 'error' THEN -0.5 ELSE 0 END"
-IMPACT = f"im AS (SELECT id, kind, source, 'p' || (user_id % 40) AS place, user_id, round({EFFECT} * (CASE WHEN value > 50 THEN 1.0 ELSE 0.6 END) * 0.5 ** ((greatest(0, date_diff('day', published::DATE, DATE '2024-06-01')) / 30.44::DOUBLE) / 12), 9) AS impact FROM article)"
+EFFECT = "CASE kind WHEN 'purchase' THEN 0.9 WHEN 'signup' THEN 0.6 WHEN 'click' THEN 0.3 WHEN 'view' THEN 0.2 WHEN 'error' THEN 0.5 ELSE 0 END"
+RADIUS = "CASE kind WHEN 'purchase' THEN 3.0 WHEN 'signup' THEN 2.0 WHEN 'click' THEN 1.0 WHEN 'view' THEN 1.0 WHEN 'error' THEN 2.0 ELSE 1.0 END"
+SIGN = f"(CASE WHEN {STATUS_SQL} IN ('delayed', 'stalled', 'cancelled') THEN -1.0 ELSE CASE {DIRECTION} WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END END)"
+WEIGHT = f"(CASE {STATUS_SQL} " + " ".join(f"WHEN '{k}' THEN {x}" for k, x in W.STATUS.items()) + " END)"
+BASIS = "(CASE WHEN value > 50 THEN 1.0 ELSE 0.6 END)"
+IMPACT = f"""im AS (SELECT id, kind, source, 'p' || (user_id % 40) AS place, user_id, round({SIGN} * {EFFECT} * {WEIGHT} * {BASIS} * 0.5 ** ((greatest(0, date_diff('day', published::DATE, DATE '2024-06-01')) / 30.44::DOUBLE) / 12), 9) AS impact,
+({STATUS_SQL} IN ('delayed', 'stalled', 'cancelled'))::BIGINT AS setback FROM article)"""
 
 
 def impacts(spark, d):
     a = v.article(spark, d)
-    basis = F.when(F.col("value") > 50, 1.0).otherwise(0.6)
-    i = W.impact(F.col("kind"), W.age_months(F.col("published"), F.lit("2024-06-01").cast("date")), basis)
-    return a.select("id", "kind", "source", F.concat(F.lit("p"), F.col("user_id") % 40).alias("place"), "user_id", F.round(i, 9).alias("impact"))
+    basis = F.when(F.col("value") > 50, W.BASIS["reported_fact"]).otherwise(W.BASIS["announcement_or_plan"])
+    i = W.impact(F.col("kind"), direction(), status(), basis, W.age_months(F.col("published"), F.lit("2024-06-01").cast("date")))
+    return a.select("id", "kind", "source", F.concat(F.lit("p"), F.col("user_id") % 40).alias("place"), "user_id", F.round(i, 9).alias("impact"), W.is_setback(status()).cast("int").alias("setback"))
 
 
 @query(f"WITH {IMPACT} SELECT id, {R('impact')} AS impact FROM im")
@@ -126,25 +152,32 @@ def news_impact(spark, d):
     return impacts(spark, d).select("id", "impact")
 
 
-@query(f"WITH {IMPACT}, g AS (SELECT kind, place, (impact < 0)::BIGINT AS sign, count(*) AS n_articles, count(DISTINCT source) AS n_sources, arg_max(id, (abs(impact) * 1e9)::BIGINT * 1000000000::HUGEINT - id) AS best_id, arg_max(impact, (abs(impact) * 1e9)::BIGINT * 1000000000::HUGEINT - id) AS best FROM im GROUP BY 1, 2, 3) SELECT kind, place, sign, n_articles, n_sources, best_id, {R('best * least(1, 0.5 + 0.25 * n_sources)')} AS impact FROM g")
+@query(f"WITH {IMPACT}, g AS (SELECT kind, place, setback, count(*) AS n_articles, count(DISTINCT source) AS n_sources, max_by(id, (abs(impact), -id)) AS best_id, max_by(impact, (abs(impact), -id)) AS best FROM im GROUP BY 1, 2, 3) SELECT kind, place, setback, n_articles, n_sources, best_id, {R('best * least(1, 0.5 + 0.25 * n_sources)')} AS impact FROM g")
 def news_events(spark, d):
     return W.cluster_events(impacts(spark, d))
 
 
-@query(f"WITH {IMPACT}, e AS (SELECT impact, user_id % 50 AS row, (user_id * 7) % 50 AS col FROM im), z AS (SELECT c.row, c.col, sum(impact * exp(-((c.row - e.row) ** 2 + (c.col - e.col) ** 2) / 4.0)) AS s FROM cells c JOIN e ON abs(c.row - e.row) <= 3 AND abs(c.col - e.col) <= 3 GROUP BY 1, 2) SELECT c.row, c.col, {R('tanh(coalesce(s, 0) / 1.5)')} AS index FROM cells c LEFT JOIN z USING (row, col)")
-def news_zone_index(spark, d):
-    """As its SQL says: single articles, one radius, and a box of three cells. news_zone_index_whole is the whole sum."""
-    e = impacts(spark, d).select("impact", (F.col("user_id") % 50).alias("row"), (F.col("user_id") * 7 % 50).alias("col"), F.lit(2.0).alias("radius"))
-    return W.zone_index(v.grid(spark), e, 3)
+PLACED = f"""{IMPACT}, pe AS (SELECT kind, row, col, setback, max_by(impact, (abs(impact), -id)) * least(1, 0.5 + 0.25 * count(DISTINCT source)) AS impact, {RADIUS} AS radius FROM (SELECT *, user_id % 50 AS row, (user_id * 7) % 50 AS col FROM im) GROUP BY kind, row, col, setback),
+nz AS (SELECT c.row, c.col, tanh(coalesce(sum(e.impact * exp(-((c.row - e.row) ** 2 + (c.col - e.col) ** 2) / radius ** 2)) FILTER (WHERE e.row % 10 <> 0), 0) / 1.5) AS idx FROM cells c LEFT JOIN pe e ON true GROUP BY 1, 2)"""
 
 
-@query()
-def news_zone_index_whole(spark, d):
-    """Clustered events, each kind with its radius, over all cells; the cell is the events' place."""
-    cell = F.concat_ws(",", F.col("user_id") % 50, F.col("user_id") * 7 % 50)
+def placed_events(spark, d):
+    """Clustered events with their cell and their kind's radius; those of every tenth row stand for events that name no place."""
     at = F.split("place", ",")
-    e = W.cluster_events(impacts(spark, d).withColumn("place", cell))
-    return W.zone_index(v.grid(spark), e.select("impact", at[0].cast("long").alias("row"), at[1].cast("long").alias("col"), W.radius(F.col("kind")).alias("radius")))
+    e = W.cluster_events(impacts(spark, d).withColumn("place", F.concat_ws(",", F.col("user_id") % 50, F.col("user_id") * 7 % 50)))
+    return e.select("impact", at[0].cast("long").alias("row"), at[1].cast("long").alias("col"), W.radius(F.col("kind")).alias("radius"), (at[0].cast("long") % 10 == 0).alias("citywide"))
+
+
+@query(f"WITH {PLACED} SELECT row, col, {R('idx')} AS index FROM nz")
+def news_zone_index(spark, d):
+    """Located events over all cells, each kind with its radius."""
+    return W.zone_index(v.grid(spark), placed_events(spark, d).where("NOT citywide"))
+
+
+@query(f"WITH {PLACED} SELECT count(*) AS n, {R('tanh(sum(impact) / 3.0)')} AS city FROM pe WHERE row % 10 = 0")
+def news_city_index(spark, d):
+    """Events without a place say how much, not where."""
+    return placed_events(spark, d).where("citywide").agg(F.count("*").alias("n"), F.tanh(F.sum("impact") / 3.0).alias("city"))
 
 
 @query("SELECT source, count(*) AS n, count(*) FILTER (WHERE kind = 'error') AS setbacks, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) + 0 AS share FROM article GROUP BY 1 ORDER BY n DESC, source LIMIT 8")
@@ -166,55 +199,88 @@ def news_dedupe(spark, d):
     return W.dedupe(v.article(spark, d))
 
 
-OPP = f"""op0 AS (SELECT c.row, c.col, s.score AS a, coalesce(p.n, 0) AS b, pp.people AS c, b.frac AS f FROM cells c JOIN surface s USING (row, col) LEFT JOIN (SELECT row, col, count(*) AS n FROM poi GROUP BY 1, 2) p USING (row, col) JOIN (SELECT * FROM population WHERE year = 2001) pp USING (row, col) JOIN (SELECT * FROM built WHERE year = 2001) b USING (row, col) WHERE b.frac >= 0.1),
-op AS (SELECT row, col, {_rank_sql('a')} AS ra, {_rank_sql('b')} AS rb, {_rank_sql('c')} AS rc FROM op0)"""
+DRAWS = 2000
 
 
-def opportunity(spark, d):
-    x = v.surface(spark).join(V.density(v.poi(spark, d), v.grid(spark)), ["row", "col"]).join(v.population(spark, d).where("year = 2001").drop("year"), ["row", "col"])
-    x = x.join(v.built(spark, d).where("year = 2001 AND frac >= 0.1").select("row", "col"), ["row", "col"], "left_semi")
-    for c, to in (("score", "ra"), ("n", "rb"), ("people", "rc")):
-        x = rank01(x, c, to, missing="median")
-    return x.select("row", "col", "ra", "rb", "rc")
+def draw_uniform(draw, j):
+    """A number in (0, 1) for a draw and a component: two steps of a congruential generator, so that every engine has the same."""
+    step = lambda x: (x * 1103515245 + 12345) % 2147483648
+    return (step(step(step(draw * 8 + j) % 1048573)) + 0.5) / 2147483648.0
 
 
-DRAWS = [(i, (1 + i * 7 % 11) / 12, (1 + i * 5 % 13) / 14, (1 + i * 3 % 17) / 18) for i in range(50)]
+COMPONENTS = ("market_now", "activity_now", "activity_growth", "urban_growth", "access")
+_U = [f"(-ln({draw_uniform_sql}))" for draw_uniform_sql in [f"((((((((draw * 8 + {j}) * 1103515245 + 12345) % 2147483648) % 1048573) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5::DOUBLE) / 2147483648.0::DOUBLE" for j in range(5)]]
+OPP = f"""{CHG}, {LT}, {SEG}, rdm AS (SELECT row, col, round(sum(metres), 3) AS m FROM pc GROUP BY 1, 2),
+dn AS (SELECT c.row, c.col, sum(p.people) AS market_now, sum(g.new_::INT) AS urban_growth FROM cells c CROSS JOIN disk3 o LEFT JOIN chg g ON g.row = c.row + o.dr AND g.col = c.col + o.dc LEFT JOIN population p ON p.year = 2001 AND p.row = c.row + o.dr AND p.col = c.col + o.dc GROUP BY 1, 2),
+ra AS (SELECT c.row, c.col, sum(coalesce(r.m, 0)) / 29.0::DOUBLE AS access FROM cells c CROSS JOIN disk3 o LEFT JOIN rdm r ON r.row = greatest(0, least(49, c.row + o.dr)) AND r.col = greatest(0, least(49, c.col + o.dc)) GROUP BY 1, 2),
+op0 AS (SELECT row, col, market_now, ln(l.value + 1) AS activity_now, lt.slope AS activity_growth, urban_growth, round(access, 6) AS access FROM dn JOIN ra USING (row, col) JOIN lt USING (row, col) JOIN chg USING (row, col) JOIN (SELECT * FROM lights WHERE year = 2001) l USING (row, col) WHERE chg.v1 >= 0.1 OR urban_growth >= 3),
+op AS (SELECT row, col, {', '.join(f"{_rank_sql(c)} AS {c}" for c in COMPONENTS)} FROM op0),
+oc AS (SELECT *, ({' + '.join(COMPONENTS)}) / 5 AS score FROM op)"""
 
 
-@query(f"WITH {OPP} SELECT row, col, {R('(ra + rb + rc) / 3')} AS score FROM op")
+def opportunity(spark, d):
+    """Candidate zones and the ranks of their five components."""
+    c = chg(spark, d)
+    near = S.disk_sum(v.population(spark, d).where("year = 2001"), "people", 3, N, N).withColumnRenamed("sum", "market_now")
+    new = S.disk_sum(c.select("row", "col", F.col("new_urban").cast("double").alias("n")), "n", 3, N, N).withColumnRenamed("sum", "urban_growth")
+    metres = road_density(spark, d)
+    roads = S.circular_mean(v.grid(spark).join(metres, ["row", "col"], "left").select("row", "col", F.coalesce("metres", F.lit(0.0)).alias("m")), "m", 3, N, N)
+    x = near.join(new, ["row", "col"]).join(roads.select("row", "col", F.round("mean", 6).alias("access")), ["row", "col"])
+    x = x.join(v.lights(spark, d).where("year = 2001").select("row", "col", X.log_radiance(F.col("value")).alias("activity_now")), ["row", "col"])
+    x = x.join(T.trend(v.lights(spark, d)).select("row", "col", F.col("slope").alias("activity_growth")), ["row", "col"])
+    x = x.join(c.select("row", "col", "f1"), ["row", "col"]).where("f1 >= 0.1 OR urban_growth >= 3").select("row", "col", *[F.col(k).alias(f"v_{k}") for k in COMPONENTS])
+    x = cut(x)
+    for k in COMPONENTS:
+        x = rank01(x, f"v_{k}", k, missing="median")
+    return x.select("row", "col", *COMPONENTS)
+
+
+def _score():
+    return sum((F.col(k) for k in COMPONENTS[1:]), F.col(COMPONENTS[0])) / 5
+
+
+@query(f"WITH {OPP} SELECT row, col, {', '.join(f'{R(c)} AS {c}' for c in COMPONENTS)}, {R('score')} AS score FROM oc")
 def opportunity_score(spark, d):
-    return opportunity(spark, d).select("row", "col", ((F.col("ra") + F.col("rb") + F.col("rc")) / 3).alias("score"))
+    return opportunity(spark, d).withColumn("score", _score())
 
 
-@query(f"WITH {OPP}, dr AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a!r}, {b!r}, {c!r})' for i, a, b, c in DRAWS)}) t(i, wa, wb, wc)), r AS (SELECT row, col, row_number() OVER (PARTITION BY i ORDER BY round(wa * ra + wb * rb + wc * rc, 9) DESC, row, col) AS rn FROM op, dr) SELECT row, col, {R('avg(rn)')} AS mean_rank, {R('avg((rn <= 250)::INT)')} AS top_share FROM r GROUP BY 1, 2")
+@query(f"""WITH {OPP}, w0 AS (SELECT draw, {', '.join(f'{u} AS w{j}' for j, u in enumerate(_U))} FROM range({DRAWS}) t(draw)), w AS (SELECT *, w0 + w1 + w2 + w3 + w4 AS ws FROM w0),
+sc AS (SELECT draw, row, col, round(({' + '.join(f'w{j} * {c}' for j, c in enumerate(COMPONENTS))}) / ws, 9) AS s FROM op CROSS JOIN w), r AS (SELECT draw, row, col, rank() OVER (PARTITION BY draw ORDER BY s DESC) AS lo, count(*) OVER (PARTITION BY draw, s) AS k FROM sc)
+SELECT row, col, {R('avg(lo + (k - 1) / 2.0::DOUBLE)')} AS mean_rank, {R('avg((lo <= 10)::INT)')} AS top_share FROM r GROUP BY 1, 2""")
 def opportunity_robustness(spark, d):
-    """As its SQL says: mean rank and share of draws in the first 250, under 50 fixed weightings. opportunity_top10 has the 2,000 random ones."""
-    draws = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("wa"), F.lit(b).alias("wb"), F.lit(c).alias("wc")) for i, a, b, c in DRAWS])).alias("w")
-    s = F.round(F.col("w.wa") * F.col("ra") + F.col("w.wb") * F.col("rb") + F.col("w.wc") * F.col("rc"), 9)
-    x = opportunity(spark, d).select("row", "col", "ra", "rb", "rc", draws).select("row", "col", F.col("w.i").alias("i"), s.alias("s"))
-    r = x.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "row", "col")))
-    return r.groupBy("row", "col").agg(F.avg("rn").alias("mean_rank"), F.avg((F.col("rn") <= 250).cast("int")).alias("top_share"))
+    """Mean rank and share of draws in the top ten, under 2,000 random weightings of the components; equal scores share their mean rank."""
+    u = [-F.log(draw_uniform(F.col("id"), F.lit(j))) for j in range(5)]
+    total = sum(u[1:], u[0])
+    w = spark.range(DRAWS).select(F.col("id").alias("draw"), F.array(*u).alias("w"), total.alias("ws"))
+    return robustness(opportunity(spark, d), list(COMPONENTS), w, 10)
 
 
 @query()
 def opportunity_top10(spark, d):
-    """Mean rank and share of draws in the top ten, under 2,000 random weightings of the components."""
-    return robustness(opportunity(spark, d), ["ra", "rb", "rc"])
+    """The zones that any of the weightings puts in the top ten."""
+    return opportunity_robustness(spark, d).where("top_share > 0")
+
+
+@query(f"WITH {PLACED} SELECT row, col, {R('idx')} AS index FROM nz")
+def news_zone_index_whole(spark, d):
+    """news_zone_index under its earlier name."""
+    return news_zone_index(spark, d)
 
 
 @query()
 def opportunity_sites(spark, d):
     """Ten sites at least five cells apart, after news."""
-    x = opportunity_score(spark, d).join(news_zone_index_whole(spark, d), ["row", "col"])
+    x = opportunity_score(spark, d).join(news_zone_index(spark, d), ["row", "col"])
     return spaced(x.withColumn("s", F.col("score") + 0.1 * X.clip(F.col("index"), -1, 1)), "s", 10, 5.0)
 
 
-@query(f"WITH {OPP}, b AS (SELECT row, col, row_number() OVER (ORDER BY round((ra + rb + rc) / 3, 9) DESC, row, col) AS before, row_number() OVER (ORDER BY round((ra + 2 * rb + rc) / 4, 9) DESC, row, col) AS after FROM op) SELECT row, col, before, after, before - after AS moved FROM b")
+@query(f"""WITH {OPP}, {PLACED}, b AS (SELECT row, col, row_number() OVER (ORDER BY round(score, 9) DESC, row, col) AS before, row_number() OVER (ORDER BY round(score + 0.1 * greatest(-1, least(1, idx)), 9) DESC, row, col) AS after FROM oc JOIN nz USING (row, col))
+SELECT row, col, before, after, before - after AS moved FROM b""")
 def rank_movement(spark, d):
-    rank = lambda e: F.row_number().over(Window.orderBy(F.desc(F.round(e, 9)), "row", "col"))
-    a, b, c = F.col("ra"), F.col("rb"), F.col("rc")
-    x = opportunity(spark, d).select("row", "col", rank((a + b + c) / 3).alias("before"), rank((a + 2 * b + c) / 4).alias("after"))
-    return x.withColumn("moved", F.col("before") - F.col("after"))
+    """Ranks before and after news."""
+    x = opportunity(spark, d).join(news_zone_index(spark, d), ["row", "col"]).select("row", "col", F.round(_score(), 9).alias("a"), F.round(_score() + 0.1 * X.clip(F.col("index"), -1, 1), 9).alias("b"))
+    x = numbered(numbered(x, "a", ("row", "col"), "before", descending=True), "b", ("row", "col"), "after", descending=True)
+    return x.select("row", "col", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"), (F.col("before") - F.col("after")).cast("long").alias("moved"))
 
 
 @query(f"SELECT event_id, {R('2 * 6371 * asin(sqrt(sin((radians(lat) - radians(25.3)) / 2) ** 2 + cos(radians(25.3)) * cos(radians(lat)) * sin((radians(lon) - radians(82.97)) / 2) ** 2))')} AS km, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + floor((lon + 180) / 6) + 1)::BIGINT AS epsg FROM (SELECT event_id, (user_id % 360) - 180.0::DOUBLE AS lon, (event_id % 160) - 80.0::DOUBLE AS lat FROM events)", with_views=False)
@@ -236,7 +302,9 @@ def quality_bits(spark, d):
     return v.table(spark, d, "events").select("event_id", (u.bitwiseAND(30) == 0).alias("clear"), (F.shiftright(u, 2).bitwiseAND(3) <= 1).alias("good"))
 
 
-@query(f"SELECT user_id % 50 AS row, event_type, {R('median(value)')} AS median, {R('avg(value)')} AS mean, {R('arg_max(value, event_id)')} AS mosaic FROM events GROUP BY 1, 2", with_views=False)
+@query(f"SELECT user_id % 50 AS row, event_type, {R('median(value)')} AS median, {R('avg(value)')} AS mean, mode_.m AS mode, {R('arg_max(value, event_id)')} AS mosaic FROM events e JOIN (SELECT r, t, min_by(b, (-k, b)) AS m FROM (SELECT user_id % 50 AS r, event_type AS t, floor(value / 10)::BIGINT AS b, count(*) AS k FROM events GROUP BY 1, 2, 3) GROUP BY 1, 2) mode_ ON r = user_id % 50 AND t = event_type GROUP BY 1, 2, mode_.m", with_views=False)
 def temporal_composite(spark, d):
-    e = v.table(spark, d, "events")
-    return e.groupBy((F.col("user_id") % 50).alias("row"), "event_type").agg(F.median("value").alias("median"), F.avg("value").alias("mean"), F.max_by("value", "event_id").alias("mosaic"))
+    """Median, mean, most frequent class (of tens, the lowest on ties) and last value of each cell's series."""
+    e = v.table(spark, d, "events").select((F.col("user_id") % 50).alias("row"), "event_type", "value", "event_id")
+    g = e.groupBy("row", "event_type").agg(F.avg("value").alias("mean"), F.mode(F.floor(F.col("value") / 10), deterministic=True).alias("mode"), F.max_by("value", "event_id").alias("mosaic"))
+    return g.join(median(e, F.col("value"), "median", ["row", "event_type"]), ["row", "event_type"]).select("row", "event_type", "median", "mean", "mode", "mosaic")
\ No newline at end of file

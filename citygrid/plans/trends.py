@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import activity as A
 from ..operators import change as C
 from ..operators import growth as G
+from ..operators import order as O
 from ..operators import scoring as K
 from ..operators import trend as T
 from ..operators import zones as Z
+from ..operators.storage import cut
 from ..sources import views as v
 from .grid import CHG, PAIR, chg, pair
 from .registry import R, query
@@ -88,6 +91,7 @@ def activity(spark, d):
     x = x.join(v.population(spark, d).where("year = 2001").select("row", "col", "people"), ["row", "col"])
     x = x.join(v.poi(spark, d).groupBy("row", "col").agg(F.count("*").alias("n")), ["row", "col"], "left")
     x = x.select("row", "col", "frac", F.round(F.col("l") / F.col("frac"), 9).alias("a"), F.round(F.coalesce("n", F.lit(0)) / F.col("frac"), 9).alias("b"), F.round(F.col("people") / F.col("frac"), 9).alias("c"))
+    x = cut(x)
     for c, to in (("a", "lights"), ("b", "poi"), ("c", "population")):
         x = A.rank01(x, c, to)
     return x.select("row", "col", "frac", A.weighted_index(x, {"lights": 0.45, "poi": 0.35, "population": 0.2}).alias("activity"))
@@ -118,12 +122,18 @@ ty AS (SELECT c.row, c.col, resid, coalesce(resid <= q + 1e-12 AND resid < 0, fa
 tc AS (SELECT *, CASE WHEN urban AND grown AND low AND NOT up THEN 5 WHEN urban AND low AND down AND NOT grown THEN 4 WHEN urban AND grown AND NOT low THEN 3 WHEN urban AND grown AND low AND up THEN 2 WHEN urban THEN 1 ELSE 0 END AS type FROM ty)"""
 
 
-def types(spark, d):
+def typed(spark, d):
+    """Cells with what the typology asks of them."""
     r = expected(spark, d).select("row", "col", F.round(F.col("activity") - F.col("expected"), 9).alias("resid"))
-    q = r.agg(F.percentile("resid", 0.25).alias("q"))
-    x = chg(spark, d).join(r, ["row", "col"], "left").join(T.trend(v.lights(spark, d)).select("row", "col", "slope"), ["row", "col"]).join(F.broadcast(q))
-    low = F.coalesce((F.col("resid") <= F.col("q") + 1e-12) & (F.col("resid") < 0), F.lit(False))
-    return x.withColumn("type", A.typology(x, F.col("is_urban"), F.col("delta") >= 0.2, low, F.col("slope") > 0, F.col("slope") <= 0))
+    r = cut(r)
+    q = O.percentiles(r, F.col("resid"), [0.25]).select(F.col("q")[0].alias("q"))
+    x = chg(spark, d).join(r, ["row", "col"], "left").join(T.trend(v.lights(spark, d)).select("row", "col", "slope", "p"), ["row", "col"]).join(F.broadcast(q))
+    return x.withColumn("low", F.coalesce((F.col("resid") <= F.col("q") + 1e-12) & (F.col("resid") < 0), F.lit(False)))
+
+
+def types(spark, d):
+    x = typed(spark, d)
+    return x.withColumn("type", A.typology(x, F.col("is_urban"), F.col("delta") >= 0.2, F.col("low"), F.col("slope") > 0, F.col("slope") <= 0))
 
 
 @query(f"WITH {TYPO} SELECT row, col, type::BIGINT AS type, {R('resid')} AS resid FROM tc")
@@ -131,10 +141,9 @@ def ghost_typology(spark, d):
     return types(spark, d).select("row", "col", "type", "resid")
 
 
-@query(f"WITH {TYPO} SELECT t.k AS type, count(tc.type) AS n, {R('count(tc.type) / 2500')} AS share FROM range(6) t(k) LEFT JOIN tc ON tc.type = t.k GROUP BY 1")
+@query(f"WITH {TYPO} SELECT t.k AS type, count(tc.type) AS n, {R('count(tc.type) / (SELECT count(*) FROM tc)')} AS share FROM range(6) t(k) LEFT JOIN tc ON tc.type = t.k GROUP BY 1")
 def typology_counts(spark, d):
-    n = types(spark, d).groupBy(F.col("type").cast("long").alias("type")).agg(F.count("*").alias("n"))
-    return spark.range(6).select(F.col("id").alias("type")).join(n, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / 2500).alias("share"))
+    return A.type_counts(types(spark, d), "type")
 
 
 @query(f"WITH {TYPO}, p AS (SELECT quantile_cont(greatest(-resid, 0), 0.95) AS p95 FROM tc WHERE resid IS NOT NULL) SELECT row, col, {R('least(1, greatest(-resid, 0) / nullif(p95, 0)) * least(1, greatest(delta, 0) / 0.5)')} AS score FROM tc, p WHERE resid IS NOT NULL")
@@ -144,12 +153,19 @@ def ghost_score(spark, d):
     return x.select("row", "col", (F.col("s") * F.least(F.lit(1.0), F.greatest("delta", F.lit(0.0)) / 0.5)).alias("score"))
 
 
-@query(f"WITH {LT}, {REL}, x AS (SELECT l.slope AS s, l.p, t.slope AS rs, t.p AS rp FROM lt l JOIN rt t USING (row, col)), y AS (SELECT unnest(['raw', 'significant', 'relative', 'relative_significant']) AS rule, unnest([s > 0, s > 0 AND p < 0.1, rs > 0, rs > 0 AND rp < 0.1]) AS up FROM x) SELECT rule, up, count(*) AS n FROM y GROUP BY 1, 2")
+@query(f"""WITH {TYPO}, {REL}, rl AS (SELECT unnest(['raw', 'significant', 'relative', 'relative_significant']) AS rule),
+rr AS (SELECT rl.rule, y.*, CASE rl.rule WHEN 'raw' THEN l.slope > 0 WHEN 'significant' THEN l.slope > 0 AND l.p < 0.1 WHEN 'relative' THEN t.slope > 0 ELSE t.slope > 0 AND t.p < 0.1 END AS rup,
+CASE rl.rule WHEN 'raw' THEN l.slope <= 0 WHEN 'significant' THEN l.slope < 0 AND l.p < 0.1 WHEN 'relative' THEN t.slope < 0 ELSE t.slope < 0 AND t.p < 0.1 END AS rdown
+FROM rl CROSS JOIN ty y JOIN lt l USING (row, col) JOIN rt t USING (row, col)),
+rc AS (SELECT rule, CASE WHEN urban AND grown AND low AND NOT rup THEN 5 WHEN urban AND low AND rdown AND NOT grown THEN 4 WHEN urban AND grown AND NOT low THEN 3 WHEN urban AND grown AND low AND rup THEN 2 WHEN urban THEN 1 ELSE 0 END AS type FROM rr)
+SELECT rl.rule, k.type, count(rc.type) AS n, {R('count(rc.type) / (SELECT count(*) FROM ty)')} AS share FROM rl CROSS JOIN range(6) k(type) LEFT JOIN rc ON rc.rule = rl.rule AND rc.type = k.type GROUP BY 1, 2""")
 def rule_sensitivity(spark, d):
-    t, r = T.trend(v.lights(spark, d)).select("row", "col", "slope", "p"), T.trend(relative(spark, d)).select("row", "col", F.col("slope").alias("rs"), F.col("p").alias("rp"))
-    x = [F.col(c) for c in ("slope", "p", "rs", "rp")]
-    rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), T.rising(n, *x)[0].alias("up")) for n in ("raw", "significant", "relative", "relative_significant")]))
-    return t.join(r, ["row", "col"]).select(rules.alias("x")).select("x.*").groupBy("rule", "up").agg(F.count("*").alias("n"))
+    """Areas of the typology's classes under each definition of rising."""
+    x = typed(spark, d).join(T.trend(relative(spark, d)).select("row", "col", F.col("slope").alias("rs"), F.col("p").alias("rp")), ["row", "col"])
+    c = [F.col(n) for n in ("slope", "p", "rs", "rp")]
+    rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), T.rising(n, *c)[0].alias("up"), T.rising(n, *c)[1].alias("down")) for n in T.RULES]))
+    x = x.select("is_urban", "delta", "low", rules.alias("r")).select("is_urban", "delta", "low", "r.*")
+    return A.type_counts(x.withColumn("type", A.typology(x, F.col("is_urban"), F.col("delta") >= 0.2, F.col("low"), F.col("up"), F.col("down"))), "type", "rule", T.RULES)
 
 
 @query(f"WITH x AS (SELECT row, col, {_rank_sql('value')} AS a FROM lights WHERE year = 2001), y AS (SELECT row, col, {_rank_sql('coalesce(n, 0)')} AS b FROM cells LEFT JOIN (SELECT row, col, count(*) AS n FROM poi GROUP BY 1, 2) USING (row, col)) SELECT row, col, {R('sqrt(a * b)')} AS intensity FROM x JOIN y USING (row, col)")
@@ -161,15 +177,15 @@ def commercial_intensity(spark, d):
     return x.select("row", "col", F.sqrt(F.col("a") * F.col("b")).alias("intensity"))
 
 
-LAG = """f AS (SELECT row, col, year, value, value - lag(value, 3) OVER w AS growth3, avg(value) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS level2,
-regr_slope(value, year) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS slope4, lead(value, 2) OVER w - value AS target FROM lights WINDOW w AS (PARTITION BY row, col ORDER BY year))"""
+LAG = REL + """, f AS (SELECT row, col, year, value, value - lag(value, 3) OVER w AS growth3, avg(value) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS level2,
+regr_slope(value, year) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS slope4, lead(value, 2) OVER w - value AS target FROM rel WINDOW w AS (PARTITION BY row, col ORDER BY year))"""
 
 
 @query(f"WITH {LAG} SELECT row, col, year, {R('growth3')} AS growth3, {R('level2')} AS level2, {R('slope4')} AS slope4, {R('target')} AS target FROM f WHERE year >= 1998")
 def lag_features(spark, d):
     w = Window.partitionBy("row", "col").orderBy("year")
     at = lambda k: F.max("value").over(w.rangeBetween(k, k))
-    x = v.lights(spark, d).select("row", "col", "year", (F.col("value") - at(-3)).alias("growth3"), F.avg("value").over(w.rangeBetween(-1, 0)).alias("level2"), F.regr_slope("value", "year").over(w.rangeBetween(-3, 0)).alias("slope4"), (at(2) - F.col("value")).alias("target"))
+    x = relative(spark, d).select("row", "col", "year", (F.col("value") - at(-3)).alias("growth3"), F.avg("value").over(w.rangeBetween(-1, 0)).alias("level2"), F.regr_slope("value", "year").over(w.rangeBetween(-3, 0)).alias("slope4"), (at(2) - F.col("value")).alias("target"))
     return x.where("year >= 1998")
 
 
@@ -218,7 +234,7 @@ def average_precision(spark, d):
 
 @query(f"WITH {PRED}, r AS (SELECT o, row_number() OVER (ORDER BY p DESC, row, col) AS rn, count(*) OVER () AS n, count(*) FILTER (WHERE o) OVER () AS n1 FROM pr), f AS (SELECT unnest([0.01, 0.05, 0.1, 0.2])::DOUBLE AS fraction) SELECT fraction, count(*) AS taken, count(*) FILTER (WHERE o) AS hits, {R('count(*) FILTER (WHERE o) / count(*)')} AS precision, {R('count(*) FILTER (WHERE o) / max(n1)')} AS recall FROM r, f WHERE rn <= greatest(1, round(n * fraction)) GROUP BY fraction")
 def precision_at_k(spark, d):
-    return K.precision_at(scored(spark, d), [0.01, 0.05, 0.1, 0.2], F.col("o"), F.desc("p"), F.col("row"), F.col("col"))
+    return K.precision_at(scored(spark, d), [0.01, 0.05, 0.1, 0.2], F.col("o"), "p")
 
 
 @query(f"WITH {PRED}, e AS (SELECT quantile_cont(p, [{', '.join(repr(i / 10) for i in range(1, 10))}]) AS e FROM pr), b AS (SELECT len(list_filter(e, lambda z: z <= p)) AS bin, p, o::INT AS o FROM pr, e) SELECT bin, count(*) AS n, {R('avg(p)')} AS mean_p, {R('avg(o)')} AS rate, {R('abs(avg(p) - avg(o))')} AS gap FROM b GROUP BY bin")
@@ -233,11 +249,11 @@ def calibration_error(spark, d):
     return x.agg(F.avg(F.pow(F.col("p") - F.col("o").cast("int"), F.lit(2.0))).alias("brier")).join(F.broadcast(ece))
 
 
-@query(f"WITH {PRED}, r AS (SELECT row_number() OVER (ORDER BY p DESC, row, col) AS rn, sum(o::INT) OVER (ORDER BY p DESC, row, col ROWS UNBOUNDED PRECEDING) AS hits FROM pr) SELECT rn AS flagged, hits::BIGINT AS hits FROM r WHERE rn % 50 = 0")
+@query(f"""WITH {PRED}, r AS (SELECT o, row_number() OVER (ORDER BY p DESC, row, col) AS rn FROM pr), n AS (SELECT count(*) AS n FROM r), m AS (SELECT n, least(200, n) AS m FROM n),
+pt AS (SELECT DISTINCT round_even(k * (n - 1)::DOUBLE / greatest(m - 1, 1), 0)::BIGINT + 1 AS flagged FROM m, LATERAL (SELECT unnest(range(m)) AS k))
+SELECT flagged, count(*) FILTER (WHERE o) AS hits FROM pt JOIN r ON rn <= flagged GROUP BY 1 UNION ALL SELECT 0, 0""")
 def toc_curve(spark, d):
-    w = Window.orderBy(F.desc("p"), "row", "col")
-    r = scored(spark, d).select(F.row_number().over(w).alias("flagged"), F.sum(F.col("o").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
-    return r.where("flagged % 50 = 0")
+    return K.toc(scored(spark, d), "p", F.col("o"), 200)
 
 
 @query(f"WITH {PRED} SELECT row, col, {R('p')} AS p FROM pr ORDER BY p DESC, row, col LIMIT 100")
@@ -250,9 +266,9 @@ def spearman(spark, d):
     return K.spearman(pair(spark, d), "v0", "v1")
 
 
-@query(f"WITH x AS (SELECT ln(value) AS ly, ln(people) AS lx FROM lights JOIN population USING (row, col, year) WHERE value > 0 AND people > 0) SELECT count(*) AS n, {R('regr_slope(ly, lx)')} AS elasticity, {R('regr_intercept(ly, lx)')} AS intercept, {R('regr_r2(ly, lx)')} AS r2 FROM x")
+@query(f"WITH x AS (SELECT ln(value) AS ly, ln(people) AS lx FROM lights JOIN population USING (row, col, year) WHERE value > 0 AND people > 0) SELECT count(*) AS n, {R('regr_slope(ly, lx)')} AS elasticity, {R('regr_intercept(ly, lx)')} AS intercept, {R('regr_r2(ly, lx)')} AS r2, {R('sqrt((1 - regr_r2(ly, lx)) * var_pop(ly) / var_pop(lx) / (count(*) - 2))')} AS stderr FROM x")
 def loglog_elasticity(spark, d):
-    return K.loglog(v.lights(spark, d).join(v.population(spark, d), ["row", "col", "year"]), "people", "value")
+    return K.loglog(v.lights(spark, d).join(v.population(spark, d), ["row", "col", "year"]), "people", "value").drop("p")
 
 
 @query(f"WITH {PAIR} SELECT count(*) AS n, {R('regr_slope(v1, v0)')} AS slope, {R('regr_r2(v1, v0)')} AS r2, {R('avg(v1 - v0)')} AS bias, {R('sqrt(avg((v1 - v0) ** 2))')} AS rmse FROM pair")
@@ -262,15 +278,18 @@ def paired_comparison(spark, d):
 
 @query(f"WITH {PAIR}, r AS (SELECT v0 >= 0.3 AS o, rank() OVER (ORDER BY v1) + (count(*) OVER (PARTITION BY v1) - 1) / 2.0::DOUBLE AS r FROM pair), g AS (SELECT count(*) FILTER (WHERE o) AS n, count(*) FILTER (WHERE NOT o) AS m, sum(r) FILTER (WHERE o) AS s FROM r) SELECT n, m, {R('s - n * (n + 1) / 2')} AS u, {R('(s - n * (n + 1) / 2) / (n * m)')} AS effect FROM g")
 def mann_whitney_u(spark, d):
-    return K.mann_whitney(pair(spark, d), "v1", F.col("v0") >= 0.3)
+    return K.mann_whitney(pair(spark, d), "v1", F.col("v0") >= 0.3).drop("p")
+
+
+_MAPS = ("y97", "y98", "y99", "y00", "y01")
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {a} AS y, {b} AS o FROM m" for i, a in enumerate(_MAPS) for b in _MAPS[i + 1 :])
 
 
-@query(f"""WITH m AS (SELECT row, col, max(frac) FILTER (WHERE year = 1998) >= 0.3 AS y98, max(frac) FILTER (WHERE year = 1999) >= 0.3 AS y99, max(frac) FILTER (WHERE year = 2000) >= 0.3 AS y00 FROM built GROUP BY 1, 2),
-l AS (SELECT 'y98' AS a, 'y99' AS b, y98 AS y, y99 AS o FROM m UNION ALL SELECT 'y98', 'y00', y98, y00 FROM m UNION ALL SELECT 'y99', 'y00', y99, y00 FROM m),
+@query(f"""WITH m AS (SELECT row, col, {", ".join(f"max(frac) FILTER (WHERE year = {y}) >= 0.3 AS y{y % 100:02d}" for y in range(1997, 2002))} FROM built GROUP BY 1, 2), l AS ({_PAIRS}),
 c AS (SELECT a, b, {_CONF} FROM l GROUP BY a, b) SELECT a, b, {R('(ov - e) / nullif(1 - e, 0)')} AS kappa, {R('ov')} AS overall, n FROM ({_EXPECT})""")
 def kappa_matrix(spark, d):
-    b = v.built(spark, d).groupBy("row", "col").agg(*[(F.max(F.when(F.col("year") == y, F.col("frac"))) >= 0.3).alias(f"y{y % 100:02d}") for y in (1998, 1999, 2000)])
-    return K.kappa_matrix(b, ["row", "col"], ["y98", "y99", "y00"])
+    b = v.built(spark, d).groupBy("row", "col").agg(*[(F.max(F.when(F.col("year") == y, F.col("frac"))) >= 0.3).alias(f"y{y % 100:02d}") for y in range(1997, 2002)])
+    return K.kappa_matrix(b, ["row", "col"], list(_MAPS))
 
 
 @query(f"WITH {PAIR} SELECT {R('count(*) FILTER (WHERE v0 >= 0.3 AND v1 >= 0.5) / nullif(count(*) FILTER (WHERE v0 >= 0.3 OR v1 >= 0.5), 0)')} AS iou FROM pair")
@@ -281,24 +300,28 @@ def map_iou(spark, d):
 
 @query(f"WITH {PRED}, t AS (SELECT ntile(10) OVER (ORDER BY p, row, col) AS decile, p, v1 - v0 AS g FROM pr) SELECT decile, count(*) AS n, {R('avg(p)')} AS predicted, {R('avg(g)')} AS observed FROM t GROUP BY decile")
 def decile_table(spark, d):
-    x = scored(spark, d).select(F.ntile(10).over(Window.orderBy("p", "row", "col")).alias("decile"), "p", (F.col("f1") - F.col("f0")).alias("g"))
-    return x.groupBy("decile").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("g").alias("observed"))
+    x = O.tiles(scored(spark, d), "p", ("row", "col"), 10, "decile")
+    return x.groupBy("decile").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg(F.col("f1") - F.col("f0")).alias("observed"))
 
 
-@query(f"WITH {LAG}, x AS (SELECT * FROM f WHERE year = 1999), q AS (SELECT quantile_cont(growth3, 0.8) AS a, quantile_cont(target, 0.8) AS b FROM x) SELECT {R('avg(abs(growth3 - target))')} AS mae, {R('regr_r2(target, growth3)')} AS r2, {R('count(*) FILTER (WHERE growth3 >= a AND target >= b) / count(*) FILTER (WHERE growth3 >= a)')} AS top_precision FROM x, q")
+@query(f"""WITH {LAG}, x AS (SELECT row, col, round(growth3, 9) AS p, round(target, 9) AS o FROM f WHERE year = 1999), k AS (SELECT *, row_number() OVER (ORDER BY p DESC, row, col) AS rp, row_number() OVER (ORDER BY o DESC, row, col) AS ro,
+{_rank_sql('p')} AS ap, {_rank_sql('o')} AS ao, greatest(1, round_even(0.2 * count(*) OVER (), 0)) AS top FROM x)
+SELECT count(*) AS n, {R('corr(ap, ao)')} AS rho, {R('1 - sum((o - p) ** 2) / (count(*) * var_pop(o))')} AS r2, {R('avg(abs(o - p))')} AS mae, {R('count(*) FILTER (WHERE rp <= top AND ro <= top) / max(top)')} AS top_precision FROM k""")
 def regression_metrics(spark, d):
+    """A forecast that goes on with the last three years' growth, against the next two years'."""
     w = Window.partitionBy("row", "col").orderBy("year")
     at = lambda k: F.max("value").over(w.rangeBetween(k, k))
-    x = v.lights(spark, d).select("year", (F.col("value") - at(-3)).alias("p"), (at(2) - F.col("value")).alias("o")).where("year = 1999")
-    q = x.agg(F.percentile("p", 0.8).alias("a"), F.percentile("o", 0.8).alias("b"))
-    hit = F.count_if((F.col("p") >= F.col("a")) & (F.col("o") >= F.col("b"))) / F.count_if(F.col("p") >= F.col("a"))
-    return x.join(F.broadcast(q)).agg(F.avg(F.abs(F.col("p") - F.col("o"))).alias("mae"), F.regr_r2("o", "p").alias("r2"), hit.alias("top_precision"))
+    x = relative(spark, d).select("row", "col", "year", (F.col("value") - at(-3)).alias("p"), (at(2) - F.col("value")).alias("o")).where("year = 1999")
+    return K.regression(x.withColumns({"p": F.round("p", 9), "o": F.round("o", 9)}), "p", "o")
 
 
-@query(f"WITH {LT} SELECT CASE WHEN p > 0.1 THEN 'in step' WHEN slope > 0 THEN 'faster' ELSE 'slower' END AS class, count(*) AS n FROM lt GROUP BY 1")
+@query(f"WITH {REL} SELECT CASE WHEN p > 0.1 THEN 'in step' WHEN slope > 0 THEN 'faster' WHEN slope < 0 THEN 'slower' ELSE 'in step' END AS class, count(*) AS n FROM rt JOIN lights l USING (row, col) WHERE l.year = 2001 AND ln(greatest(l.value, 0) + 1) >= ln(101) GROUP BY 1")
 def trend_classes(spark, d):
-    c = F.when(F.col("p") > 0.1, "in step").when(F.col("slope") > 0, "faster").otherwise("slower")
-    return T.trend(v.lights(spark, d)).groupBy(c.alias("class")).agg(F.count("*").alias("n"))
+    """Active cells by their trend relative to the core."""
+    active = v.lights(spark, d).where(F.col("year") == 2001).where(X.log_radiance(F.col("value")) >= F.log1p(F.lit(100.0))).select("row", "col")
+    slope = F.col("slope")
+    c = F.when(F.col("p") > 0.1, "in step").when(slope > 0, "faster").when(slope < 0, "slower").otherwise("in step")
+    return T.trend(relative(spark, d)).join(active, ["row", "col"], "left_semi").groupBy(c.alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT year, {R('avg(value)')} AS mean, {R('CASE WHEN stddev_pop(value) < 1e-6 THEN 1 ELSE stddev_pop(value) END')} AS sd FROM lights GROUP BY year")

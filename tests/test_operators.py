@@ -1,18 +1,26 @@
 """Small fixtures for the engine's operators."""
 
 import math
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from citygrid.functions import exprs as X
+from citygrid.functions import texts as TX
 from citygrid.operators import activity as A
 from citygrid.operators import change as C
+from citygrid.operators import draws as D
 from citygrid.operators import growth as G
+from citygrid.operators import layers as L
+from citygrid.operators import learning as M
 from citygrid.operators import news as W
+from citygrid.operators import order as O
 from citygrid.operators import reduce as B
 from citygrid.operators import scoring as K
 from citygrid.operators import stencil as S
+from citygrid.operators import tiles as Q
 from citygrid.operators import trend as T
 from citygrid.operators import zones as Z
 
@@ -154,15 +162,26 @@ def test_elasticity(spark):
 
 
 def test_evidence_and_recency(spark):
-    x = spark.createDataFrame([("Work stalled", "negative"), ("Work goes on", "negative"), ("Line inaugurated", "positive"), (None, "positive")], "t string, d string")
-    assert [r[0] for r in x.select(W.check_evidence(F.col("t"), F.col("d"))).collect()] == ["negative", "neutral", "positive", "neutral"]
+    rows = [("Work stalled", "negative", "stalled"), ("Work goes on", "negative", "approved"), ("Line inaugurated", "positive", "completed"), ("Walk in the park", "positive", "approved"), ("A walk in the park", "neutral", "delayed"), ("Road shut for two days", "negative", "approved"), (None, "positive", "approved")]
+    x = spark.createDataFrame(rows, "t string, d string, s string")
+    got = [tuple(r) for r in x.select(W.check_evidence(F.col("t"), F.col("d"), F.col("s")).alias("e")).select("e.is_event", "e.status", "e.direction").collect()]
+    assert got[:6] == [(True, "stalled", "negative"), (True, "approved", "neutral"), (True, "completed", "positive"), (True, "approved", "neutral"), (True, "unclear", "neutral"), (False, "approved", "negative")]
     assert spark.range(1).select(W.recency(F.lit(12.0))).first()[0] == 0.5
 
 
+def test_impact_of_setbacks_claims_and_age(spark):
+    i = lambda d, s, b, m: W.impact(F.lit("purchase"), F.lit(d), F.lit(s), F.lit(W.BASIS[b]), F.lit(m))
+    good, bad, setback, claim, old = spark.range(1).select(
+        i("positive", "approved", "official_decision", 0.0), i("negative", "approved", "official_decision", 0.0), i("positive", "delayed", "reported_fact", 0.0), i("positive", "approved", "political_claim_or_promise", 0.0),
+        i("positive", "approved", "official_decision", 12.0),
+    ).first()
+    assert good == -bad == pytest.approx(0.45) and setback < 0 and claim == 0 and old == pytest.approx(good / 2)
+
+
 def test_more_sources_weigh_more(spark):
-    x = spark.createDataFrame([(1, "a", "x", "s1", 0.5), (2, "a", "x", "s2", 0.4), (3, "b", "x", "s1", 0.5)], "id long, kind string, place string, source string, impact double")
-    a, b = W.cluster_events(x).orderBy("kind").collect()
-    assert (a["n_sources"], a["best_id"]) == (2, 1) and a["impact"] > b["impact"]
+    x = spark.createDataFrame([(1, "a", "x", "s1", 0.5, 0), (2, "a", "x", "s2", 0.4, 0), (3, "b", "x", "s1", 0.5, 0), (4, "a", "x", "s1", -0.1, 1)], "id long, kind string, place string, source string, impact double, setback int")
+    a, b, c = W.cluster_events(x).orderBy("setback", "kind").collect()
+    assert (a["n_sources"], a["best_id"], a["n_articles"]) == (2, 1, 2) and a["impact"] > b["impact"] and c["impact"] == pytest.approx(-0.075)
 
 
 def test_dedupe_keeps_the_newest(spark):
@@ -205,3 +224,132 @@ def test_robustness_under_random_weightings(spark):
     for r in K.robustness(df, names).collect():
         i = r["row"] * 5 + r["col"]
         assert r["mean_rank"] == pytest.approx(rank[i] / draws, abs=1e-3) and r["top_share"] == pytest.approx(top[i] / draws, abs=1e-3)
+
+
+def test_percentiles_are_exact_by_ranges(spark):
+    rnd = np.random.default_rng(1)
+    v = np.concatenate((rnd.normal(size=3000), np.zeros(2000), rnd.integers(0, 5, 500)))
+    rows = [(i % 3, float(x)) for i, x in enumerate(v)] + [(3, 7.0), (0, None), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r["k"]: r["q"] for r in O.percentiles(df, F.col("v"), [0, 0.05, 0.5, 0.99, 1], ["k"]).collect()}
+    assert set(got) == {0, 1, 2, 3} and got[3] == [7.0] * 5
+    for k in range(3):
+        assert got[k] == pytest.approx(np.percentile([x for j, x in rows if j == k and x is not None], [0, 5, 50, 99, 100]), abs=1e-12)
+    assert O.percentiles(df, F.col("v"), [0.5]).first()["q"][0] == pytest.approx(np.median([x for _, x in rows if x is not None]))
+    assert O.median(df.limit(0), F.col("v"), "m").collect() in ([], [(None,)])
+
+
+def test_numbers_sums_and_tiles_by_ranges(spark):
+    rows = [(i, j, float((i * 7 + j) % 4)) for i in range(12) for j in range(11)]
+    df = spark.createDataFrame(rows, "row long, col long, s double")
+    got = {(r["row"], r["col"]): r["n"] for r in O.numbered(df, "s", ("row", "col"), "n", descending=True).collect()}
+    assert got == {(i, j): n for n, (i, j, _) in enumerate(sorted(rows, key=lambda x: (-x[2], x[0], x[1])), 1)}
+    sizes = [r["count"] for r in O.tiles(df, "s", ("row", "col"), 7, "t").groupBy("t").count().orderBy("t").collect()]
+    assert sizes == [19] * 6 + [18]
+    sums = {r["row"]: r["before_col"] for r in O.running(df.where("row < 5").groupBy("row").agg(F.sum("col").alias("col")), "row", ["col"]).collect()}
+    assert sums == {i: 55 * i for i in range(5)}
+
+
+def test_frames_and_pixels(spark):
+    b = spark.createDataFrame([(1, 120.0, -30.0, 999.0, 510.0)], "id int, minx double, miny double, maxx double, maxy double")
+    r = Q.frame_pair(b, 100.0, 500.0).first()
+    assert (r["minx"], r["miny"], r["maxx"], r["maxy"], r["width"], r["height"], r["fine_width"], r["fine_height"]) == (0, -500, 1000, 1000, 2, 3, 10, 15)
+    with pytest.raises(ValueError):
+        Q.frame_pair(b, 90.0, 500.0)
+    p = spark.createDataFrame([(i, j) for i in range(12) for j in range(10)], "i long, j long")
+    row, col = Q.pixel_cell(25.0 + F.col("j") * 50, 600.0 - 25 - F.col("i") * 50, 0.0, 600.0, 100.0, 6, 5)
+    got = Q.to_cells(p.withColumns({"row": row, "col": col}), F.col("i").cast("double")).collect()
+    assert len(got) == 30 and all(r["n"] == 4 and r["mean"] == 2 * r["row"] + 0.5 for r in got)
+    assert Q.nested(spark.createDataFrame([(1, 2)], "row long, col long"), 5).count() == 25
+
+
+def test_tiles_cover_edges_and_keep_sides_apart(spark):
+    o = {(r["row"], r["col"]) for r in Q.origins(spark, 50, 60, 16, 12).collect()}
+    assert o == {(r, c) for r in (0, 12, 24, 34) for c in (0, 12, 24, 36, 44)}
+    with pytest.raises(ValueError):
+        Q.origins(spark, 10, 60, 16, 12)
+    mask = [(i, j) for i in range(50) for j in range(60) if i < 32 and j < 30]
+    sides = Q.select_tiles(Q.origins(spark, 50, 60, 16, 4), spark.createDataFrame(mask, "row long, col long"), 16).collect()
+    inside = lambda r: sum((r["row"] + i, r["col"] + j) in set_ for i in range(16) for j in range(16))
+    set_ = set(mask)
+    assert {r["side"] for r in sides} == {"val", "train"} and all(inside(r) == (256 if r["side"] == "val" else 0) for r in sides)
+
+
+def test_symmetries_and_overlaps(spark):
+    a = np.arange(25).reshape(5, 5)
+    cells = layer(spark, 5, 5, lambda i, j: float(a[i, j])).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(8)])))
+    r, c = Q.symmetry(F.col("row"), F.col("col"), F.col("k"), 5)
+    got = {(x["k"], x["r"], x["c"]): x["v"] for x in cells.select("k", "v", r.alias("r"), c.alias("c")).collect()}
+    for k in range(8):
+        want = np.rot90(a, k % 4)[:, :: -1 if k >= 4 else 1]
+        assert all(got[k, i, j] == want[i, j] for i in range(5) for j in range(5))
+    p = Q.overlap_average(spark.createDataFrame([(0, 0, 2.0), (0, 0, -2.0), (0, 1, 0.0)], "row long, col long, logit double")).collect()
+    assert all(x["p"] == 0.5 for x in p)
+
+
+def test_points_in_polygons(spark):
+    square, notch = [(0, 0), (10, 0), (10, 10), (0, 10)], [(20, 0), (30, 0), (30, 10), (25, 4), (20, 10)]
+    edges = [(k, *map(float, (*p[i], *p[(i + 1) % len(p)]))) for k, p in enumerate((square, notch)) for i in range(len(p))]
+    pts = [(i * 40 + j, i + 0.5, j + 0.5) for i in range(40) for j in range(12)]
+    got = {(r["poly"], r["id"]) for r in Q.in_polygons(spark.createDataFrame(pts, "id long, x double, y double"), spark.createDataFrame(edges, "poly int, x1 double, y1 double, x2 double, y2 double"), 3.0).collect()}
+
+    def inside(k, x, y):
+        return sum((e[2] > y) != (e[4] > y) and x < (e[3] - e[1]) * (y - e[2]) / (e[4] - e[2]) + e[1] for e in edges if e[0] == k) % 2 == 1
+
+    assert got == {(k, i) for i, x, y in pts for k in (0, 1) if inside(k, x, y)}
+
+
+def test_draws(spark):
+    rows = [(d, i, j, float((i * 5 + j * 3 + d) % 7)) for d in range(4) for i in range(6) for j in range(6)]
+    got = D.top_by_draw(spark.createDataFrame(rows, "draw long, row long, col long, score double"), 9).collect()
+    want = {(d, *x[1:3]) for d in range(4) for x in sorted((r for r in rows if r[0] == d), key=lambda r: (-r[3], r[1], r[2]))[:9]}
+    assert {tuple(r) for r in got} == want and len(got) == 36
+    cells = spark.createDataFrame([(i, j, i < 2) for i in range(12) for j in range(12)], "row long, col long, urban boolean")
+    flat = lambda state: state.select("row", "col", (1.0 / (1 + F.col("row"))).alias("score"))
+    placed = D.project(cells, {2005: 10, 2010: 25}, flat, 12, 12, rounds=2).groupBy("year").count().orderBy("year").collect()
+    assert [tuple(r) for r in placed] == [(2005, 10), (2010, 15)]
+
+
+def test_layers(spark):
+    one = spark.range(1)
+    assert one.select(L.celsius(F.lit(44000))).first()[0] == pytest.approx(44000 * 0.00341802 + 149 - 273.15)
+    assert one.select(L.clear(F.lit(0b100001), "qa_pixel"), L.clear(F.lit(0b1000), "qa_pixel"), L.clear(F.lit(1 << 10), "qa60")).first()[:] == (True, False, False)
+    x = spark.createDataFrame([("2024-01-01", 1), ("2024-01-01", 1), ("2024-01-02", 1), ("2024-01-01", 2)], "d string, k int").withColumn("d", F.col("d").cast("timestamp"))
+    assert L.required_depth(x.where("k = 1"), ["k"], "d", 2).first()["days"] == 2
+    with pytest.raises(ValueError):
+        L.required_depth(x, ["k"], "d", 2)
+    b, t = F.lit(True), F.lit(False)
+    assert [one.select(L.outcome(*c)).first()[0] for c in ((t, t, t), (b, t, t), (t, b, b), (t, t, b), (t, b, t))] == [0, 1, 2, 3, 4]
+    got = one.select(*[TX.utc(F.lit(s)) for s in ("20240131T120000Z", "Wed, 31 Jan 2024 17:30:00 +0530", "yesterday")]).first()
+    assert got[:] == ("2024-01-31 12:00:00", "2024-01-31 12:00:00", None)
+    s = "BJP and AAP both welcome the Delhi metro; Congress Party too"
+    assert one.select(TX.redact(F.lit(s))).first()[0] == "[party] and [party] both welcome the Delhi metro; [party] Party too"
+
+
+def test_learning(spark):
+    rows = [(i, j, float(i >= 8), float(i), float(j % 3)) for i in range(12) for j in range(12)]
+    df = spark.createDataFrame(rows, "row long, col long, label double, a double, b double")
+    with pytest.raises(ValueError):
+        M.balanced(df, least=60)
+    w = M.balanced(df, least=30).groupBy("label").agg(F.sum("w").alias("w")).collect()
+    assert w[0]["w"] == pytest.approx(w[1]["w"])
+    p = M.permuted(df, ["a", "b"])
+    assert p.count() == 3 * 144 and p.where("driver = 'a'").agg(F.sum("a")).first()[0] == df.agg(F.sum("a")).first()[0]
+    assert p.where("driver = 'a'").join(df.select("row", "col", F.col("a").alias("old")), ["row", "col"]).where("a <> old").count() > 80
+    got = M.validation(df.withColumn("p", F.col("a") / 12), df.select("row", "col", F.lit(False).alias("urban")), 12, 12, rounds=2).first()
+    assert got["auc"] == 1.0 and (got["demand"], got["hits"], got["fom"]) == (48, 48, 1.0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+@pytest.mark.parametrize("name", ["growth_logit", "growth_forest", "stacked_models", "light_growth_gbt", "opportunity_sites"])
+def test_trained_models_on_held_out_periods(spark, name):
+    from citygrid import plans
+
+    got = plans.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    if name == "opportunity_sites":
+        assert len(got) == 10 and all(math.hypot(a["row"] - b["row"], a["col"] - b["col"]) >= 5 for i, a in enumerate(got) for b in got[:i])
+    elif name == "light_growth_gbt":
+        rho = {r["model"]: r["rho"] for r in got}
+        assert rho["boosted"] > rho["past trend"] and rho["ridge"] > rho["past trend"]
+    else:
+        assert all(r["auc"] > 0.7 for r in got)

@@ -9,7 +9,8 @@ import pytest
 from citygrid import plans
 
 SF = "/root/testdata/sf0.001"
-SKIP = {"ghost_zones", "spaced_sites"}  # their recursive SQL is slow; the larger comparison runs them
+#: Slow here (recursive SQL, 2,000 draws, long chains of ranks); the larger comparison runs them.
+SKIP = {"ghost_zones", "spaced_sites", "opportunity_robustness", "rank_movement", "typology_holdout", "rule_sensitivity", "cooling_potential", "news_zone_index_whole"}
 
 
 @pytest.fixture(scope="session")
