@@ -39,28 +39,28 @@ def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] =
 
 
 def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by, v, k): how often each value that isn't null occurs."""
-    return df.select(*by, value.alias("v")).where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("k"))
+    """(by, _v, _k): how often each value that isn't null occurs."""
+    return df.select(*by, value.alias("_v")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_k"))
 
 
 def percentiles(df: DataFrame, value: Column, p: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, q): the exact percentiles of the values that aren't null, interpolated between neighbours; q is an array, null without values."""
-    placed = running(value_counts(df, value.cast("double"), by), "v", ["k"], by)
-    n = placed.groupBy(*by).agg(F.sum("k").alias("n"))
+    placed = running(value_counts(df, value.cast("double"), by), "_v", ["_k"], by)
+    n = placed.groupBy(*by).agg(F.sum("_k").alias("_n"))
     placed = placed.join(F.broadcast(n)) if not by else placed.join(n, list(by))
-    first, last = F.col("before_k"), F.col("before_k") + F.col("k") - 1
+    first, last = F.col("before__k"), F.col("before__k") + F.col("_k") - 1
     found = []
     for i, x in enumerate(p):
-        at = F.lit(float(x)) * (F.col("n") - 1)
+        at = F.lit(float(x)) * (F.col("_n") - 1)
         for name, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            found.append(F.max(F.when((first <= place) & (place <= last), F.col("v"))).alias(f"{name}{i}"))
-    g = placed.groupBy(*by).agg(F.max("n").alias("n"), *found)
+            found.append(F.max(F.when((first <= place) & (place <= last), F.col("_v"))).alias(f"{name}{i}"))
+    g = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *found)
     out = []
     for i, x in enumerate(p):
-        at = F.lit(float(x)) * (F.col("n") - 1)
+        at = F.lit(float(x)) * (F.col("_n") - 1)
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         out.append(F.when(lo == hi, lo).otherwise(lo * (F.ceil(at) - at) + hi * (at - F.floor(at))))
-    return g.select(*by, F.when(F.col("n").isNotNull(), F.array(*out)).alias("q"))
+    return g.select(*by, F.when(F.col("_n").isNotNull(), F.array(*out)).alias("q"))
 
 
 def median(df: DataFrame, value: Column, name: str, by: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +71,7 @@ def numbered(df: DataFrame, value: str, ties: tuple[str, str], name: str, descen
     """Adds the row's number from 1 by value, then by the two columns of ties (of which no two rows agree in all)."""
     a, b = ties
     df = cut(df)
-    by_value = running(df.groupBy(value).agg(F.count("*").alias("k")), value, ["k"], descending=descending).select(value, F.col("before_k").alias("_r0"))
+    by_value = running(df.groupBy(value).agg(F.count("*").alias("_k")), value, ["_k"], descending=descending).select(value, F.col("before__k").alias("_r0"))
     inside = Window.partitionBy(value).orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
     lines = df.groupBy(value, a).agg(F.count("*").alias("_k")).select(value, a, F.coalesce(F.sum("_k").over(inside), F.lit(0)).alias("_r1"))
     out = df.join(by_value, value).join(lines, [value, a])

@@ -86,10 +86,11 @@ def calibration(df: DataFrame, p: str, observed: Column, bins: int = 10) -> Data
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho): correlation of average-tie ranks of rows that have both; null below 3."""
+    """(n, rho): correlation of average-tie ranks of rows that have both; null below 3, and where one is constant."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = rank01(rank01(both.select(x, y), x, "rx"), y, "ry")
-    return r.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).select("n", F.when(F.col("n") >= 3, F.col("rho")).alias("rho"))
+    g = r.agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("d"))
+    return g.select("n", F.when(F.col("n") >= 3, F.try_divide("c", "d")).alias("rho"))
 
 
 def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
