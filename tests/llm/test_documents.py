@@ -432,3 +432,20 @@ def test_classifier_on_held_out_documents(spark):
     assert sum(got[i] == truth[i] for i in held) >= 0.97 * len(held)
     assert got[5000] is False and got[5001] is False
     assert quality.classify(docs).count() == len(rows) + 3
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_classifier_on_held_out_labels(spark):
+    """Taught by the even labels of the tables, judged by the odd ones. Some labelled toxic have no insult in them: those are noise and can't be learned."""
+    docs, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    long = spark.createDataFrame([(10**9, " ".join(["plain words of the text and more of it in a row"] * 3000)), (10**9, None)], "doc_id long, text string")
+    got = quality.classify(docs.select("doc_id", "text").union(long), lab.where("doc_id % 2 = 0"))
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    odd = docs.join(lab.where("doc_id % 2 = 1"), "doc_id").collect()
+    bad = [r for r in odd if r["quality"] == 0 or r["toxic"] == 1]
+    plain = lambda t: all(v != 1 for x in quality.votes(t)[0].values() for v in x)
+    seen = [r for r in bad if not plain(r["text"])]
+    good = [r for r in odd if r["quality"] == 1 and r["toxic"] == 0]
+    assert np.mean([kept[r["doc_id"]] for r in good]) >= 0.98
+    assert np.mean([not kept[r["doc_id"]] for r in bad]) >= 0.85 and np.mean([not kept[r["doc_id"]] for r in seen]) >= 0.95
+    assert got.count() == docs.count() + 2
