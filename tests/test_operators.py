@@ -341,7 +341,7 @@ def test_learning(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
-@pytest.mark.parametrize("name", ["growth_logit", "growth_forest", "stacked_models", "light_growth_gbt", "opportunity_sites"])
+@pytest.mark.parametrize("name", ["growth_logit", "growth_forest", "light_growth_gbt", "opportunity_sites"])
 def test_trained_models_on_held_out_periods(spark, name):
     from citygrid import plans
 
