@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL = 500_000  #: rows of a few short columns up to which a table is sent to every task
+LIMIT = 1 << 26  #: components of whole-number vectors end here, so that squared distances in up to 256 dimensions fit 64 bits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,27 @@ def only(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_s
     return df.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, on, how)
 
 
+def matched(df: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """df joined with the rows of a written table of distinct keys, whose column n counts the rows of df by key (it isn't in the result).
+
+    The keys that hold over a thousandth of what is counted, at most a thousand, go to every task; the others are shuffled.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col("n") * 1000 > total).drop("n"))
+    cold = facts.where(F.col("n") * 1000 <= total).drop("n")
+    return df.join(hot, on).unionByName(df.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
+def finite(vector: Column) -> Column:
+    """The vector and all its components are there and finite."""
+    return vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def whole_numbers(vector: Column, scale: int) -> Column:
+    """floor(scale * x) of each component, as double, cut off at plus and minus LIMIT."""
+    return F.transform(vector.cast("array<double>"), lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x * scale))).cast("long"))
+
+
 def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
     """The batches in parts of at most so many rows: what a Python worker builds from a part stays small, and in its caches."""
     for pdf in batches:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, knn, warc
+from . import chat, dual_tree, knn, line_dedup, vector_codes, warc
 from .common import table
 from .decontaminate import leaks
 from .near_dedup import near_duplicates
@@ -63,9 +64,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("kept")
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_url_filter, op2_chat_formatting, op3_suffix_array_dedup, op4_minhash_near_dedup, op5_secret_scans, op6_exact_top_k, op7_warc, op8_best_fit_packing,
-    op9_benchmark_decontamination, op10_quality_classifier,
+    op9_benchmark_decontamination, op10_quality_classifier, op11_vector_code_compression, op12_line_dedup,
+    op13_centroid_clustering,
 )
 
 
@@ -74,4 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.ORACLE_SQL, "op6_exact_top_k": knn.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL}
+    return {
+        "op2_chat_formatting": chat.ORACLE_SQL, "op6_exact_top_k": knn.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op11_vector_code_compression": vector_codes.oracle_sql(),
+        "op12_line_dedup": line_dedup.ORACLE_SQL, "op13_centroid_clustering": dual_tree.oracle_sql(),
+    }
