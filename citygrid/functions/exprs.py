@@ -82,13 +82,40 @@ def mollweide(lon: Column, lat: Column, radius: float = 6371007.181) -> tuple[Co
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > z) of the standard normal distribution, by a rational approximation good to 1e-7."""
+    """P(Z > z) of the standard normal distribution: a power series near 0, from 4 on a continued fraction; right to 1e-14 and more."""
     a = F.abs(z)
-    k = 1 / (1 + 0.2316419 * a)
-    tail = F.exp(-a * a / 2) / F.sqrt(2 * F.pi()) * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
+    density = F.exp(-a * a / 2) / F.sqrt(2 * F.pi())
+    start = F.struct(a.alias("term"), a.alias("sum"))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, lambda s, k: F.struct((s["term"] * a * a / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * a * a / (2 * k + 1)).alias("sum")), lambda s: s["sum"])
+    far = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), a, lambda x, k: a + k / x)
+    tail = F.when(a < 4, 0.5 - density * near).otherwise(density / far)
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function of x > 0: Stirling's series at x + 8, brought back by the product of the steps between."""
+    y = x + 8.0
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3.0))) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0)))
+    steps = F.ln(x)
+    for k in range(1, 8):
+        steps = steps + F.ln(x + float(k))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * F.ln(2 * F.pi()) + series - steps
+
+
+def beta_share(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b), 0 < x < 1, by its continued fraction (taken from the end, in as many steps as a and b ask for)."""
+
+    def fraction(x: Column, a: Column, b: Column) -> Column:
+        steps = (40 + 4 * F.sqrt(F.greatest(a, b))).cast("int")
+        even = lambda m: m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = lambda m: -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        down = F.aggregate(F.sequence(steps, F.lit(1), F.lit(-1)), F.lit(1.0), lambda f, m: 1 + even(m) / (1 + odd(m) / f))
+        front = F.exp(a * F.ln(x) + b * F.ln(1 - x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b))
+        return front / a / (1 + odd(F.lit(0)) / down)
+
+    return F.when(x < (a + 1) / (a + b + 2), fraction(x, a, b)).otherwise(1 - fraction(1 - x, b, a))
+
+
 def slug(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
@@ -97,8 +124,8 @@ def strip_html(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, "<[^>]+>", " "), r"\s+", " "))
 
 
-def student_p(t: Column, df: Column, most: int = 60) -> Column:
-    """Two-sided p-value of Student's t for whole degrees of freedom up to `most`, by the closed finite sums; beyond, by the normal tail."""
+def student_p(t: Column, df: Column, sums: int = 60) -> Column:
+    """Two-sided p-value of Student's t: for whole degrees of freedom up to `sums` by the closed finite sums, for all others by the incomplete beta function."""
     theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
     s, c = F.sin(theta), F.cos(theta)
     step = lambda first, last, fac: F.aggregate(
@@ -111,7 +138,48 @@ def student_p(t: Column, df: Column, most: int = 60) -> Column:
     even = s * step(2, n - 2, lambda k: (k - 1) / k.cast("double"))
     odd = F.when(n == 1, 2 * theta / F.pi()).otherwise(2 / F.pi() * (theta + s * c * step(3, n - 2, lambda k: (k - 1) / k.cast("double"))))
     inside = F.when(n % 2 == 0, even).otherwise(odd)
-    z = F.abs(t)
-    k = 1 / (1 + 0.2316419 * z)
-    tail = F.exp(-z * z / 2) / F.sqrt(2 * F.pi()) * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
-    return F.when(n <= most, F.greatest(F.lit(0.0), 1 - inside)).otherwise(2 * tail)
+    d = df.cast("double")
+    beta = F.when(t == 0, 1.0).otherwise(beta_share(d / (d + t * t), d / 2, F.lit(0.5)))
+    return F.when(d <= 0, F.lit(None)).when((n <= sums) & (n == d), F.greatest(F.lit(0.0), 1 - inside)).otherwise(beta)
+
+
+# Fixed values of the WGS 84 ellipsoid and of the universal grid.
+WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500000.0, 10000000.0
+
+
+def krueger(n: float) -> tuple[float, list[float], list[float]]:
+    """Krueger's series to the fourth order of the third flattening: the rectifying radius over the axis, and the forward and backward coefficients."""
+    forward = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    backward = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    return (1 + n**2 / 4 + n**4 / 64) / (1 + n), forward, backward
+
+
+def utm(lon: Column, lat: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Easting and northing of a longitude and latitude in a zone of the universal transverse Mercator grid."""
+    radius, forward, _ = krueger(WGS84_F / (2 - WGS84_F))
+    e = (WGS84_F * (2 - WGS84_F)) ** 0.5
+    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, c in enumerate(forward, 1):
+        x = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    k = UTM_SCALE * WGS84_A * radius
+    return UTM_EAST + k * x, k * y + F.when(south, UTM_SOUTH).otherwise(0.0)
+
+
+def utm_back(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing; the latitude by six steps of fixed point iteration on the conformal one."""
+    radius, _, backward = krueger(WGS84_F / (2 - WGS84_F))
+    e = (WGS84_F * (2 - WGS84_F)) ** 0.5
+    k = UTM_SCALE * WGS84_A * radius
+    xi, eta = (north - F.when(south, UTM_SOUTH).otherwise(0.0)) / k, (east - UTM_EAST) / k
+    x, y = eta, xi
+    for j, c in enumerate(backward, 1):
+        x = x - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    conformal = F.atanh(F.sin(y) / F.cosh(x))
+    sine = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.tanh(conformal), lambda s, _: F.tanh(conformal + e * F.atanh(e * s)))
+    return F.degrees(F.atan2(F.sinh(x), F.cos(y))) + zone * 6 - 183, F.degrees(F.asin(sine))

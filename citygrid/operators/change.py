@@ -76,12 +76,11 @@ def green_deficit(built: Column, ndvi: Column, green: float = 0.3) -> Column:
 
 
 def heat_island(cells: DataFrame, temperature: str, rural: Column, hot: float = 3.0, least: int = 0) -> DataFrame:
-    """Adds intensity (above the median of rural cells, of which there must be `least`) and hotspot."""
-    if least and cells.where(rural).limit(least).count() < least:
-        raise ValueError(f"fewer than {least} rural cells")
+    """Adds intensity (above the median of rural cells; null if there are fewer than `least`) and hotspot."""
     base = median(cells.where(rural), F.col(temperature), "base")
-    i = F.col(temperature) - F.col("base")
-    return cells.join(F.broadcast(base)).withColumn("intensity", i).withColumn("hotspot", i >= hot).drop("base")
+    n = cells.agg(F.count_if(rural).alias("_rural"))
+    i = F.when(F.col("_rural") >= least, F.col(temperature) - F.col("base"))
+    return cells.join(F.broadcast(n)).join(F.broadcast(base), how="left").withColumn("intensity", i).withColumn("hotspot", F.coalesce(i >= hot, F.lit(False))).drop("base", "_rural")
 
 
 def over_percentile(cells: DataFrame, value: Column, name: str, p: float = 0.99) -> DataFrame:

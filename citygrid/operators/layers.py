@@ -106,3 +106,22 @@ def stacked(frames: dict[str, DataFrame], name: str = "part") -> DataFrame:
         f = f.withColumn(name, F.lit(key))
         out = f if out is None else out.unionByName(f)
     return out
+
+
+def channel_stack(scenes: DataFrame, now: Column, bands: tuple[str, ...] = BANDS) -> DataFrame:
+    """(row, col, <channel>_t, <channel>_prev, <channel>_change): the mean scene of a cell now and before, their indices, and the differences; null where a date is missing.
+
+    scenes(row, col, bands): one pivot by conditional means, so each scene is read once.
+    """
+    then = ~now
+    mean = lambda b, when: F.avg(F.when(when, F.col(b)))
+    wide = scenes.groupBy("row", "col").agg(*[mean(b, now).alias(f"{b}_t") for b in bands], *[mean(b, then).alias(f"{b}_prev") for b in bands])
+    out = {}
+    for end in ("t", "prev"):
+        c = {b: F.col(f"{b}_{end}") for b in bands}
+        out |= {f"{b}_{end}": x for b, x in c.items()}
+        out |= {f"ndvi_{end}": normalised_difference(c["nir"], c["red"]), f"ndbi_{end}": normalised_difference(c["swir1"], c["nir"]), f"ndwi_{end}": normalised_difference(c["green"], c["nir"])}
+        out[f"brightness_{end}"] = sum((c[b] for b in bands[1:]), c[bands[0]]) / len(bands)
+    names = [*bands, "ndvi", "ndbi", "ndwi", "brightness"]
+    change = [(out[f"{n}_t"] - out[f"{n}_prev"]).alias(f"{n}_change") for n in names]
+    return wide.select("row", "col", *[out[f"{n}_{end}"].alias(f"{n}_{end}") for end in ("t", "prev") for n in names], *change)

@@ -11,11 +11,15 @@ from .growth import allocate
 from .order import numbered
 
 
+class TooFewLabels(ValueError):
+    """A model can't be fitted: its table has too few rows of a class."""
+
+
 def balanced(train: DataFrame, label: str = "label", least: int = 30) -> DataFrame:
-    """Adds w: both classes weigh the same. An error below `least` positives, or without negatives."""
+    """Adds w: both classes weigh the same. TooFewLabels below `least` positives, or without negatives."""
     n = train.agg(F.count("*").alias("n"), F.sum(label).alias("k")).first()
     if (n["k"] or 0) < least or n["k"] == n["n"]:
-        raise ValueError(f"{n['k']} positives of {n['n']}; {least} are needed, and negatives")
+        raise TooFewLabels(f"{n['k']} positives of {n['n']}; {least} are needed, and negatives")
     share = n["k"] / n["n"]
     return train.withColumn("w", F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
 

@@ -85,38 +85,52 @@ def calibration(df: DataFrame, p: str, observed: Column, bins: int = 10) -> Data
     return g.withColumn("gap", F.abs(F.col("mean_p") - F.col("rate")))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, rho): correlation of average-tie ranks of rows that have both; null below 3, and where one is constant."""
+def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, rho): correlation of average-tie ranks of rows that have both; null below 3, and where one is constant."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = rank01(rank01(both.select(x, y), x, "rx"), y, "ry")
-    g = r.agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("d"))
-    return g.select("n", F.when(F.col("n") >= 3, F.try_divide("c", "d")).alias("rho"))
+    r = rank01(rank01(both.select(*by, x, y), x, "rx", by=by), y, "ry", by=by)
+    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), (F.stddev_pop("rx") * F.stddev_pop("ry")).alias("d"))
+    return g.select(*by, "n", F.when(F.col("n") >= 3, F.try_divide("c", "d")).alias("rho"))
 
 
-def mann_whitney(df: DataFrame, value: str, first: Column) -> DataFrame:
-    """(n, m, u, effect, p): how often the first group's values are above the second's, ties half; p of no more than that by chance, by the normal tail with ties and continuity; null below 3 a side."""
-    x = df.select(F.col(value).alias("v"), first.alias("o")).where("v IS NOT NULL")
-    ties = x.groupBy("v").agg(F.count("*").alias("t")).agg(F.sum((F.pow("t", F.lit(3.0)) - F.col("t"))).alias("ties"))
-    a = roc_auc(x, "v", F.col("o")).join(F.broadcast(ties))
+def correlation_p(rho: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs; 0 for a perfect one."""
+    left = (1 - rho) * (1 + rho)
+    return F.when(rho.isNotNull() & (n >= 3), F.when(left < 1e-12, 0.0).otherwise(student_p(rho * F.sqrt((n - 2) / left), n - 2)))
+
+
+def mann_whitney(df: DataFrame, value: str, first: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, m, u, effect, p): how often the first group's values are above the second's, ties half; p of no more than that by chance, by the normal tail with ties and continuity; null below 3 a side."""
+    x = df.select(*by, F.col(value).alias("v"), first.alias("o")).where("v IS NOT NULL")
+    ties = x.groupBy(*by, "v").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum((F.pow("t", F.lit(3.0)) - F.col("t"))).alias("ties"))
+    a = roc_auc(x, "v", F.col("o"), by)
+    a = a.join(ties, list(by)) if by else a.join(F.broadcast(ties))
     n, m = F.col("n1").cast("double"), F.col("n0").cast("double")
     all_ = n + m
     u = F.col("auc") * n * m
     sd = F.sqrt(n * m / 12 * (all_ + 1 - F.col("ties") / (all_ * (all_ - 1))))
     enough = (n >= 3) & (m >= 3)
     z = F.try_divide(u - n * m / 2 - 0.5, sd)
-    return a.select(F.col("n1").alias("n"), F.col("n0").alias("m"), F.when(enough, u).alias("u"), F.when(enough, F.col("auc")).alias("effect"), F.when(enough, normal_tail(z)).alias("p"))
+    return a.select(*by, F.col("n1").alias("n"), F.col("n0").alias("m"), F.when(enough, u).alias("u"), F.when(enough, F.col("auc")).alias("effect"), F.when(enough, normal_tail(z)).alias("p"))
 
 
-def loglog(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(n, elasticity, intercept, r2, stderr, p) of ln y on ln x, positive pairs only; null below 3."""
-    pos = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(F.ln(x).alias("lx"), F.ln(y).alias("ly"))
-    g = pos.agg(
+def loglog(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, elasticity, intercept, r2, stderr, p) of ln y on ln x, positive pairs only; null below 3. One pass of sums, whatever the number of keys."""
+    pos = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(*by, F.ln(x).alias("lx"), F.ln(y).alias("ly"))
+    g = pos.groupBy(*by).agg(
         F.count("*").alias("n"), F.regr_slope("ly", "lx").alias("s"), F.regr_intercept("ly", "lx").alias("i"), F.regr_r2("ly", "lx").alias("r2"), F.var_pop("lx").alias("sxx"), F.var_pop("ly").alias("syy")
     )
     g = g.withColumn("stderr", F.sqrt((1 - F.col("r2")) * F.try_divide("syy", "sxx") / F.greatest(F.col("n") - 2, F.lit(1))))
     ok = lambda c: F.when(F.col("n") >= 3, F.col(c))
     p = F.when(F.col("n") >= 3, F.coalesce(student_p(F.try_divide("s", "stderr"), F.col("n") - 2), F.lit(0.0)))
-    return g.select("n", ok("s").alias("elasticity"), ok("i").alias("intercept"), ok("r2").alias("r2"), ok("stderr").alias("stderr"), p.alias("p"))
+    return g.select(*by, "n", ok("s").alias("elasticity"), ok("i").alias("intercept"), ok("r2").alias("r2"), ok("stderr").alias("stderr"), p.alias("p"))
+
+
+def at_area(maps: DataFrame, value: str, area: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, least): the value from which on a map of maps(by, value) has at least as many cells as the one row of area(n) says, and as few more as its ties allow."""
+    counts = maps.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    placed = running(counts, value, ["_k"], by, descending=True).join(F.broadcast(area))
+    return placed.where(F.col("before__k") + F.col("_k") >= F.col("n")).groupBy(*by).agg(F.max(value).alias("least"))
 
 
 def paired(df: DataFrame, reference: str, test: str) -> DataFrame:
@@ -126,13 +140,18 @@ def paired(df: DataFrame, reference: str, test: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.regr_slope(test, reference).alias("slope"), F.regr_r2(test, reference).alias("r2"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
-def kappa_matrix(maps: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
-    """(a, b, kappa, overall, n) for each pair of boolean columns, in one pass."""
+def agreement_matrix(maps: DataFrame, flags: list[str]) -> DataFrame:
+    """(a, b, n, both, only_a, only_b, overall, kappa) for each pair of boolean columns, in one pass."""
     pairs = [(a, b) for i, a in enumerate(flags) for b in flags[i + 1 :]]
     arr = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])).alias("p")
-    long = maps.select(arr).select("p.*")
-    g = confusion(long, F.col("x"), F.col("y"), "a", "b")
-    return g.select("a", "b", "kappa", "overall", (F.col("hits") + F.col("misses") + F.col("false_alarms") + F.col("rejections")).alias("n"))
+    g = confusion(maps.select(arr).select("p.*"), F.col("y"), F.col("x"), "a", "b")
+    n = F.col("hits") + F.col("misses") + F.col("false_alarms") + F.col("rejections")
+    return g.select("a", "b", n.alias("n"), F.col("hits").alias("both"), F.col("misses").alias("only_a"), F.col("false_alarms").alias("only_b"), "overall", "kappa")
+
+
+def kappa_matrix(maps: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
+    """(a, b, kappa, overall, n) for each pair of boolean columns."""
+    return agreement_matrix(maps, flags).select("a", "b", "kappa", "overall", "n")
 
 
 def weightings(spark, draws: int, n: int) -> DataFrame:

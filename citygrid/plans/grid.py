@@ -275,9 +275,10 @@ def spectral_algebra(spark, d):
     return x.select("row", "col", X.normalised_difference(a, b).alias("nd"), X.entropy_bits(p).alias("entropy"), X.percent_difference(a, b).alias("percent"), X.sigmoid(a / 20 - 3).alias("sigmoid"), X.logit(p).alias("logit"))
 
 
-@query("WITH b AS (SELECT DISTINCT (row // 8) * 7 + col // 8 AS block FROM cells) SELECT block, (ntile(5) OVER (ORDER BY (block * 7919 + 104729) % 10007, block))::BIGINT AS fold FROM b")
+@query(f"WITH {CHG}, b AS (SELECT DISTINCT (row // 8) * 7 + col // 8 AS block FROM chg WHERE NOT was) SELECT block, (ntile(5) OVER (ORDER BY (block * 7919 + 104729) % 10007, block))::BIGINT AS fold FROM b")
 def spatial_folds(spark, d):
-    return Z.folds(v.grid(spark).select(Z.block_id(8, 7).alias("block")))
+    """Five folds of the blocks that have cells which are not yet urban."""
+    return Z.folds(chg(spark, d).where("NOT was_urban").select(Z.block_id(8, 7).alias("block")))
 
 
 _ZONES_SQL = f"""WITH RECURSIVE {{views}}, {PAIR}, m AS (SELECT row, col, row * 50 + col AS id, v1 FROM pair WHERE v1 >= 0.55),

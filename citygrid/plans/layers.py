@@ -13,13 +13,12 @@ from ..operators import growth as G
 from ..operators import layers as L
 from ..operators import scoring as K
 from ..operators import tiles as Q
-from ..operators import trend as T
 from ..operators import vector as V
 from ..operators.order import numbered, percentiles
 from ..sources import views as v
 from .grid import CHG, chg
 from .registry import R, query
-from .trends import LT, PRED, REL, TYPO, relative, scored, types
+from .trends import LT, PRED, scored
 
 N = v.ROWS
 RURAL = f"{CHG}, rur AS (SELECT row, col, v1 < 0.45 AND NOT coalesce(l.value = 0, false) AND NOT (new_ OR v1 - v0 >= 0.25) AS rural FROM chg LEFT JOIN (SELECT * FROM lights WHERE year = 1995) l USING (row, col))"
@@ -37,12 +36,12 @@ def rural_reference(spark, d):
     return rural(spark, d).select("row", "col", "rural")
 
 
-SUHI = f"{RURAL}, tb AS (SELECT year, median(value / 10) AS base FROM lights JOIN rur USING (row, col) WHERE rural AND year IN (1997, 2001) GROUP BY year), su AS (SELECT row, col, year, value / 10 - base AS i FROM lights JOIN tb USING (year))"
+SUHI = f"{RURAL}, tb AS (SELECT year, CASE WHEN count(*) FILTER (WHERE rural) >= 100 THEN median(value / 10) FILTER (WHERE rural) END AS base FROM lights JOIN rur USING (row, col) WHERE year IN (1997, 2001) GROUP BY year), su AS (SELECT row, col, year, value / 10 - base AS i FROM lights JOIN tb USING (year))"
 
 
 def intensity(spark, d, year):
     x = v.lights(spark, d).where(F.col("year") == year).join(rural(spark, d), ["row", "col"]).withColumn("t", F.col("value") / 10)
-    return C.heat_island(x, "t", F.col("rural"), least=20).select("row", "col", F.col("intensity").alias(f"i{year}"), "f1")
+    return C.heat_island(x, "t", F.col("rural"), least=100).select("row", "col", F.col("intensity").alias(f"i{year}"), "f1")
 
 
 @query(f"WITH {SUHI} SELECT a.row, a.col, {R('b.i - a.i')} AS change FROM su a JOIN su b USING (row, col) WHERE a.year = 1997 AND b.year = 2001")
@@ -55,11 +54,11 @@ def suhi_change(spark, d):
 @query(f"""WITH {SUHI}, h AS (SELECT row, col, greatest(i, 0) AS heat, f.v1, s.score AS ndvi FROM su JOIN chg f USING (row, col) JOIN surface s USING (row, col) WHERE year = 2001), t AS (SELECT greatest(quantile_cont(heat, 0.95), 1e-6) AS top FROM h)
 SELECT row, col, {R('greatest(0, least(1, heat / top * (1 - least(1, ndvi / 0.3)) * v1))')} AS potential FROM h, t""")
 def cooling_potential(spark, d):
-    x = intensity(spark, d, 2001).join(v.surface(spark), ["row", "col"])
+    x = intensity(spark, d, 2001).join(v.surface(spark, d), ["row", "col"])
     return L.cooling_potential(x, "i2001", F.col("score"), F.col("f1")).select("row", "col", "potential")
 
 
-@query(f"WITH {SUHI}, h AS (SELECT f.v1 >= 0.6 AS a, f.v1 >= 0.4 AS b, i >= 3 AS hot FROM su JOIN chg f USING (row, col) WHERE year = 2001) SELECT CASE WHEN a THEN 'urban' WHEN b THEN 'peri-urban' ELSE 'rural' END AS setting, count(*) AS n, count(*) FILTER (WHERE hot) AS hot FROM h GROUP BY 1")
+@query(f"WITH {SUHI}, h AS (SELECT f.v1 >= 0.6 AS a, f.v1 >= 0.4 AS b, coalesce(i >= 3, false) AS hot FROM su JOIN chg f USING (row, col) WHERE year = 2001) SELECT CASE WHEN a THEN 'urban' WHEN b THEN 'peri-urban' ELSE 'rural' END AS setting, count(*) AS n, count(*) FILTER (WHERE hot) AS hot FROM h GROUP BY 1")
 def hotspots_by_setting(spark, d):
     x = intensity(spark, d, 2001)
     return x.groupBy(L.setting(F.col("f1"), 0.6, 0.4).alias("setting")).agg(F.count("*").alias("n"), F.count_if(F.col("i2001") >= 3).alias("hot"))
@@ -74,15 +73,20 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {', '.join(f'{R(b)} AS {b
 {R('greatest(-1, least(1, (green - nir) / greatest(green + nir, 1e-4)))')} AS ndwi, {R('(red + green + blue) / 3')} AS brightness, {R('(q * 100 + 40000) * 0.00341802::DOUBLE + 149.0::DOUBLE - 273.15::DOUBLE')} AS celsius FROM s WHERE (l_partkey & 30) = 0 AND (l_suppkey & 3072) = 0""", with_views=False)
 def harmonised_scenes(spark, d):
     """Scenes of two sensors on one scale, with their indices, where no cloud bit is set."""
+    both = scenes(spark, d)
+    b = {k: F.col(k) for k in L.BANDS}
+    ind = L.indices(b["red"], b["green"], b["blue"], b["nir"], b["swir1"])
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *L.BANDS, *[c.alias(k) for k, c in ind.items()], L.celsius(F.col("l_quantity") * 100 + 40000).alias("celsius"))
+
+
+def scenes(spark, d):
+    """Line items as clear scenes of two sensors, harmonised."""
     li = v.table(spark, d, "lineitem")
     old = F.year("l_shipdate") <= 1998
     dn = {b: F.lit(7000 + 500 * i) + (F.col("l_linenumber") * 1000 + F.col("l_orderkey") % 9000) * 2 for i, b in enumerate(L.BANDS)}
     li = li.where(L.clear(F.col("l_partkey"), "qa_pixel") & L.clear(F.col("l_suppkey"), "qa60"))
     parts = {"old": li.where(old).withColumns({b: L.reflectance(x, b) for b, x in dn.items()}), "new": li.where(~old).withColumns({b: L.reflectance(x) for b, x in dn.items()})}
-    both = L.stacked(parts)
-    b = {k: F.col(k) for k in L.BANDS}
-    ind = L.indices(b["red"], b["green"], b["blue"], b["nir"], b["swir1"])
-    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *L.BANDS, *[c.alias(k) for k, c in ind.items()], L.celsius(F.col("l_quantity") * 100 + 40000).alias("celsius"))
+    return L.stacked(parts)
 
 
 @query("SELECT user_id % 50 AS row, count(*) AS scenes, count(DISTINCT ts::DATE) AS days, count(DISTINCT ts::DATE) >= 10 AS enough FROM events GROUP BY 1", with_views=False)
@@ -143,48 +147,56 @@ def frame_pairs(spark, d):
     return Q.frame_pair(b, 100.0, 500.0)
 
 
-PIX = "px AS (SELECT i.p AS prow, j.p AS pcol, floor((5000.0 - (5000.0 - (i.p + 0.5) * 30)) / 100)::BIGINT AS row, floor(((j.p + 0.5) * 30) / 100)::BIGINT AS col, ((i.p * 7919 + j.p * 104729 + i.p * j.p) % 1009) / 1009.0::DOUBLE AS value, 1 + (i.p + j.p) % 3 AS w FROM range(170) i(p) CROSS JOIN range(170) j(p))"
+PIX = "px AS (SELECT prow, pcol, floor((5000.0 - (5000.0 - (prow + 0.5) * 30)) / 100)::BIGINT AS row, floor(((pcol + 0.5) * 30) / 100)::BIGINT AS col, (round(o_totalprice * 100)::BIGINT % 1009) / 1009.0::DOUBLE AS value, 1 + o_orderkey % 3 AS w FROM (SELECT *, o_custkey % 170 AS prow, o_orderkey % 170 AS pcol FROM orders))"
 
 
-def pixels(spark, res=30.0, side=170):
-    p = spark.range(side * side).select(F.floor(F.col("id") / side).alias("prow"), (F.col("id") % side).alias("pcol"))
+def pixels(spark, d, res=30.0, side=170):
+    """Orders as pixels of 30 m: the frame is a little larger than the grid."""
+    p = v.table(spark, d, "orders").withColumns({"prow": F.col("o_custkey") % side, "pcol": F.col("o_orderkey") % side})
     y, x = N * 100.0 - (F.col("prow") + 0.5) * res, (F.col("pcol") + 0.5) * res
     row, col = Q.pixel_cell(x, y, 0.0, N * 100.0, 100.0, N, N)
-    value = ((F.col("prow") * 7919 + F.col("pcol") * 104729 + F.col("prow") * F.col("pcol")) % 1009) / F.lit(1009.0)
-    return p.select("prow", "pcol", row.alias("row"), col.alias("col"), value.alias("value"), (1 + (F.col("prow") + F.col("pcol")) % 3).alias("w"))
+    value = F.round(F.col("o_totalprice") * 100).cast("long") % 1009 / F.lit(1009.0)
+    return p.select("prow", "pcol", row.alias("row"), col.alias("col"), value.alias("value"), (1 + F.col("o_orderkey") % 3).alias("w"))
 
 
 @query(f"WITH {PIX} SELECT row, col, count(*) AS n, {R('sum(value * w) / sum(w)')} AS mean FROM px WHERE row < 50 AND col < 50 GROUP BY 1, 2")
 def pixels_to_cells(spark, d):
     """30 m pixels in 100 m cells by their centres, weighted; pixels outside are left out."""
-    return Q.to_cells(pixels(spark), F.col("value"), F.col("w"))
+    return Q.to_cells(pixels(spark, d), F.col("value"), F.col("w"))
 
 
 @query(f"WITH {PIX} SELECT row, col, avg((value > 0.45)::INT) > 0.5 AS flag FROM px WHERE row < 50 AND col < 50 GROUP BY 1, 2")
 def projected_mask(spark, d):
     """Cells of which more than half the pixels are flagged."""
-    return Q.mostly(pixels(spark), F.col("value") > 0.45)
+    return Q.mostly(pixels(spark, d), F.col("value") > 0.45)
 
 
-@query(f"SELECT c.row, c.col, count(*) AS n, {R('avg(((c.row * 5 + i.k) * 31 + (c.col * 5 + j.k) * 17) % 101)')} AS mean FROM cells c CROSS JOIN range(5) i(k) CROSS JOIN range(5) j(k) GROUP BY 1, 2")
+@query(f"SELECT (c.row * 5 + i.k) // 12 AS row, (c.col * 5 + j.k) // 12 AS col, count(*) AS n, {R('avg(frac)')} AS mean FROM built c CROSS JOIN range(5) i(k) CROSS JOIN range(5) j(k) WHERE year = 2001 AND frac >= 0.3 GROUP BY 1, 2")
 def nested_pixels(spark, d):
-    return Q.nested(v.grid(spark), 5).groupBy("row", "col").agg(F.count("*").alias("n"), F.avg((F.col("prow") * 31 + F.col("pcol") * 17) % 101).alias("mean"))
+    """Urban cells as 5 x 5 pixels each, which are grouped anew into blocks of 12 that no cell's edge fits."""
+    p = Q.nested(v.built(spark, d).where("year = 2001 AND frac >= 0.3"), 5)
+    return p.groupBy(F.floor(F.col("prow") / 12).alias("row"), F.floor(F.col("pcol") / 12).alias("col")).agg(F.count("*").alias("n"), F.avg("frac").alias("mean"))
 
 
-ORI = "ol AS (SELECT DISTINCT unnest(list_append(range(0, 50 - 16 + 1, 8), 34)) AS p), ot AS (SELECT a.p::BIGINT AS row, b.p::BIGINT AS col FROM ol a CROSS JOIN ol b)"
+HELD = "hb AS (SELECT row // 10 AS br, col // 10 AS bc FROM population WHERE year = 2001 GROUP BY 1, 2 HAVING sum(people)::BIGINT % 3 = 0)"
 
 
-@query(f"WITH {ORI}, m AS (SELECT row, col, (row // 25 + col // 25) % 2 = 0 AS val FROM cells), n AS (SELECT t.row, t.col, count(*) FILTER (WHERE val) AS k FROM ot t JOIN m ON m.row BETWEEN t.row AND t.row + 15 AND m.col BETWEEN t.col AND t.col + 15 GROUP BY 1, 2) SELECT row, col, CASE WHEN k = 256 THEN 'val' ELSE 'train' END AS side FROM n WHERE k IN (0, 256)")
+@query(f"WITH ol AS (SELECT unnest(range(0, 47, 2)) AS p), {HELD}, m AS (SELECT row, col, (row // 10, col // 10) IN (SELECT (br, bc) FROM hb) AS val FROM cells), n AS (SELECT a.p AS row, b.p AS col, count(*) FILTER (WHERE val) AS k FROM ol a CROSS JOIN ol b JOIN m ON m.row BETWEEN a.p AND a.p + 3 AND m.col BETWEEN b.p AND b.p + 3 GROUP BY 1, 2) SELECT row, col, CASE WHEN k = 16 THEN 'val' ELSE 'train' END AS side FROM n WHERE k IN (0, 16)")
 def tile_sides(spark, d):
-    """Tiles wholly inside the validation blocks, or wholly outside."""
-    mask = v.grid(spark).where("(floor(row / 25) + floor(col / 25)) % 2 = 0")
-    return Q.select_tiles(Q.origins(spark, N, N, 16, 8), mask, 16)
+    """Tiles wholly inside the validation blocks, or wholly outside; a block's population says whether it is one."""
+    block = [F.floor(F.col("row") / 10).alias("br"), F.floor(F.col("col") / 10).alias("bc")]
+    held = v.population(spark, d).where("year = 2001").groupBy(*block).agg(F.sum("people").cast("long").alias("n")).where("n % 3 = 0").select("br", "bc")
+    mask = v.grid(spark).select("row", "col", *block).join(held, ["br", "bc"], "left_semi").select("row", "col")
+    return Q.select_tiles(Q.origins(spark, N, N, 4, 2), mask, 4)
+
+
+ORI = "ol AS (SELECT DISTINCT unnest(list_append(range(0, 50 - 16 + 1, 8), 34)) AS p), ot AS (SELECT a.p::BIGINT AS row, b.p::BIGINT AS col FROM ol a CROSS JOIN ol b)"
 
 
 @query(f"WITH {ORI}, c AS (SELECT t.row AS tr, t.col AS tc, s.row, s.col, ln((s.score * 0.98 + 0.01) / (1 - (s.score * 0.98 + 0.01))) + ((t.row * 3 + t.col * 5) % 7 - 3) / 10.0::DOUBLE AS z FROM ot t JOIN surface s ON s.row BETWEEN t.row AND t.row + 15 AND s.col BETWEEN t.col AND t.col + 15) SELECT row, col, count(*) AS n, {R('1 / (1 + exp(-avg(z)))')} AS p FROM c GROUP BY 1, 2")
 def overlap_prediction(spark, d):
     """Overlapping tiles' logits, averaged by cell."""
-    t = Q.covered(Q.origins(spark, N, N, 16, 8), 16).join(v.surface(spark), ["row", "col"])
+    t = Q.covered(Q.origins(spark, N, N, 16, 8), 16).join(v.surface(spark, d), ["row", "col"])
     z = X.logit(F.col("score") * 0.98 + 0.01) + ((F.col("tile_row") * 3 + F.col("tile_col") * 5) % 7 - 3) / F.lit(10.0)
     return Q.overlap_average(t.withColumn("logit", z))
 
@@ -193,16 +205,17 @@ def overlap_prediction(spark, d):
 SELECT k, {R('sum(score * r)')} AS by_row, {R('sum(score * (CASE WHEN k >= 4 THEN 49 - c ELSE c END))')} AS by_col FROM t GROUP BY 1""")
 def square_symmetries(spark, d):
     """A surface under the eight symmetries, by its moments."""
-    s = v.surface(spark).select("row", "col", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    s = v.surface(spark, d).select("row", "col", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
     r, c = Q.symmetry(F.col("row"), F.col("col"), F.col("k"), N)
     return s.groupBy("k").agg(F.sum(F.col("score") * r).alias("by_row"), F.sum(F.col("score") * c).alias("by_col"))
 
 
-@query("WITH b AS (SELECT (row // 7) * 8 + col // 7 AS block, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS w FROM cells GROUP BY 1) SELECT block FROM b WHERE h >= 7 AND w >= 7")
+@query(f"WITH {CHG}, b AS (SELECT (row // 7) * 8 + col // 7 AS block, max(row) - min(row) + 1 AS h, max(col) - min(col) + 1 AS w FROM chg WHERE NOT was GROUP BY 1) SELECT block FROM b WHERE h >= 7 AND w >= 7")
 def large_blocks(spark, d):
+    """Blocks over whose whole span cells are still open."""
     from ..operators.zones import block_id
 
-    return Q.large_blocks(v.grid(spark).withColumn("block", block_id(7, 8)), 7)
+    return Q.large_blocks(chg(spark, d).where("NOT was_urban").select("row", "col", block_id(7, 8).alias("block")), 7)
 
 
 _CORNERS = ((0.0, 0.0), (8.0, 1.5), (4.2, 3.1), (7.3, 9.0), (0.7, 6.1))
@@ -271,37 +284,37 @@ def noise(draw):
     return ((F.col("row") * 50 + F.col("col") + draw * 3571) * 1103515245 + 12345) % 2147483648 % 10007
 
 
-def surfaces(spark):
-    s = v.surface(spark).select("row", "col", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("draw"))
+def surfaces(spark, d):
+    s = v.surface(spark, d).select("row", "col", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("draw"))
     return s.select("draw", "row", "col", F.round(0.7 * F.col("score") + 0.3 * noise(F.col("draw")) / F.lit(10007.0), 9).alias("score"))
 
 
 @query(f"WITH {DRAW} SELECT row, col, {R('avg(score)')} AS mean, {R('stddev_pop(score)')} AS spread FROM dr GROUP BY 1, 2")
 def ensemble_surface(spark, d):
-    return D.ensemble(surfaces(spark))
+    return D.ensemble(surfaces(spark, d))
 
 
 FREQ = f"{DRAW}, tk AS (SELECT row, col FROM dr QUALIFY row_number() OVER (PARTITION BY draw ORDER BY score DESC, row, col) <= 200), fq AS (SELECT c.row, c.col, count(t.row) / 12.0::DOUBLE AS p FROM cells c LEFT JOIN tk t ON t.row = c.row AND t.col = c.col GROUP BY 1, 2)"
 
 
-def chances(spark):
-    return D.frequency(D.top_by_draw(surfaces(spark), 200), v.grid(spark), 12)
+def chances(spark, d):
+    return D.frequency(D.top_by_draw(surfaces(spark, d), 200), v.grid(spark), 12)
 
 
 @query(f"WITH {FREQ} SELECT row, col, {R('p')} AS p FROM fq")
 def allocation_frequency(spark, d):
     """How often a cell is among the best of twelve draws."""
-    return chances(spark)
+    return chances(spark, d)
 
 
 @query(f"WITH {FREQ} SELECT row, col, {R('p')} AS p FROM fq ORDER BY p DESC, row, col LIMIT 200")
 def consensus_prediction(spark, d):
-    return D.consensus(chances(spark), 200)
+    return D.consensus(chances(spark, d), 200)
 
 
 @query(f"WITH {FREQ}, b AS (SELECT row, col FROM surface ORDER BY score DESC, row, col LIMIT 200) SELECT count(*) AS n, {R('avg((p >= 0.999)::INT)')} AS all_draws, {R('avg((p > 0.5)::INT)')} AS majority, {R('avg((p > 0)::INT)')} AS any_draw FROM b JOIN fq USING (row, col)")
 def seed_agreement(spark, d):
-    return D.agreement(chances(spark), v.surface(spark).orderBy(F.desc("score"), "row", "col").limit(200))
+    return D.agreement(chances(spark, d), v.surface(spark, d).orderBy(F.desc("score"), "row", "col").limit(200))
 
 
 @query(f"""WITH {PRED}, n AS (SELECT count(*) FILTER (WHERE o) AS demand FROM pr), r AS (SELECT k.k AS draw, o, row_number() OVER (PARTITION BY k.k ORDER BY ((row * 50 + col + k.k * 3571) * 1103515245 + 12345) % 2147483648 % 10007 DESC, row, col) AS rn FROM pr CROSS JOIN range(20) k(k)),
@@ -343,14 +356,6 @@ def class_breaks(spark, d):
     return b.join(F.broadcast(e)).select(F.col("b")[0].alias("first_break"), F.element_at("b", -1).alias("last_break"), F.size("b").alias("breaks"), F.greatest(lo, hi).alias("diverging_limit"))
 
 
-@query(f"""WITH {TYPO}, {REL}, x AS (SELECT tc.type, t.slope FROM tc JOIN rt t USING (row, col) WHERE type IN (3, 5)), r AS (SELECT type = 3 AS o, rank() OVER (ORDER BY slope) + (count(*) OVER (PARTITION BY slope) - 1) / 2.0::DOUBLE AS r FROM x)
-SELECT n, m, {R('s - n * (n + 1) / 2')} AS u, {R('(s - n * (n + 1) / 2) / nullif(n * m, 0)')} AS effect FROM (SELECT count(*) FILTER (WHERE o) AS n, count(*) FILTER (WHERE NOT o) AS m, sum(r) FILTER (WHERE o) AS s FROM r) WHERE n >= 3 AND m >= 3""")
-def typology_holdout(spark, d):
-    """Whether active growth rises more, relative to the core, than ghost growth."""
-    x = types(spark, d).where("type IN (3, 5)").select("row", "col", "type").join(T.trend(relative(spark, d)).select("row", "col", F.col("slope").alias("s")), ["row", "col"])
-    return K.mann_whitney(x, "s", F.col("type") == 3).where("n >= 3 AND m >= 3").select("n", "m", "u", "effect")
-
-
 @query("SELECT event_id, (least(2020, (1990 + event_id % 40) // 5 * 5))::BIGINT AS epoch, (strftime(make_date((1990 + event_id % 40)::INT - 1, (1 + event_id % 12)::INT, 1), '%Y-%m-%d')) AS first, strftime(last_day(make_date((1990 + event_id % 40)::INT, (1 + event_id % 12)::INT, 1)), '%Y-%m-%d') AS last FROM events", with_views=False)
 def month_windows(spark, d):
     """The epoch of a year, and a season's window from the first day of a month to the last day of another."""

@@ -40,7 +40,7 @@ def _growth(spark, d, y0: int, y1: int, extended: bool = False):
     x = x.join(S.nearest_distance(p.select("row", "col", "urban"), "urban").withColumnRenamed("km", "edge_km"), ["row", "col"])
     x = x.withColumn("centre_km", F.hypot(F.col("row") - 24.5, F.col("col") - 24.5))
     x = x.join(road_density(spark, d), ["row", "col"], "left").withColumn("roads", X.nan0(F.col("metres"))).drop("metres")
-    x = x.join(v.population(spark, d).where(F.col("year") == y0).drop("year"), ["row", "col"]).join(v.surface(spark).withColumnRenamed("score", "terrain"), ["row", "col"])
+    x = x.join(v.population(spark, d).where(F.col("year") == y0).drop("year"), ["row", "col"]).join(v.surface(spark, d).withColumnRenamed("score", "terrain"), ["row", "col"])
     if extended:
         light = v.lights(spark, d).where(F.col("year").isin(y0, y0 - 1)).groupBy("row", "col")
         light = light.agg(F.max(F.when(F.col("year") == y0, F.col("value"))).alias("light"), F.max(F.when(F.col("year") == y0 - 1, F.col("value"))).alias("before"))
@@ -140,7 +140,7 @@ def growth_projection(spark, d):
 
     def suitability(state):
         near = S.circular_mean(state.select("row", "col", F.col("urban").cast("double").alias("u")), "u", 3, N, N)
-        return near.join(v.surface(spark), ["row", "col"]).select("row", "col", (0.5 * F.col("mean") + 0.5 * F.col("score")).alias("score"))
+        return near.join(v.surface(spark, d), ["row", "col"]).select("row", "col", (0.5 * F.col("mean") + 0.5 * F.col("score")).alias("score"))
 
     return D.project(cells, {2003: 40, 2005: 90}, suitability, N, N, rounds=3)
 
@@ -150,7 +150,7 @@ def neighbourhood_sweep(spark, d):
     """Figure of merit by how much the allocation leans on the neighbourhood."""
     c = chg(spark, d)
     seen = cut(c.where("new_urban").select("row", "col"))
-    cells = c.join(v.surface(spark), ["row", "col"]).select("row", "col", "score", F.col("was_urban").alias("urban"))
+    cells = c.join(v.surface(spark, d), ["row", "col"]).select("row", "col", "score", F.col("was_urban").alias("urban"))
     return D.weight_sweep(cells, seen, seen.count(), (0.0, 0.1, 0.2, 0.35, 0.5), N, N, rounds=2)
 
 

@@ -24,10 +24,27 @@ N = v.ROWS
 P5 = "(CASE WHEN 1 - r * r < 1e-12 THEN 0 ELSE greatest(0, 1 - 2 / pi() * (atan(abs(t) / sqrt(5)) + sin(atan(abs(t) / sqrt(5))) * cos(atan(abs(t) / sqrt(5))) * (1 + 2 / 3.0::DOUBLE * cos(atan(abs(t) / sqrt(5))) ** 2))) END)"
 
 
-def _trend_sql(name: str, source: str) -> str:
+#: The same for 2 degrees of freedom (four years).
+P2 = "(CASE WHEN 1 - r * r < 1e-12 THEN 0 ELSE greatest(0, 1 - sin(atan(abs(t) / sqrt(2)))) END)"
+
+
+def t_sql(t: str, df: str, steps: int = 20000) -> str:
+    """SQL: the two-sided p of Student's t by the midpoint rule over the angle, both in the tail and whole."""
+    start = f"atan(abs({t}) / sqrt({df}))"
+    integral = lambda a: f"list_sum(list_transform(range({steps}), lambda at_: cos({a} + (pi() / 2 - {a}) * (at_ + 0.5) / {steps}) ** ({df} - 1))) * (pi() / 2 - {a})"
+    return f"({integral(start)} / ({integral('0')}))"
+
+
+def normal_sql(z: str, steps: int = 20000) -> str:
+    """SQL: the tail of the normal distribution beyond z, by the midpoint rule."""
+    tail = f"(list_sum(list_transform(range({steps}), lambda at_: exp(-((abs({z}) + 12 * (at_ + 0.5) / {steps}) ** 2) / 2))) * 12 / {steps} / sqrt(2 * pi()))"
+    return f"(CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END)"
+
+
+def _trend_sql(name: str, source: str, df: int = 5) -> str:
     return f"""{name}0 AS (SELECT row, col, count(*) AS n, round(covar_pop(value, year) / var_pop(year), 9) AS slope, avg(value) AS mean, avg(year) AS mx,
 CASE WHEN var_pop(value) > 1e-12 THEN greatest(-1, least(1, covar_pop(value, year) / sqrt(var_pop(year) * var_pop(value)))) ELSE 0 END AS r FROM {source} GROUP BY row, col),
-{name} AS (SELECT *, {P5} AS p FROM (SELECT *, r * sqrt(5 / greatest(1 - r * r, 1e-300)) AS t FROM {name}0))"""
+{name} AS (SELECT *, {({5: P5, 2: P2})[df]} AS p FROM (SELECT *, r * sqrt({df} / greatest(1 - r * r, 1e-300)) AS t FROM {name}0))"""
 
 
 LT = _trend_sql("lt", "lights")
@@ -85,9 +102,10 @@ JOIN (SELECT * FROM lights WHERE year = 2001) l USING (row, col) JOIN (SELECT *
 ai AS (SELECT row, col, frac, 0.45 * {_rank_sql('round(li, 9)')} + 0.35 * {_rank_sql('round(pi, 9)')} + 0.2 * {_rank_sql('round(po, 9)')} AS activity FROM ai0)"""
 
 
-def activity(spark, d):
+def activity(spark, d, level=None):
+    """The activity index; level(row, col, l): another level of light than that of 2001."""
     b = v.built(spark, d).where("year = 2001 AND frac >= 0.3").select("row", "col", "frac")
-    x = b.join(v.lights(spark, d).where("year = 2001").select("row", "col", F.col("value").alias("l")), ["row", "col"])
+    x = b.join(level if level is not None else v.lights(spark, d).where("year = 2001").select("row", "col", F.col("value").alias("l")), ["row", "col"])
     x = x.join(v.population(spark, d).where("year = 2001").select("row", "col", "people"), ["row", "col"])
     x = x.join(v.poi(spark, d).groupBy("row", "col").agg(F.count("*").alias("n")), ["row", "col"], "left")
     x = x.select("row", "col", "frac", F.round(F.col("l") / F.col("frac"), 9).alias("a"), F.round(F.coalesce("n", F.lit(0)) / F.col("frac"), 9).alias("b"), F.round(F.col("people") / F.col("frac"), 9).alias("c"))
@@ -108,8 +126,8 @@ mi AS (SELECT avg(frac) AS cx, median(activity) AS cy FROM bi GROUP BY b HAVING
 ex AS (SELECT ai.*, coalesce((SELECT CASE WHEN nx IS NULL THEN cy ELSE cy + (ny - cy) * (ai.frac - cx) / (nx - cx) END FROM mn WHERE n >= 2 AND cx <= ai.frac ORDER BY cx DESC LIMIT 1), (SELECT cy FROM mn WHERE n >= 2 AND i = 1), (SELECT al FROM ed)) AS expected FROM ai)"""
 
 
-def expected(spark, d):
-    return A.expected_activity(activity(spark, d), "frac", "activity")
+def expected(spark, d, level=None):
+    return A.expected_activity(activity(spark, d, level), "frac", "activity")
 
 
 @query(f"WITH {EXP} SELECT row, col, {R('activity')} AS activity, {R('expected')} AS expected FROM ex")
@@ -122,12 +140,12 @@ ty AS (SELECT c.row, c.col, resid, coalesce(resid <= q + 1e-12 AND resid < 0, fa
 tc AS (SELECT *, CASE WHEN urban AND grown AND low AND NOT up THEN 5 WHEN urban AND low AND down AND NOT grown THEN 4 WHEN urban AND grown AND NOT low THEN 3 WHEN urban AND grown AND low AND up THEN 2 WHEN urban THEN 1 ELSE 0 END AS type FROM ty)"""
 
 
-def typed(spark, d):
-    """Cells with what the typology asks of them."""
-    r = expected(spark, d).select("row", "col", F.round(F.col("activity") - F.col("expected"), 9).alias("resid"))
+def typed(spark, d, level=None, until=2001):
+    """Cells with what the typology asks of them; with a level of light and a last year of its own, what was known by then."""
+    r = expected(spark, d, level).select("row", "col", F.round(F.col("activity") - F.col("expected"), 9).alias("resid"))
     r = cut(r)
     q = O.percentiles(r, F.col("resid"), [0.25]).select(F.col("q")[0].alias("q"))
-    x = chg(spark, d).join(r, ["row", "col"], "left").join(T.trend(v.lights(spark, d)).select("row", "col", "slope", "p"), ["row", "col"]).join(F.broadcast(q))
+    x = chg(spark, d).join(r, ["row", "col"], "left").join(T.trend(v.lights(spark, d).where(F.col("year") <= until)).select("row", "col", "slope", "p"), ["row", "col"]).join(F.broadcast(q))
     return x.withColumn("low", F.coalesce((F.col("resid") <= F.col("q") + 1e-12) & (F.col("resid") < 0), F.lit(False)))
 
 
@@ -153,19 +171,27 @@ def ghost_score(spark, d):
     return x.select("row", "col", (F.col("s") * F.least(F.lit(1.0), F.greatest("delta", F.lit(0.0)) / 0.5)).alias("score"))
 
 
-@query(f"""WITH {TYPO}, {REL}, rl AS (SELECT unnest(['raw', 'significant', 'relative', 'relative_significant']) AS rule),
+RULE_SQL = """rl AS (SELECT unnest(['raw', 'significant', 'relative', 'relative_significant']) AS rule),
 rr AS (SELECT rl.rule, y.*, CASE rl.rule WHEN 'raw' THEN l.slope > 0 WHEN 'significant' THEN l.slope > 0 AND l.p < 0.1 WHEN 'relative' THEN t.slope > 0 ELSE t.slope > 0 AND t.p < 0.1 END AS rup,
 CASE rl.rule WHEN 'raw' THEN l.slope <= 0 WHEN 'significant' THEN l.slope < 0 AND l.p < 0.1 WHEN 'relative' THEN t.slope < 0 ELSE t.slope < 0 AND t.p < 0.1 END AS rdown
 FROM rl CROSS JOIN ty y JOIN lt l USING (row, col) JOIN rt t USING (row, col)),
-rc AS (SELECT rule, CASE WHEN urban AND grown AND low AND NOT rup THEN 5 WHEN urban AND low AND rdown AND NOT grown THEN 4 WHEN urban AND grown AND NOT low THEN 3 WHEN urban AND grown AND low AND rup THEN 2 WHEN urban THEN 1 ELSE 0 END AS type FROM rr)
+rc AS (SELECT rule, row, col, CASE WHEN urban AND grown AND low AND NOT rup THEN 5 WHEN urban AND low AND rdown AND NOT grown THEN 4 WHEN urban AND grown AND NOT low THEN 3 WHEN urban AND grown AND low AND rup THEN 2 WHEN urban THEN 1 ELSE 0 END AS type FROM rr)"""
+
+
+def types_by_rule(x, relative_trend):
+    """(rule, row, col, type) of cells as typed() gives them, under each definition of rising."""
+    x = x.join(relative_trend.select("row", "col", F.col("slope").alias("rs"), F.col("p").alias("rp")), ["row", "col"])
+    c = [F.col(n) for n in ("slope", "p", "rs", "rp")]
+    rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), T.rising(n, *c)[0].alias("up"), T.rising(n, *c)[1].alias("down")) for n in T.RULES]))
+    x = x.select("row", "col", "is_urban", "delta", "low", rules.alias("r")).select("row", "col", "is_urban", "delta", "low", "r.*")
+    return x.withColumn("type", A.typology(x, F.col("is_urban"), F.col("delta") >= 0.2, F.col("low"), F.col("up"), F.col("down"))).select("rule", "row", "col", "type")
+
+
+@query(f"""WITH {TYPO}, {REL}, {RULE_SQL}
 SELECT rl.rule, k.type, count(rc.type) AS n, {R('count(rc.type) / (SELECT count(*) FROM ty)')} AS share FROM rl CROSS JOIN range(6) k(type) LEFT JOIN rc ON rc.rule = rl.rule AND rc.type = k.type GROUP BY 1, 2""")
 def rule_sensitivity(spark, d):
     """Areas of the typology's classes under each definition of rising."""
-    x = typed(spark, d).join(T.trend(relative(spark, d)).select("row", "col", F.col("slope").alias("rs"), F.col("p").alias("rp")), ["row", "col"])
-    c = [F.col(n) for n in ("slope", "p", "rs", "rp")]
-    rules = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), T.rising(n, *c)[0].alias("up"), T.rising(n, *c)[1].alias("down")) for n in T.RULES]))
-    x = x.select("is_urban", "delta", "low", rules.alias("r")).select("is_urban", "delta", "low", "r.*")
-    return A.type_counts(x.withColumn("type", A.typology(x, F.col("is_urban"), F.col("delta") >= 0.2, F.col("low"), F.col("up"), F.col("down"))), "type", "rule", T.RULES)
+    return A.type_counts(types_by_rule(typed(spark, d), T.trend(relative(spark, d))), "type", "rule", T.RULES)
 
 
 @query(f"WITH x AS (SELECT row, col, {_rank_sql('value')} AS a FROM lights WHERE year = 2001), y AS (SELECT row, col, {_rank_sql('coalesce(n, 0)')} AS b FROM cells LEFT JOIN (SELECT row, col, count(*) AS n FROM poi GROUP BY 1, 2) USING (row, col)) SELECT row, col, {R('sqrt(a * b)')} AS intensity FROM x JOIN y USING (row, col)")
@@ -194,7 +220,7 @@ PRED = f"{CHG}, pr AS (SELECT row, col, s.score * 0.5 + v0 AS p, new_ AS o, v0,
 
 
 def scored(spark, d):
-    x = chg(spark, d).join(v.surface(spark), ["row", "col"]).where("NOT was_urban")
+    x = chg(spark, d).join(v.surface(spark, d), ["row", "col"]).where("NOT was_urban")
     return x.select("row", "col", (F.col("score") * 0.5 + F.col("f0")).alias("p"), F.col("new_urban").alias("o"), "f0", "f1", Z.block_id(10, 5).alias("block"))
 
 
@@ -266,9 +292,10 @@ def spearman(spark, d):
     return K.spearman(pair(spark, d), "v0", "v1")
 
 
-@query(f"WITH x AS (SELECT ln(value) AS ly, ln(people) AS lx FROM lights JOIN population USING (row, col, year) WHERE value > 0 AND people > 0) SELECT count(*) AS n, {R('regr_slope(ly, lx)')} AS elasticity, {R('regr_intercept(ly, lx)')} AS intercept, {R('regr_r2(ly, lx)')} AS r2, {R('sqrt((1 - regr_r2(ly, lx)) * var_pop(ly) / var_pop(lx) / (count(*) - 2))')} AS stderr FROM x")
+@query(f"""WITH x AS (SELECT ln(value) AS ly, ln(people) AS lx FROM lights JOIN population USING (row, col, year) WHERE value > 0 AND people > 0), g AS (SELECT count(*) AS n, regr_slope(ly, lx) AS s, regr_intercept(ly, lx) AS i, regr_r2(ly, lx) AS r2, sqrt((1 - regr_r2(ly, lx)) * var_pop(ly) / var_pop(lx) / (count(*) - 2)) AS se FROM x)
+SELECT n, {R('s')} AS elasticity, {R('i')} AS intercept, {R('r2')} AS r2, {R('se')} AS stderr, {R(t_sql('s / se', '(n - 2)'))} AS p FROM g""")
 def loglog_elasticity(spark, d):
-    return K.loglog(v.lights(spark, d).join(v.population(spark, d), ["row", "col", "year"]), "people", "value").drop("p")
+    return K.loglog(v.lights(spark, d).join(v.population(spark, d), ["row", "col", "year"]), "people", "value")
 
 
 @query(f"WITH {PAIR} SELECT count(*) AS n, {R('regr_slope(v1, v0)')} AS slope, {R('regr_r2(v1, v0)')} AS r2, {R('avg(v1 - v0)')} AS bias, {R('sqrt(avg((v1 - v0) ** 2))')} AS rmse FROM pair")
@@ -276,9 +303,23 @@ def paired_comparison(spark, d):
     return K.paired(pair(spark, d), "v0", "v1")
 
 
-@query(f"WITH {PAIR}, r AS (SELECT v0 >= 0.3 AS o, rank() OVER (ORDER BY v1) + (count(*) OVER (PARTITION BY v1) - 1) / 2.0::DOUBLE AS r FROM pair), g AS (SELECT count(*) FILTER (WHERE o) AS n, count(*) FILTER (WHERE NOT o) AS m, sum(r) FILTER (WHERE o) AS s FROM r) SELECT n, m, {R('s - n * (n + 1) / 2')} AS u, {R('(s - n * (n + 1) / 2) / (n * m)')} AS effect FROM g")
+def mw_sql(source: str, by: str = "") -> str:
+    """SQL: n, m, u, effect and p of source(by, v, o)."""
+    part, plus = (f"PARTITION BY {by}", f"{by}, ") if by else ("", "")
+    group = f"GROUP BY {by}" if by else ""
+    return f"""mr AS (SELECT {plus}v, o, rank() OVER ({part} ORDER BY v) + (count(*) OVER (PARTITION BY {plus}v) - 1) / 2.0::DOUBLE AS r FROM {source} WHERE v IS NOT NULL),
+mt AS (SELECT {plus}sum(t::DOUBLE ** 3 - t) AS ties FROM (SELECT {plus}v, count(*) AS t FROM mr GROUP BY {plus}v) {group}),
+mg AS (SELECT {plus}(count(*) FILTER (WHERE o))::DOUBLE AS n, (count(*) FILTER (WHERE NOT o))::DOUBLE AS m, sum(r) FILTER (WHERE o) AS s FROM mr {group}),
+mu AS (SELECT mg.*, ties, s - n * (n + 1) / 2 AS u FROM mg {f"JOIN mt USING ({by})" if by else ", mt"}),
+mz AS (SELECT *, n >= 3 AND m >= 3 AS ok, CASE WHEN n >= 3 AND m >= 3 THEN (u - n * m / 2 - 0.5) / nullif(sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))), 0) END AS z FROM mu)"""
+
+
+MW = f"n::BIGINT AS n, m::BIGINT AS m, CASE WHEN ok THEN {R('u')} END AS u, CASE WHEN ok THEN {R('u / (n * m)')} END AS effect, CASE WHEN ok THEN {R(normal_sql('z'))} END AS p"
+
+
+@query(f"WITH {PAIR}, x AS (SELECT v1 AS v, v0 >= 0.3 AS o FROM pair), {mw_sql('x')} SELECT {MW} FROM mz")
 def mann_whitney_u(spark, d):
-    return K.mann_whitney(pair(spark, d), "v1", F.col("v0") >= 0.3).drop("p")
+    return K.mann_whitney(pair(spark, d), "v1", F.col("v0") >= 0.3)
 
 
 _MAPS = ("y97", "y98", "y99", "y00", "y01")
@@ -334,10 +375,10 @@ def normaliser(spark, d):
 def ca_allocation(spark, d):
     """Demand from the growth so far, allocated in eight rounds with neighbourhood feedback."""
     g = C.urban_growth(chg(spark, d), 4).collect()[0]
-    cells = chg(spark, d).join(v.surface(spark), ["row", "col"]).select("row", "col", "score", F.col("is_urban").alias("urban"))
+    cells = chg(spark, d).join(v.surface(spark, d), ["row", "col"]).select("row", "col", "score", F.col("is_urban").alias("urban"))
     return G.allocate(cells, G.extrapolate_demand(g["urban0"], g["urban1"], 4, 1), N, N)
 
 
 @query(f"WITH RECURSIVE {v.SQL.strip()[5:]}, s AS (SELECT row, col, score, row_number() OVER (ORDER BY score DESC, row, col) AS i FROM surface), pick AS (SELECT 1 AS rank, [i] AS taken, [row] AS rs, [col] AS cs FROM s WHERE i = 1 UNION ALL SELECT rank + 1, list_append(taken, n.i), list_append(rs, n.row), list_append(cs, n.col) FROM pick, LATERAL (SELECT i, row, col FROM s WHERE len(list_filter(list_zip(rs, cs), lambda z: (z[1] - s.row) ** 2 + (z[2] - s.col) ** 2 < 25)) = 0 ORDER BY i LIMIT 1) n WHERE rank < 10) SELECT u.rank::INT AS rank, s.row, s.col, {R('s.score')} AS score FROM (SELECT unnest(taken) AS i, unnest(range(1, 11)) AS rank FROM pick WHERE rank = 10) u JOIN s USING (i)".replace("u.rank::INT", "u.rank::BIGINT"), with_views=False)
 def spaced_sites(spark, d):
-    return Z.spaced(v.surface(spark), "score", 10, 5.0)
+    return Z.spaced(v.surface(spark, d), "score", 10, 5.0)

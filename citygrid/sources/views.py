@@ -1,13 +1,13 @@
 """The lattice adapter: the engine's abstractions as views of the synthetic tables.
 
-A 50 x 50 grid of cells; yearly layers (lights, built fraction, population) from lineitem; points of interest from events; road ways
+A 50 x 50 grid of cells; yearly layers (lights, built fraction, population) and a terrain from lineitem, dense in the middle and thin at the rim; points of interest from events; road ways
 from orders; articles from documents and events; districts from nation and customer. SQL holds the same views as common table
 expressions for the oracle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS = COLS = 50
@@ -27,9 +27,14 @@ def grid_years(spark: SparkSession) -> DataFrame:
     return grid(spark).select("row", "col", F.explode(F.array(*[F.lit(y).cast("long") for y in YEARS])).alias("year"))
 
 
+def place(key: str) -> Column:
+    """Row or column of a key: the mean of two of its remainders, so that a frame's middle is dense and its rim thin at every table size."""
+    return F.expr(f"({key} % 50 + {key} * 37 div 11 % 50) div 2")
+
+
 def _line(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
-        (F.col("l_partkey") % ROWS).alias("row"), (F.col("l_orderkey") % COLS).alias("col"), F.year("l_shipdate").cast("long").alias("year"), "l_quantity", "l_extendedprice"
+        place("l_partkey").alias("row"), place("l_orderkey").alias("col"), F.year("l_shipdate").cast("long").alias("year"), "l_quantity", "l_extendedprice"
     )
 
 
@@ -79,15 +84,17 @@ def article(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(ev, "id")
 
 
-def surface(spark: SparkSession) -> DataFrame:
-    """(row, col, score): a deterministic suitability in [0, 1)."""
-    return grid(spark).withColumn("score", ((F.col("row") * 7919 + F.col("col") * 104729 + F.col("row") * F.col("col") * 31) % 10007) / F.lit(10007.0))
+def surface(spark: SparkSession, d: str) -> DataFrame:
+    """(row, col, score): a terrain's suitability in [0, 1), from the cents of a cell's prices."""
+    cents = _line(spark, d).groupBy("row", "col").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+    x = grid(spark).join(cents, ["row", "col"], "left")
+    return x.select("row", "col", ((F.col("row") * 7919 + F.col("col") * 104729 + F.col("row") * F.col("col") * 31 + F.coalesce("cents", F.lit(0))) % 10007 / F.lit(10007.0)).alias("score"))
 
 
 SQL = """
 WITH cells AS (SELECT (i // 50)::BIGINT AS row, (i % 50)::BIGINT AS col FROM range(2500) t(i)),
 years AS (SELECT unnest(range(1995, 2002))::BIGINT AS year),
-line AS (SELECT l_partkey % 50 AS row, l_orderkey % 50 AS col, year(l_shipdate)::BIGINT AS year, sum(l_quantity) AS q, sum(l_extendedprice) AS p, count(*) AS k FROM lineitem GROUP BY 1, 2, 3),
+line AS (SELECT (l_partkey % 50 + l_partkey * 37 // 11 % 50) // 2 AS row, (l_orderkey % 50 + l_orderkey * 37 // 11 % 50) // 2 AS col, year(l_shipdate)::BIGINT AS year, sum(l_quantity) AS q, sum(l_extendedprice) AS p, count(*) AS k, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem GROUP BY 1, 2, 3),
 cy AS (SELECT c.row, c.col, y.year, coalesce(q, 0) AS q, coalesce(p, 0) AS p, coalesce(k, 0) AS k FROM cells c CROSS JOIN years y LEFT JOIN line l ON l.row = c.row AND l.col = c.col AND l.year = y.year),
 lights AS (SELECT row, col, year, q AS value FROM cy),
 cum AS (SELECT row, col, year, sum(p) OVER w AS price, sum(k) OVER w AS n FROM cy WINDOW w AS (PARTITION BY row, col ORDER BY year)),
@@ -98,6 +105,6 @@ road AS (SELECT o_custkey AS way_id, substr(o_orderpriority, 1, 1) AS class, row
          ((o_orderkey * 37) % 5000)::DOUBLE AS x, ((o_orderkey * 91) % 5000)::DOUBLE AS y FROM orders),
 article AS (SELECT doc_id AS id, array_to_string(list_slice(string_split_regex(text, '[ \\n]+'), 1, 8), ' ') AS title, source, text AS body,
             strftime(ts, '%Y-%m-%d %H:%M:%S') AS published, event_type AS kind, value, user_id FROM documents JOIN events ON event_id = doc_id),
-surface AS (SELECT row, col, ((row * 7919 + col * 104729 + row * col * 31) % 10007) / 10007.0::DOUBLE AS score FROM cells),
+surface AS (SELECT row, col, ((row * 7919 + col * 104729 + row * col * 31 + coalesce(t.cents, 0)) % 10007) / 10007.0::DOUBLE AS score FROM cells LEFT JOIN (SELECT row, col, sum(cents)::BIGINT AS cents FROM line GROUP BY 1, 2) t USING (row, col)),
 disk3 AS (SELECT a.i AS dr, b.j AS dc FROM range(-3, 4) a(i) CROSS JOIN range(-3, 4) b(j) WHERE a.i * a.i + b.j * b.j <= 9)
 """
