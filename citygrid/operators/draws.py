@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .growth import allocate
-from .order import numbered, running
+from .order import best, numbered, running
 from .storage import cut
 
 
@@ -29,8 +29,6 @@ def top_by_draw(surfaces: DataFrame, demand: int) -> DataFrame:
     whole = surfaces.join(sure, ["draw", "score"]).select("draw", "row", "col")
     tied = surfaces.join(edge, ["draw", "score"])
     rows = running(tied.groupBy("draw", "row").agg(F.count("*").alias("k")), "row", ["k"], ["draw"]).select("draw", "row", "before_k")
-    from pyspark.sql import Window
-
     at = F.col("before_k") + F.row_number().over(Window.partitionBy("draw", "row").orderBy("col"))
     some = tied.join(rows, ["draw", "row"]).withColumn("at", at).where("at <= left").select("draw", "row", "col")
     return whole.unionByName(some)
@@ -44,7 +42,7 @@ def frequency(placed: DataFrame, cells: DataFrame, draws: int) -> DataFrame:
 
 def consensus(chances: DataFrame, demand: int) -> DataFrame:
     """(row, col, p): the `demand` most frequent cells; ties by row and col."""
-    return chances.orderBy(F.desc("p"), "row", "col").limit(demand)
+    return best(chances, "p", ("row", "col"), demand)
 
 
 def agreement(chances: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import FEW, best
 from .stencil import disk, stencil
 from .storage import cut
 
@@ -33,9 +34,9 @@ def allocate(cells: DataFrame, demand: int, rows: int, cols: int, radius: float
             break
         share = stencil(state.select("row", "col", F.col("round").isNotNull().cast("double").alias("u")), "u", disk(radius), rows, cols, "nearest").select("row", "col", (F.col("total") / F.col("weight")).alias("share"))
         scored = state.where("round IS NULL").join(share, ["row", "col"]).select("row", "col", ((1 - weight) * F.col("score") + weight * F.col("share")).alias("s"))
-        best = cut(scored.orderBy(F.desc(F.round("s", 9)), "row", "col").limit(take).select("row", "col", F.lit(i + 1).alias("now")))
-        got = best.count()
-        state = cut(state.join(F.broadcast(best), ["row", "col"], "left").select("row", "col", "score", F.coalesce("round", "now").alias("round")))  # best: at most `demand` short rows
+        taken = cut(best(scored.withColumn("s", F.round("s", 9)), "s", ("row", "col"), take).select("row", "col", F.lit(i + 1).alias("now")))
+        got = taken.count()
+        state = cut(state.join(F.broadcast(taken) if got <= FEW else taken, ["row", "col"], "left").select("row", "col", "score", F.coalesce("round", "now").alias("round")))
         left -= got
         if got < take:
             break

@@ -1,8 +1,8 @@
 """Global order without a global task: running sums, ranks and exact percentiles by ranges of the value.
 
-Values are cut into at most RANGES ranges at approximate quantiles. Sums by range, a short list, give each range its start; inside a
-range a window partitioned by it does the rest. Rows are grouped by value first, so no value is a hot key, however often it occurs.
-The grouped values are looked at several times, so they are written once.
+Values are cut into ranges at approximate quantiles: GROUP of them, and as many times more as there are SHARE rows, up to GROUP * GROUP. Sums by
+range, a short list, give each range its start; inside a range a window partitioned by it does the rest. Rows are grouped by value
+first, so no value is a hot key, however often it occurs. The grouped values are looked at several times, so they are written once.
 """
 
 from __future__ import annotations
@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
-RANGES = 64
+GROUP = 64
+SHARE = 64_000_000  #: distinct values for which GROUP ranges are enough: about a million a range
+FEW = 100_000  #: rows that one task may merge and hold
 
 
 def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Adds before_<s>, the sum of s over rows of smaller (descending: larger) value, for rows of distinct value in each key of by."""
     df = cut(df)
+    fine = min(GROUP, 1 + df.count() // SHARE)  # ranges of each of the GROUP coarse ones
+    n = GROUP * fine
     v = -F.col(value).cast("double") if descending else F.col(value).cast("double")
-    cuts = F.percentile_approx(v, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000))
-    cut_at = df.agg(cuts.alias("_cuts"))
-    d = df.join(F.broadcast(cut_at)).withColumn("_range", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda x: x <= v))).drop("_cuts")
+    cuts = F.percentile_approx(v, F.lit([i / n for i in range(1, n)]), F.lit(16 * n))
+    none = F.array().cast("array<double>")
+    cut_at = df.agg(F.coalesce(cuts, none).alias("_cuts")).withColumn("_coarse", F.filter("_cuts", lambda x, i: (i + 1) % fine == 0))
+    upto = lambda c: F.size(F.filter(c, lambda x: x <= v))
+    d = df.join(F.broadcast(cut_at)).withColumn("_range", upto(F.col("_coarse")) * fine)
+    if fine > 1:
+        d = d.withColumn("_range", F.col("_range") + upto(F.slice("_cuts", F.col("_range") + 1, fine - 1)))
+    d = d.drop("_cuts", "_coarse")
     totals = d.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
-    starts = totals.groupBy(*by).agg(F.collect_list(F.struct("_range", *sums)).alias("_starts"))  # at most RANGES entries a key
+    starts = totals.groupBy(*by).agg(F.collect_list(F.struct("_range", *sums)).alias("_starts"))  # an entry a range
     d = d.join(starts, list(by)) if by else d.join(F.broadcast(starts))
     w = Window.partitionBy(*by, "_range").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
     kind = dict(totals.dtypes)
@@ -68,15 +77,25 @@ def median(df: DataFrame, value: Column, name: str, by: Sequence[str] = ()) -> D
 
 
 def numbered(df: DataFrame, value: str, ties: tuple[str, str], name: str, descending: bool = False) -> DataFrame:
-    """Adds the row's number from 1 by value, then by the two columns of ties (of which no two rows agree in all)."""
+    """Adds the row's number from 1 by value, then by the two columns of ties (of which no two rows agree in all).
+
+    Rows meet their start by value and first tie, so those of a frequent value are dealt out by the latter.
+    """
     a, b = ties
     df = cut(df)
-    by_value = running(df.groupBy(value).agg(F.count("*").alias("_k")), value, ["_k"], descending=descending).select(value, F.col("before__k").alias("_r0"))
+    lines = df.groupBy(value, a).agg(F.count("*").alias("_k"))
+    by_value = running(lines.groupBy(value).agg(F.sum("_k").alias("_k")), value, ["_k"], descending=descending).select(value, F.col("before__k").alias("_r0"))
     inside = Window.partitionBy(value).orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
-    lines = df.groupBy(value, a).agg(F.count("*").alias("_k")).select(value, a, F.coalesce(F.sum("_k").over(inside), F.lit(0)).alias("_r1"))
-    out = df.join(by_value, value).join(lines, [value, a])
+    starts = lines.select(value, a, F.coalesce(F.sum("_k").over(inside), F.lit(0)).alias("_r1")).join(by_value, value)
     last = F.row_number().over(Window.partitionBy(value, a).orderBy(b))
-    return out.withColumn(name, F.col("_r0") + F.col("_r1") + last).drop("_r0", "_r1")
+    return df.join(starts, [value, a]).withColumn(name, F.col("_r0") + F.col("_r1") + last).drop("_r0", "_r1")
+
+
+def best(df: DataFrame, value: str, ties: tuple[str, str], n: int) -> DataFrame:
+    """The n rows of largest value, then by the two columns of ties: up to FEW merged in one task, more by their numbers."""
+    if n <= FEW:
+        return df.orderBy(F.desc(value), *ties).limit(n)
+    return numbered(df, value, ties, "_n", descending=True).where(F.col("_n") <= n).drop("_n")
 
 
 def tiles(df: DataFrame, value: str, ties: tuple[str, str], n: int, name: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import normal_tail, student_p
 from .activity import rank01
 from .order import numbered, percentiles, running
+from .storage import cut
 
 
 def confusion(df: DataFrame, predicted: Column, observed: Column, *by: str) -> DataFrame:
@@ -165,13 +166,12 @@ def weightings(spark, draws: int, n: int) -> DataFrame:
 def robustness(cells: DataFrame, components: list[str], draws: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(row, col, mean_rank, top_share) of cells under the weightings draws(draw, w, ws: the sum of w; 2,000 random ones): the mean rank, and the share of draws in the top k.
 
-    Equal scores share their mean rank. Each draw is a partition of its own; its sort spills, as a frame of many cells may need.
+    Equal scores share their mean rank. A draw's scores are ranked by ranges, so that no task holds a whole draw.
     """
     if draws is None:
         draws = weightings(cells.sparkSession, 2000, len(components)).withColumn("ws", F.lit(1.0))
     s = sum((F.col("w")[j] * F.col(c) for j, c in enumerate(components[1:], 1)), F.col("w")[0] * F.col(components[0])) / F.col("ws")
-    x = cells.crossJoin(F.broadcast(draws)).select("row", "col", "draw", F.round(s, 9).alias("s"))  # draws: some thousands of rows
-    draw = Window.partitionBy("draw").orderBy(F.desc("s"))
-    r = x.select("row", "col", F.rank().over(draw).alias("lo"), F.count("*").over(draw.rangeBetween(0, 0)).alias("n"))
-    r = r.select("row", "col", (F.col("lo") + (F.col("n") - 1) / 2).alias("rank"), (F.col("lo") <= k).alias("top"))
-    return r.groupBy("row", "col").agg(F.avg("rank").alias("mean_rank"), F.avg(F.col("top").cast("int")).alias("top_share"))
+    x = cut(cells.crossJoin(F.broadcast(draws)).select("row", "col", "draw", F.round(s, 9).alias("s")))  # draws: some thousands of rows
+    r = running(x.groupBy("draw", "s").agg(F.count("*").alias("n")), "s", ["n"], ("draw",), descending=True)
+    r = r.select("draw", "s", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"), (F.col("before_n") < k).alias("top"))
+    return x.join(r, ["draw", "s"]).groupBy("row", "col").agg(F.avg("rank").alias("mean_rank"), F.avg(F.col("top").cast("int")).alias("top_share"))

@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 Offsets = list[tuple[int, int, float]]
 
 
@@ -77,11 +81,62 @@ def gaussian_ignoring_nulls(cells: DataFrame, value: str, sigma: float, rows: in
     return a.join(b, ["row", "col"]).select("row", "col", F.when(F.col("there") > 1e-6, F.col("smooth") / F.col("there")).alias("smooth"))
 
 
+def _envelope(at: np.ndarray, height: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """min over i of (ask - at[i])^2 + height[i] for ascending `at` and `ask`, by the lower envelope of the parabolas: linear in their number."""
+    hull, start = [], []
+    for i in range(len(at)):
+        x = -np.inf
+        while hull:
+            j = hull[-1]
+            x = (height[i] + at[i] ** 2 - height[j] - at[j] ** 2) / (2 * (at[i] - at[j]))
+            if x > start[-1]:
+                break
+            hull.pop()
+            start.pop()
+            x = -np.inf
+        hull.append(i)
+        start.append(x)
+    own = np.array(hull)[np.searchsorted(np.array(start), ask, side="right") - 1]
+    return (ask - at[own]) ** 2 + height[own]
+
+
+def _along_row(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("col")
+    there = pdf["g"].notna()
+    d2 = _envelope(pdf["col"][there].to_numpy(float), pdf["g"][there].to_numpy(float) ** 2, pdf["col"].to_numpy(float)) if there.any() else np.full(len(pdf), np.nan)
+    return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "d2": d2})
+
+
 def nearest_distance(cells: DataFrame, flag: str, cell_km: float = 1.0, cap: float = 30.0, none: float = 99.0) -> DataFrame:
-    """(row, col, km): exact Euclidean distance to the nearest flagged cell, in two passes: within columns by windows, then within rows."""
+    """(row, col, km): exact Euclidean distance to the nearest flagged cell, in two passes: within columns by windows, then within each row by the lower envelope of parabolas."""
     up, down = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     here = F.when(F.col(flag), F.col("row"))
-    g = cells.withColumn("g", F.least(F.col("row") - F.last(here, ignorenulls=True).over(up), F.first(here, ignorenulls=True).over(down) - F.col("row")))
-    along = g.where("g IS NOT NULL").select("row", F.col("col").alias("c2"), "g").groupBy("row").agg(F.collect_list(F.struct("c2", "g")).alias("cols"))
-    d = g.join(along, "row", "left").select("row", "col", F.aggregate(F.coalesce("cols", F.array().cast("array<struct<c2:bigint,g:bigint>>")), F.lit(None).cast("double"), lambda a, x: F.least(a, (F.pow(F.col("col") - x["c2"], F.lit(2.0)) + F.pow(x["g"], F.lit(2.0))))).alias("d2"))
-    return d.select("row", "col", F.when(F.col("d2").isNull(), none).otherwise(F.least(F.sqrt("d2") * cell_km, F.lit(cap))).alias("km"))
+    g = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.least(F.col("row") - F.last(here, ignorenulls=True).over(up), F.first(here, ignorenulls=True).over(down) - F.col("row")).cast("double").alias("g"))
+    d = g.groupBy("row").applyInPandas(_along_row, "row long, col long, d2 double")  # a row of the frame at a time
+    known = F.col("d2").isNotNull() & ~F.isnan("d2")
+    return d.select("row", "col", F.when(known, F.least(F.sqrt("d2") * cell_km, F.lit(cap))).otherwise(none).alias("km"))
+
+
+def summed_area(cells: DataFrame, values: list[str]) -> DataFrame:
+    """(row, col, <values>): sums over all cells up to and with the row and the column, of a frame of which every cell is there. Two passes of windows, a row or a column each; null counts as 0."""
+    along = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    first = cells.select("row", "col", *[F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(along).alias(c) for c in values])
+    return first.select("row", "col", *[F.sum(c).over(down).alias(c) for c in values])
+
+
+def box_means(cells: DataFrame, values: list[str], radii: list[int], rows: int, cols: int) -> DataFrame:
+    """(row, col, radius, <values>): means over the square of each radius around a cell, of what of it is in the frame.
+
+    From summed areas: four look-ups a cell and radius, however wide the square is.
+    """
+    table = cut(summed_area(cells, values))
+    r = F.explode(F.array(*[F.lit(x).cast("long") for x in radii])).alias("radius")
+    edge = lambda c, n: (F.greatest(F.col(c) - F.col("radius"), F.lit(0)) - 1, F.least(F.col(c) + F.col("radius"), F.lit(n - 1)))
+    (top, bottom), (left, right) = edge("row", rows), edge("col", cols)
+    corner = lambda a, b, sign: F.struct(a.cast("long").alias("r2"), b.cast("long").alias("c2"), F.lit(float(sign)).alias("sign"))
+    four = F.explode(F.array(corner(bottom, right, 1), corner(top, right, -1), corner(bottom, left, -1), corner(top, left, 1)))
+    ask = cells.select("row", "col", r).select("row", "col", "radius", ((bottom - top) * (right - left)).alias("n"), four.alias("k")).select("row", "col", "radius", "n", "k.*")
+    at = table.select(F.col("row").cast("long").alias("r2"), F.col("col").cast("long").alias("c2"), *values)
+    got = ask.join(at, ["r2", "c2"]).groupBy("row", "col", "radius")  # corners outside the frame find nothing: 0
+    return got.agg(*[(F.sum(F.col("sign") * F.col(c)) / F.max("n")).alias(c) for c in values])

@@ -19,8 +19,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_WRITTEN: list[str] = []
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder for a table that clear() takes away."""
+    _WRITTEN.append(f"{shared_dir(spark)}/cut-{uuid.uuid4().hex[:12]}")
+    return _WRITTEN[-1]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
+    """df written to the shared checkpoint folder and read again. clear() takes the table away."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has cut so far, and says how many: once the results that read them have been written or collected."""
+    paths, _WRITTEN[:] = list(_WRITTEN), []
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return sum(bool(java(p).getFileSystem(conf).delete(java(p), True)) for p in paths)

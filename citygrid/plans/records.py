@@ -12,10 +12,11 @@ from ..operators import trend as T
 from ..operators import vector as V
 from ..operators.activity import rank01
 from ..operators.order import median, numbered
-from ..operators.storage import cut
+from ..operators.storage import cut, new_path
 from ..operators.scoring import robustness
 from ..operators.zones import spaced
 from ..sources import views as v
+from ..sources.scenes import scan_scenes, write_scenes
 from .grid import CHG, chg
 from .registry import R, query
 from .trends import LT, _rank_sql
@@ -307,4 +308,13 @@ def temporal_composite(spark, d):
     """Median, mean, most frequent class (of tens, the lowest on ties) and last value of each cell's series."""
     e = v.table(spark, d, "events").select((F.col("user_id") % 50).alias("row"), "event_type", "value", "event_id")
     g = e.groupBy("row", "event_type").agg(F.avg("value").alias("mean"), F.mode(F.floor(F.col("value") / 10), deterministic=True).alias("mode"), F.max_by("value", "event_id").alias("mosaic"))
-    return g.join(median(e, F.col("value"), "median", ["row", "event_type"]), ["row", "event_type"]).select("row", "event_type", "median", "mean", "mode", "mosaic")
\ No newline at end of file
+    return g.join(median(e, F.col("value"), "median", ["row", "event_type"]), ["row", "event_type"]).select("row", "event_type", "median", "mean", "mode", "mosaic")
+
+@query("SELECT event_id, user_id % 50 AS row, event_id % 50 AS col, strftime(ts, '%Y-%m-%d') AS day, round(value, 6) + 0 AS cloud FROM events WHERE user_id % 50 BETWEEN 11 AND 24 AND event_id % 50 BETWEEN 30 AND 44 AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND value <= 40", with_views=False)
+def scene_scan(spark, d):
+    """Scenes of an area and a time with little cloud, from a table laid out along a space-filling curve."""
+    e = v.table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("row"), (F.col("event_id") % 50).alias("col"), F.to_date("ts").alias("day"), F.col("value").alias("cloud"))
+    path = new_path(spark)
+    write_scenes(e, path)
+    found = scan_scenes(spark, path, (11, 24, 30, 44), ("2024-01-05", "2024-01-20"), 40.0)
+    return found.select("event_id", "row", "col", F.col("day").cast("string").alias("day"), "cloud")
