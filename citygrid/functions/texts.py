@@ -15,12 +15,17 @@ PARTIES = (
 )
 ROLES = "chief minister|deputy chief minister|cabinet minister|union minister|minister|MLA|MP|CM|PM|prime minister|mayor|opposition leader"
 
-#: The longest name first, as alternatives are tried in order.
-PARTY_SQL = "|".join(re.sub(r"([()])", r"\\\1", p) for p in sorted(PARTIES, key=len, reverse=True))
 
+def alternatives(names: tuple[str, ...]) -> str:
+    """A pattern of the names, the longest first, as alternatives are tried in order."""
+    return "|".join(re.sub(r"([()])", r"\\\1", p) for p in sorted(names, key=len, reverse=True))
 
-def redact(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?<![A-Za-z])({PARTY_SQL})(?![A-Za-z])", "[party]")
+
+PARTY_SQL = alternatives(PARTIES)
+
+
+def redact(text: Column, names: tuple[str, ...] = PARTIES) -> Column:
+    return F.regexp_replace(text, f"(?<![A-Za-z])({alternatives(names)})(?![A-Za-z])", "[party]")
 
 
 def without_roles(text: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import exprs as X
 from ..functions import texts as TX
 from ..operators import change as C
 from ..operators import draws as D
+from ..operators import gazetteer as Z
 from ..operators import growth as G
 from ..operators import layers as L
 from ..operators import scoring as K
@@ -372,38 +373,52 @@ def date_parsing(spark, d):
     return e.select("event_id", TX.utc(F.col("a")).alias("utc"), TX.utc(F.col("b")).alias("utc2"))
 
 
-LOC = "lo AS (SELECT p_partkey, p_name, ['Delhi - NCR', 'Sector 5, Noida', 'Hebbal to Yelahanka', 'Andheri and Bandra/Kurla', 'India', 'New Delhi city', 'Outer Ring Road', ''][(p_partkey % 8)::INT + 1] AS loc, p_name || (CASE WHEN p_partkey % 3 = 0 THEN ' - ' || p_brand ELSE '' END) AS title, p_brand FROM part)"
+@query("""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS loc, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)
+SELECT page_id, trim(regexp_replace(lower(loc), '[^a-z0-9]+', ' ', 'g')) AS norm, array_to_string(list_filter(list_transform(list_slice(regexp_split_to_array(loc, '\\s*(?:-|–|,|/|\\bto\\b|\\band\\b)\\s*'), 1, 3), lambda x: trim(x)), lambda x: len(x) >= 3), '|') AS places,
+CASE WHEN ends_with(loc, ' - ' || host) THEN left(loc, len(loc) - len(host) - 3) ELSE loc END AS headline FROM t""", with_views=False)
+def place_names(spark, d):
+    """Titles of pages read as locations: normalised, split into places, without their source."""
+    x = v.table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("loc"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"))
+    return x.select("page_id", TX.normal_place(F.col("loc")).alias("norm"), F.array_join(TX.places(F.col("loc")), "|").alias("places"), TX.without_source(F.col("loc"), F.col("host")).alias("headline"))
 
 
-def locations(spark, d):
-    names = ["Delhi - NCR", "Sector 5, Noida", "Hebbal to Yelahanka", "Andheri and Bandra/Kurla", "India", "New Delhi city", "Outer Ring Road", ""]
-    loc = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 8).cast("int") + 1)
-    title = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" - "), "p_brand")).otherwise(""))
-    return v.table(spark, d, "part").select("p_partkey", "p_name", loc.alias("loc"), title.alias("title"), "p_brand")
+GAZETTEER = """an AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/[^"]*">([^<]+)</a>', 1)) AS name FROM pages UNION ALL SELECT page_id, array_to_string(list_slice(string_split(trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', ' ', 'g')), ' '), 1, 2), ' ') FROM pages),
+nm AS (SELECT DISTINCT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS gram, page_id AS place FROM an WHERE length(name) >= 5),
+ix AS (SELECT gram, len(string_split(gram, ' ')) AS words, min(place) AS place, count(*) >= 3 AND count(*) >= 0.018 * (SELECT count(DISTINCT place) FROM nm WHERE gram <> '') AS whole FROM nm WHERE gram <> '' GROUP BY gram)"""
 
 
-@query(f"""WITH {LOC}, n AS (SELECT *, trim(regexp_replace(lower(loc), '[^a-z0-9]+', ' ', 'g')) AS norm FROM lo)
-SELECT p_partkey, norm, trim(regexp_replace(norm, '\\b(delhi|new delhi|ncr|delhi ncr|national capital region|city|india)\\b', '', 'g'), ' ,-') = '' AS citywide, array_to_string(list_slice(list_filter(list_slice(regexp_split_to_array(loc, '\\s*(?:-|–|,|/|\\bto\\b|\\band\\b)\\s*'), 1, 3), lambda x: len(trim(x)) >= 3), 1, 3), '|') AS places,
-CASE WHEN ends_with(title, ' - ' || p_brand) THEN left(title, len(title) - len(p_brand) - 3) ELSE title END AS headline FROM n""", with_views=False)
-def place_names(spark, d):
-    """Locations normalised, told from names of the whole city, and split; titles without their source."""
-    x = locations(spark, d)
-    norm = TX.normal_place(F.col("loc"))
-    whole = TX.is_whole_city(norm, ("Delhi", "New Delhi", "NCR", "Delhi NCR", "National Capital Region"))
-    return x.select("p_partkey", norm.alias("norm"), whole.alias("citywide"), F.concat_ws("|", TX.places(F.col("loc"))).alias("places"), TX.without_source(F.col("title"), F.col("p_brand")).alias("headline"))
+def gazetteer(spark, d):
+    """Places are pages; their names are what their links say, and the first two words of their titles."""
+    p = v.table(spark, d, "pages")
+    title = F.array_join(F.slice(F.split(TX.normal_place(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), " "), 1, 2), " ")
+    names = F.concat(F.regexp_extract_all("html", F.lit('<a href="/[^"]*">([^<]+)</a>'), F.lit(1)), F.array(title))
+    return Z.alias_index(p.select(F.explode(names).alias("name"), F.col("page_id").alias("place")).where(F.length("name") >= 5), 0.018, 3)
+
+
+@query(f"""WITH {GAZETTEER}, tw AS (SELECT doc_id AS id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+tg AS (SELECT id, s.n AS words, unnest(range(0, len(w) - s.n + 1)) AS pos, w FROM tw, (SELECT DISTINCT words AS n FROM ix) s),
+tm AS (SELECT id, pos, tg.words, gram, place, whole FROM tg JOIN ix ON ix.words = tg.words AND ix.gram = array_to_string(list_slice(w, pos + 1, pos + tg.words), ' ')),
+tf AS (SELECT * FROM tm QUALIFY pos >= coalesce(max(pos + words) OVER (PARTITION BY id ORDER BY pos, words DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
+td AS (SELECT id, gram, count(*) AS k, min(pos) AS pos, any_value(place) AS place, any_value(whole) AS whole FROM tf GROUP BY 1, 2),
+tl AS (SELECT id, sum(k)::BIGINT AS names, coalesce(sum(k) FILTER (WHERE NOT whole), 0)::BIGINT AS local, list(gram ORDER BY pos) FILTER (WHERE NOT whole) AS g, arg_min(place, pos) FILTER (WHERE NOT whole) AS place FROM td GROUP BY 1)
+SELECT doc_id AS id, coalesce(names, 0) AS names, coalesce(local, 0) AS local, coalesce(names > 0 AND local = 0, false) AS citywide, array_to_string(list_slice(g, 1, 3), '|') AS places, coalesce(place, -1) AS place FROM documents LEFT JOIN tl ON id = doc_id""", with_views=False)
+def text_locations(spark, d):
+    """Names of places in whole documents, and whether a document names only the whole city."""
+    x = Z.locations(v.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), gazetteer(spark, d))
+    return x.withColumns({"places": F.when(F.col("places") != "", F.col("places")), "place": F.coalesce("place", F.lit(-1))})
 
 
-_SAYS = ["BJP and AAP both welcome the metro; Congress Party too", "The chief minister and the MLA opened a bridge", "INCREASE in traffic, says the PM", "CPI(M) and DMK object; a minister answers", "no names here"]
+#: What outputs don't carry besides parties: holders of licences that texts of the tables name.
+HOLDERS = (*TX.PARTIES, "Apache License", "MIT License", "GNU General Public License")
 
 
-@query(f"""WITH t AS (SELECT p_partkey, {_SAYS!r}[(p_partkey % 5)::INT + 1] AS s FROM part), r AS (SELECT p_partkey, s, regexp_replace(s, '(^|[^A-Za-z])({TX.PARTY_SQL})($|[^A-Za-z])', '\\1[party]\\3', 'g') AS a FROM t)
-SELECT p_partkey, a AS redacted, a <> s AS flagged, regexp_replace(a, '\\b({TX.ROLES})\\b', 'an official', 'gi') AS neutral FROM r""", with_views=False)
+@query(f"""WITH r AS (SELECT doc_id, text AS s, regexp_replace(text, '(^|[^A-Za-z])({TX.alternatives(HOLDERS)})($|[^A-Za-z])', '\\1[party]\\3', 'g') AS a FROM documents)
+SELECT doc_id, length(a) AS n_chars, (length(a) - length(replace(a, '[party]', ''))) // 7 AS names, a <> s AS flagged, sha256(regexp_replace(a, '\\b({TX.ROLES})\\b', 'an official', 'gi')) AS neutral_sha256 FROM r""", with_views=False)
 def redaction(spark, d):
-    """Names of parties and roles replaced."""
-    s = F.element_at(F.array(*[F.lit(x) for x in _SAYS]), (F.col("p_partkey") % 5).cast("int") + 1)
-    x = v.table(spark, d, "part").select("p_partkey", s.alias("s"))
-    a = TX.redact(F.col("s"))
-    return x.select("p_partkey", a.alias("redacted"), (a != F.col("s")).alias("flagged"), TX.without_roles(a).alias("neutral"))
+    """Whole documents with the names of parties, holders and roles replaced: how many names there were, and what is left."""
+    x = v.table(spark, d, "documents").select("doc_id", F.col("text").alias("s"), TX.redact(F.col("text"), HOLDERS).alias("a"))
+    names = F.floor((F.length("a") - F.length(F.replace("a", F.lit("[party]"), F.lit("")))) / 7)
+    return x.select("doc_id", F.length("a").cast("long").alias("n_chars"), names.alias("names"), (F.col("a") != F.col("s")).alias("flagged"), F.sha2(TX.without_roles(F.col("a")), 256).alias("neutral_sha256"))
 
 
 @query(f"""WITH a AS (SELECT event_id, (value - 50) / 50 AS x, (value - 50) / 50 * (1 + ((event_id % 9) - 4) / 10.0::DOUBLE) * (CASE WHEN event_id % 11 = 0 THEN -1 ELSE 1 END) AS y FROM events), s AS (SELECT (x = 0 AND y = 0) OR (sign(x) = sign(y) AND abs(x - y) <= 0.25 * greatest(abs(x), abs(y))) AS same, x = y AS identical FROM a)

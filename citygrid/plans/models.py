@@ -24,6 +24,7 @@ from ..operators.zones import block_id
 from ..sources import views as v
 from ..streaming.windows import event_windows
 from .grid import chg, pair
+from .layers import HOLDERS
 from .records import road_density
 from .registry import R, query
 from .trends import lag_features, types
@@ -279,13 +280,15 @@ def light_growth_gbt(spark, d):
     return out.select("model", "n", "rho", "r2", "mae", "top_precision")
 
 
-@query()
+@query(f"""WITH a AS (SELECT id, kind, value > 50 AS up, title || ' ' || body AS t FROM article), n AS (SELECT *, regexp_replace(regexp_replace(t, '(^|[^A-Za-z])({TX.alternatives(HOLDERS)})($|[^A-Za-z])', '\\1[party]\\3', 'g'), '\\b({TX.ROLES})\\b', 'an official', 'gi') AS u FROM a),
+c AS (SELECT kind, up, regexp_matches(t, '{W.TEMPORARY}', 'i') AS t0, regexp_matches(t, '{W.NEGATIVE}', 'i') AS n0, regexp_matches(t, '{W.POSITIVE}', 'i') AS p0, regexp_matches(u, '{W.TEMPORARY}', 'i') AS t1, regexp_matches(u, '{W.NEGATIVE}', 'i') AS n1, regexp_matches(u, '{W.POSITIVE}', 'i') AS p1 FROM n WHERE t <> u),
+s AS (SELECT {', '.join(f"CASE WHEN t{i} THEN 0 WHEN up AND p{i} THEN 1 WHEN NOT up AND n{i} THEN -1 ELSE 0 END * CASE kind " + ' '.join(f"WHEN '{k}' THEN {m}" for k, (m, _) in W.EFFECTS.items()) + f" ELSE 0 END * {W.STATUS['approved']} AS {x}" for i, x in ((0, 'x'), (1, 'y')))} FROM c)
+SELECT count(*) AS tested, count(*) FILTER (WHERE x = y) AS identical, {R('avg((x = y)::INT)')} AS invariance, {R('avg(((x = 0 AND y = 0) OR (sign(x) = sign(y) AND abs(x - y) <= 0.25 * greatest(abs(x), abs(y))))::INT)')} AS score_invariance FROM s""")
 def counterfactual_audit(spark, d):
-    """Articles that name a party or a role, read as they are and with the names taken out: shares read and scored the same."""
-    names = F.element_at(F.array(F.lit("BJP welcomes"), F.lit("The minister approved"), F.lit("residents see")), (F.col("id") % 3).cast("int") + 1)
-    a = v.article(spark, d).select("id", "kind", F.concat_ws(" ", names, "title").alias("t"), (F.col("value") > 50).alias("up"))
-    plain = TX.without_roles(TX.redact(F.col("t")))
-    a = a.where(F.col("t") != plain).withColumn("plain", plain)
+    """Articles whose text names a party, a holder or a role, read as they are and with the names taken out: shares read and scored the same."""
+    a = v.article(spark, d).select("kind", F.concat_ws(" ", "title", "body").alias("t"), (F.col("value") > 50).alias("up"))
+    plain = TX.without_roles(TX.redact(F.col("t"), HOLDERS))
+    a = a.withColumn("plain", plain).where(F.col("t") != F.col("plain"))
     direction = F.when(F.col("up"), "positive").otherwise("negative")
 
     def score(text):

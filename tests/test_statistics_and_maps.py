@@ -242,3 +242,31 @@ def test_tables_are_cleared(spark):
     assert storage.clear(spark) >= 2 and storage.clear(spark) == 0
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(*t.inputFiles()).count()
+
+
+def test_places_in_whole_texts(spark):
+    from citygrid.operators import gazetteer as G
+
+    names = [("Outer Ring Road", 7), ("Ring Road", 8), ("Hebbal", 3), ("hebbal!", 2), ("Delhi–NCR", 1), ("Delhi NCR", 2), ("delhi ncr", 3), (" - ", 9), (None, 4), ("Road", 5)]
+    index = G.alias_index(spark.createDataFrame(names, "name string, place long"), 0.3, 3)
+    assert {r["gram"]: (r["words"], r["place"], r["whole"]) for r in index.collect()} == {
+        "outer ring road": (3, 7, False), "ring road": (2, 8, False), "hebbal": (1, 2, False), "delhi ncr": (2, 1, True), "road": (1, 5, False),
+    }
+    texts = {
+        1: "From HEBBAL to the outer ring-road; Hebbal again, and the ring road.", 2: "Rs 900 crore in Delhi-NCR", 3: "", 4: None, 5: "road " * 5000 + "hebbal", 6: "nothing", 7: "Delhi/NCR, Outer Road",
+    }
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {r["id"]: tuple(r)[1:] for r in G.locations(df, index).collect()}
+    assert got == {
+        1: (4, 4, False, "hebbal|outer ring road|ring road", 2), 2: (1, 0, True, "", None), 3: (0, 0, False, None, None), 4: (0, 0, False, None, None), 5: (5001, 5001, False, "road|hebbal", 5),
+        6: (0, 0, False, None, None), 7: (2, 1, False, "road", 5),
+    }
+    assert {r["place"] for r in G.locations(df.where("id = 1"), index).collect()} == {2}
+    assert G.locations(df.limit(0), index).count() == 0 and G.names_in(df, index.limit(0)).count() == 0
+
+
+def test_names_of_ones_own_are_redacted(spark):
+    from citygrid.functions import texts as TX
+
+    row = spark.createDataFrame([("The Apache License and BJP; Apache Licensed",)], "s string").select(TX.redact(F.col("s"), ("Apache License",)).alias("a"), TX.redact(F.col("s")).alias("b")).first()
+    assert row["a"] == "The [party] and BJP; Apache Licensed" and row["b"] == "The Apache License and [party]; Apache Licensed"
