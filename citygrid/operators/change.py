@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,11 @@ def urban_growth(change: DataFrame, years: int) -> DataFrame:
     return g.withColumn("cagr", F.when((F.col("urban0") > 0) & (F.col("urban1") > 0), F.pow(F.col("urban1") / F.col("urban0"), F.lit(1.0 / years)) - 1))
 
 
-def radial_profile(cells: DataFrame, value: Column, distance: Column, step: float, bins: int) -> DataFrame:
-    """(ring, n, mean): half-open rings, of which empty ones are kept."""
+def radial_profile(cells: DataFrame, value: Column, distance: Column, step: float, bins: int | None = None) -> DataFrame:
+    """(ring, n, mean): half-open rings, of which empty ones are kept; without a number of them, as many as 99 % of the cells reach."""
+    if bins is None:
+        far = percentiles(cells, distance, [0.99]).first()["q"]
+        bins = math.ceil(far[0] / step - 1e-9) if far else 0
     ring = F.floor(distance / step)
     seen = cells.select(ring.alias("ring"), value.alias("v")).where(f"ring < {bins}").groupBy("ring").agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
     return cells.sparkSession.range(bins).select(F.col("id").alias("ring")).join(seen, "ring", "left").select("ring", F.coalesce("n", F.lit(0)).alias("n"), "mean")

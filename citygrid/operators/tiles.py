@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import sigmoid
+from ..functions.exprs import sigmoid, utm, utm_back, utm_epsg
 
 
 def snapped(boxes: DataFrame, res: float) -> DataFrame:
@@ -139,3 +139,36 @@ def cell_shares(edges: DataFrame, rows: int, cols: int) -> DataFrame:
     mean = F.when(F.abs(w - u) < 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (u + w) / 2))).otherwise((upto(w) - upto(u)) / (w - u))
     area = e.groupBy("poly", "row", "col").agg(F.abs(F.sum(F.col("sign") * F.col("dy") * mean)).alias("share"))
     return area.where("share > 1e-9")
+
+
+KM_PER_DEGREE = 111.32
+
+
+def areas_of_interest(boundaries: DataFrame, key: str, side_km: float = 80.0) -> DataFrame:
+    """(key, epsg, buffer_km, lon0, lat0, lon1, lat1) of boundaries(key, lon0, lat0, lon1, lat1): a margin of 0.15 of the longer side, 3 to 8 km, and no more than side_km around the middle."""
+    lon, lat = (F.col("lon0") + F.col("lon1")) / 2, (F.col("lat0") + F.col("lat1")) / 2
+    wide = KM_PER_DEGREE * F.cos(F.radians(lat))
+    sides = F.greatest((F.col("lon1") - F.col("lon0")) * wide, (F.col("lat1") - F.col("lat0")) * KM_PER_DEGREE)
+    b = F.least(F.lit(8.0), F.greatest(F.lit(3.0), 0.15 * sides))
+    half = side_km / 2
+    low = lambda c, mid, km: F.greatest(F.col(c) - b / km, mid - half / km).alias(c)
+    high = lambda c, mid, km: F.least(F.col(c) + b / km, mid + half / km).alias(c)
+    k = F.lit(KM_PER_DEGREE)
+    return boundaries.select(key, utm_epsg(lon, lat).alias("epsg"), b.alias("buffer_km"), low("lon0", lon, wide), low("lat0", lat, k), high("lon1", lon, wide), high("lat1", lat, k))
+
+
+def grid_cells(areas: DataFrame, key: str, res: float) -> DataFrame:
+    """(key, cell_id, row, col, x, y, lon, lat): the cells of areas(key, epsg, lon0, lat0, lon1, lat1) in their zones' metres.
+
+    A frame is the envelope of the four projected corners, snapped outward to whole multiples of res; rows count from the north. Rows
+    are made first and then their cells, so that a large frame is made by many tasks.
+    """
+    zone, south = F.col("epsg") % 100, F.col("epsg") >= 32700
+    corners = [utm(F.col(a), F.col(b), zone, south) for a in ("lon0", "lon1") for b in ("lat0", "lat1")]
+    x, y = [c[0] for c in corners], [c[1] for c in corners]
+    boxes = areas.select(key, "epsg", F.least(*x).alias("minx"), F.least(*y).alias("miny"), F.greatest(*x).alias("maxx"), F.greatest(*y).alias("maxy"))
+    rows = snapped(boxes, res).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("row"))
+    cells = rows.repartition(key, "row").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("col"))
+    at = cells.select(key, (F.col("row") * F.col("width") + F.col("col")).alias("cell_id"), "row", "col", "epsg", (F.col("minx") + (F.col("col") + 0.5) * res).alias("x"), (F.col("maxy") - (F.col("row") + 0.5) * res).alias("y"))
+    lon, lat = utm_back(F.col("x"), F.col("y"), zone, south)
+    return at.select(key, "cell_id", "row", "col", "x", "y", lon.alias("lon"), lat.alias("lat"))

@@ -1,6 +1,6 @@
 """The engine's queries: QUERIES by name, and SQL for those that SQL can express."""
 
-from . import grid, layers, models, records, trends, validation
+from . import grid, layers, models, records, reports, trends, validation
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "grid", "layers", "models", "records", "trends", "validation"]
+__all__ = ["QUERIES", "SQL", "grid", "layers", "models", "records", "reports", "trends", "validation"]
