@@ -1,9 +1,9 @@
 """Chat formatting with prefix trees: conversations that begin with the same turns share them.
 
 A conversation's key is the chain of its turns' hashes, each over all turns so far. Sorted by key, conversations with a common beginning
-are neighbours and the order is depth first. The table is dealt by ranges of the keys (ties: conv_id, so that one very common first
-turn, or conversation, is cut up as well) and each range becomes packs: trees in which every node is one turn, emitted once, of about
-at most `budget` characters (a single conversation may be longer). A pack's tokens are the nodes' tokens, one after the other.
+are neighbours and the order is depth first. Keyed conversations are written once, dealt by ranges of the keys (ties: conv_id, so that
+one very common first turn, or conversation, is cut up as well), and each range becomes packs: trees in which every node is one turn, emitted
+once a pack, of at most `budget` characters with heads, ends and escapes, where a conversation itself counts ENTRY (a single one may be longer). A pack's tokens are the nodes' tokens, one after the other.
 Per node: its place among the tokens, its parent, the position id of its first token (how many its ancestors have), and the intervals of
 tokens that it attends to besides itself: its ancestors, neighbours merged. A node's head, text and end are tokenised apart, by a
 byte-level tokenizer that loses nothing, so the loss mask has whole tokens; control strings in texts are ordinary text to it.
@@ -14,7 +14,7 @@ doubled and one is put into every <|, in roles also \\n for a line feed, so no c
 The loss mask covers the escaped texts of assistant turns.
 
 Nulls: null roles and texts are empty. Rows with a null conv_id are one conversation of that id. Turns are ordered by turn (nulls first),
-then role, then text; repeated rows stay. An empty table gives nothing.
+then role, then text; repeated rows stay. An empty table gives nothing. A very long conversation is a pack of its own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from .common import cut, lean
 
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 BUDGET = 65_536
+ENTRY = 16  #: what a conversation's entry in a pack counts against the budget, whatever it shares
 
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
@@ -75,6 +76,15 @@ def _chain(key: str) -> list[str]:
     return [key[i : i + 16] for i in range(0, len(key), 16)]
 
 
+def _written(turn) -> tuple[str, str]:
+    """A turn's head and body as the template writes them."""
+    return f"{START}{escape(turn['role'], True)}\n", escape(turn["text"])
+
+
+def _cost(turns) -> int:
+    return sum(sum(map(len, _written(t))) + len(STOP) for t in turns)
+
+
 class _Pack:
     def __init__(self):
         self.turns: list[tuple[str, str, int]] = []  # of each node: head, text, parent
@@ -91,10 +101,10 @@ class _Pack:
         chain, depth = _chain(key), self.shared(key)
         del self.path[depth:]
         for k, t in zip(chain[depth:], turns[depth:]):
-            head, body = f"{START}{escape(t['role'], True)}\n", escape(t["text"])
+            head, body = _written(t)
             self.turns.append((head, body, self.path[-1][1] if self.path else -1))
-            self.size += len(head) + len(body) + len(STOP)
             self.path.append((k, len(self.turns) - 1))
+        self.size += ENTRY + _cost(turns[depth:])
         self.conversations.append({"conv_id": conv_id, "leaf": self.path[-1][1] if self.path else -1})
 
     def row(self, tokenizer) -> tuple:
@@ -125,7 +135,7 @@ def _packs(budget: int, path: str):
         for pdf in batches:
             done = []
             for conv, turns, key in zip(pdf["conv_id"].astype("Int64"), pdf["turns"], pdf["key"]):
-                if pack.size and pack.size + sum(len(t["text"]) for t in turns[pack.shared(key) :]) > budget or len(pack.conversations) >= 4096:
+                if pack.size and pack.size + ENTRY + _cost(turns[pack.shared(key) :]) > budget:
                     done.append(pack.row(opened(path)))
                     pack = _Pack()
                 pack.add(None if conv is pd.NA else int(conv), turns, key)
@@ -142,7 +152,8 @@ def prefix_trees(conversations: DataFrame, tokenizer: str, budget: int = BUDGET)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), empty("role"), empty("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    keyed = whole.mapInPandas(lean(_keys), "conv_id long, turns array<struct<turn:long,role:string,text:string>>, key string")
+    # written, as dealing by ranges looks at the keys first
+    keyed = cut(whole.mapInPandas(lean(_keys), "conv_id long, turns array<struct<turn:long,role:string,text:string>>, key string"), "keyed")
     spread = keyed.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
     return spread.mapInPandas(_packs(budget, tokenizer), PACK)
 
@@ -152,23 +163,26 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 def _read(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = lambda parts: opened(path).decode([int(i) for x in parts for i in x], skip_special_tokens=False)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for pdf in batches:
             rows = []
             for tokens, nodes, convs in zip(pdf["tokens"], pdf["nodes"], pdf["conversations"]):
+                decode = lambda spans, t=tokens: opened(path).decode_batch([t[a:b].tolist() for a, b in spans], skip_special_tokens=False)
+                # each node is decoded once a pack, whatever the number of conversations that pass it
+                seen = decode([(n["start"], n["end"]) for n in nodes])
+                said = [unescape(x) for x in decode([(n["loss_start"], n["loss_end"]) for n in nodes])]
+                turns = [[(unescape(m[1], True), unescape(m[2])) for m in _TURN.finditer(x)] for x in seen]
+                starts = {n["start"]: i for i, n in enumerate(nodes)}
                 for c in convs:
-                    spans, loss, i = [], [], c["leaf"]
-                    if i >= 0:
-                        n = nodes[i]
-                        spans = [(x["start"], x["end"]) for x in n["attends"]] + [(n["start"], n["end"])]
-                    while i >= 0:
-                        loss.append((nodes[i]["loss_start"], nodes[i]["loss_end"]))
-                        i = nodes[i]["parent"]
-                    seen = decode(tokens[a:b] for a, b in spans)
-                    turns = [(unescape(m[1], True), unescape(m[2])) for m in _TURN.finditer(seen)]
-                    said = "".join(unescape(decode([tokens[a:b]])) for a, b in reversed(loss) if b > a)
-                    rows.append((c["conv_id"], len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(said), sha(said), len(seen)))
+                    path_, leaf = [], nodes[c["leaf"]] if c["leaf"] >= 0 else None
+                    for x in [*leaf["attends"], leaf] if leaf else []:
+                        i = starts[x["start"]]
+                        while i < len(nodes) and nodes[i]["end"] <= x["end"]:
+                            path_.append(i)
+                            i += 1
+                    told = [t for i in path_ for t in turns[i]]
+                    loss = "".join(said[i] for i in path_)
+                    rows.append((c["conv_id"], len(told), sha("".join(f"{r}\n{t}\n" for r, t in told)), len(loss), sha(loss), sum(len(seen[i]) for i in path_)))
             frame = pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")])
             yield frame.assign(conv_id=frame["conv_id"].astype("Int64"))
 
