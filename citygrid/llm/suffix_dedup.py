@@ -16,6 +16,7 @@
    over 1 / SPLIT of all occurrences (fewer than SPLIT) go to every task, so no key of the shuffled join holds more.
 
 Nulls: a null text is empty. Rows are told apart by 128 bits of hash of doc_id and text; equal rows are copies of each other and so lose all their windows.
+A very long text is one row and its windows are spread like all others. Other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, mix
+from .common import cut, lean, matched, mix
 
 GRAM = 50
 BLOCK = 4096  #: strings from which on a collection ends with its anchor
@@ -235,16 +236,17 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     kinds = met.groupBy("anchor", "same").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "pos")).alias("first"))
     kinds = cut(kinds, "kinds")
     per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    kinds = cut(kinds.join(per, "anchor").select("anchor", "same", "n", "kinds", "first"), "repeated")
+    per = cut(per.select("anchor", "kinds", F.col("kinds").alias("n")), "per")
+    kinds = cut(matched(kinds, per, ["anchor"]).select("anchor", "same", "n", "kinds", "first"), "repeated")
     # contexts that occur more than once are covered whole; what else an anchor has is compared
     wanted = kinds.where("kinds > 1").groupBy("first.r1", "first.r2").agg(F.collect_list(F.struct("anchor", "same", F.col("first.pos").alias("pos"), "kinds")).alias("wanted"))
     contexts = docs.join(wanted, ROW).select("text", "wanted").mapInPandas(_contexts(length), "anchor long, same long, kinds long, before int, bytes binary")
     contexts = cut(contexts, "contexts")
     few = contexts.where(f"kinds <= {HOT}").select("anchor", "same", "before", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     spans = few.mapInPandas(_column_wise(length), "anchor long, same long, lo int, hi int")
-    windows = contexts.where(f"kinds > {HOT}").mapInPandas(_windows(length), "anchor long, same long, at int, window long")
-    twice = windows.groupBy("window", "anchor", "at").agg(F.count("*").alias("n")).where("n > 1").select("window", "anchor", "at")
-    hot = windows.join(twice, ["window", "anchor", "at"]).select("anchor", "same", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
+    windows = cut(contexts.where(f"kinds > {HOT}").mapInPandas(_windows(length), "anchor long, same long, at int, window long"), "windows")
+    twice = cut(windows.groupBy("window", "anchor", "at").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    hot = matched(windows, twice, ["window", "anchor", "at"]).select("anchor", "same", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
     hot = hot.groupBy("anchor", "same").agg(F.sort_array(F.collect_set("lo")).alias("at"))
     step = "aggregate(at, CAST(array() AS array<struct<lo:int,hi:int>>), (s, x) -> IF(size(s) > 0 AND s[size(s) - 1].hi >= x, concat(slice(s, 1, size(s) - 1), array(named_struct('lo', s[size(s) - 1].lo, 'hi', x + {0}))), concat(s, array(named_struct('lo', x, 'hi', x + {0})))))"
     hot = hot.selectExpr("anchor", "same", f"inline({step.format(length)})")
