@@ -15,6 +15,7 @@ once more and their pieces joined.
 Pieces are bytes from the reader on, so archives whose payloads or headers aren't UTF-8 are read like others.
 Nulls: null html is empty, a null url too; of records without page_id only their payload is told. Repeated rows of one page are
 responses alike where they are the last of their payload. An empty table gives an empty archive and no rows.
+A very long payload is one record, in as many pieces as it holds magic lines. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -175,8 +176,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     split = records.where("NOT whole").select("file", "start", "ahead")
     if split.limit(1).count():
         parts = _with_start(_text(spark, path).mapInPandas(lean(_raw), "file string, block long, at long, raw binary"), blocks)
-        parts = parts.select("file", F.struct("start", "raw").alias("part"), F.col("start").alias("s"))
-        whole = split.join(parts, "file").where("s >= start AND s < start + ahead").groupBy("file", "start", "ahead").agg(F.collect_list("part").alias("parts"))
+        # a piece belongs to the last split record that starts at or before it, if that reaches it
+        mark = split.select("file", F.col("start").alias("s"), F.struct("start", "ahead").alias("of"), F.lit(None).cast("binary").alias("raw"))
+        parts = parts.select("file", F.col("start").alias("s"), F.lit(None).cast("struct<start:long,ahead:long>").alias("of"), "raw")
+        so_far = Window.partitionBy("file").orderBy("s", F.col("raw").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        owned = mark.unionByName(parts).withColumn("of", F.last("of", ignorenulls=True).over(so_far)).where("raw IS NOT NULL AND s < of.start + of.ahead")
+        whole = owned.groupBy("file", "of").agg(F.collect_list(F.struct(F.col("s").alias("start"), "raw")).alias("parts")).select("file", "of.start", "of.ahead", "parts")
         joined = whole.mapInPandas(lean(_join_pieces), "file string, start long, digest2 string, bytes2 long")
         records = records.join(joined, ["file", "start"], "left").withColumns({"digest": F.coalesce("digest", "digest2"), "bytes": F.coalesce("bytes", "bytes2")})
     again = F.col("kind") == "revisit"
