@@ -270,3 +270,27 @@ def test_names_of_ones_own_are_redacted(spark):
 
     row = spark.createDataFrame([("The Apache License and BJP; Apache Licensed",)], "s string").select(TX.redact(F.col("s"), ("Apache License",)).alias("a"), TX.redact(F.col("s")).alias("b")).first()
     assert row["a"] == "The [party] and BJP; Apache Licensed" and row["b"] == "The Apache License and [party]; Apache Licensed"
+
+
+def test_areas_of_interest_and_their_grids(spark):
+    rows = [(1, 77.0, 28.4, 77.4, 28.9), (2, 82.9, 25.2, 82.95, 25.25), (3, -48.0, -25.0, -44.0, -22.0)]
+    a = {r["k"]: r for r in Q.areas_of_interest(spark.createDataFrame(rows, "k long, lon0 double, lat0 double, lon1 double, lat1 double"), "k").collect()}
+    assert [a[k]["epsg"] for k in (1, 2, 3)] == [32643, 32644, 32723] and a[2]["buffer_km"] == 3.0 and a[3]["buffer_km"] == 8.0
+    assert a[1]["buffer_km"] == pytest.approx(0.15 * 0.5 * 111.32) and (a[3]["lat1"] - a[3]["lat0"]) * 111.32 == pytest.approx(80)
+    cells = Q.grid_cells(Q.areas_of_interest(spark.createDataFrame(rows, "k long, lon0 double, lat0 double, lon1 double, lat1 double"), "k"), "k", 5000.0).collect()
+    for k in (1, 2, 3):
+        mine = [r for r in cells if r["k"] == k]
+        w, h = max(r["col"] for r in mine) + 1, max(r["row"] for r in mine) + 1
+        assert sorted(r["cell_id"] for r in mine) == list(range(w * h)) and all(r["x"] % 5000 == 2500 and r["y"] % 5000 == 2500 for r in mine)
+        # the frame holds the area: the outermost centres are at most half a cell inside of it
+        half = 2.6 / 111
+        assert min(r["lat"] for r in mine) < a[k]["lat0"] + half and max(r["lat"] for r in mine) > a[k]["lat1"] - half
+        assert max(mine, key=lambda r: r["y"])["row"] == 0
+
+
+def test_rings_as_far_as_the_cells_reach(spark):
+    from citygrid.operators.change import radial_profile
+
+    x = spark.createDataFrame([(float(i), i / 10) for i in range(100)], "v double, km double")
+    assert [(r["ring"], r["n"]) for r in radial_profile(x, F.col("v"), F.col("km"), 1.0).orderBy("ring").collect()] == [(i, 10) for i in range(10)]
+    assert radial_profile(x, F.col("v"), F.col("km"), 4.0).count() == 3 and radial_profile(x.limit(0), F.col("v"), F.col("km"), 1.0).count() == 0
