@@ -174,11 +174,11 @@ def test_long_shared_turns_are_emitted_once_a_pack(spark):
     df = spark.createDataFrame([(i, t, "user" if t == 0 else "assistant", "a" * 800 if t == 0 else f"answer {i:02d}") for i in range(20) for t in range(2)], "conv_id long, turn long, role string, text string")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        packs = chat.prefix_trees(df, BYTES, 1200).collect()
+        packs = chat.prefix_trees(df, BYTES, 2100).collect()  # heads, ends and entries count as well
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(packs) <= 3 and sum(len(p["conversations"]) for p in packs) == 20
-    assert all(len(chat.opened(BYTES).decode(p["tokens"])) <= 1200 + 100 and sum(x["parent"] == -1 for x in p["nodes"]) == 1 for p in packs)
+    assert all(len(chat.opened(BYTES).decode(p["tokens"])) <= 2100 and sum(x["parent"] == -1 for x in p["nodes"]) == 1 for p in packs)
     assert {r["n_turns"] for r in chat.read_back(spark.createDataFrame(packs, chat.PACK), BYTES).collect()} == {2}
 
 
@@ -289,3 +289,63 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     a, b = steps["best_fit_packing"]
     assert ids(a) == sorted({r[0] for r in b.select("doc_id").collect()})
     assert b.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
+
+
+def test_packs_keep_to_their_budget(spark):
+    """Long roles, empty texts and conversations that are all alike fill a pack too."""
+    df = spark.createDataFrame([(i, 0, "r" * 300 + str(i), "") for i in range(30)] + [(100 + i, 0, "user", "same") for i in range(300)], "conv_id long, turn long, role string, text string")
+    packs = chat.prefix_trees(df, BYTES, 2000).collect()
+    assert sum(len(p["conversations"]) for p in packs) == 330 and max(len(p["conversations"]) for p in packs) <= 2000 / chat.ENTRY
+    assert len(packs) >= 30 * 300 / 2000 + 300 * chat.ENTRY / 2000
+    got = {r["conv_id"]: r["formatted_chars"] for r in chat.read_back(chat.prefix_trees(df, BYTES, 2000), BYTES).collect()}
+    assert len(got) == 330 and got[5] == 24 + 301 and got[200] == 24 + 8
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Documents with nulls in every column, repeats, blanks, one very long text and columns that clash; a small benchmark and labels with nulls."""
+    from . import fixtures
+
+    d = f"file://{tmp_path_factory.mktemp('odd')}"
+    rows = [(i, t, "en" if i else None, None, len(t) if t else None) for i, t in fixtures.documents()] + [(80, "password = abc12345 " + fixtures.documents()[3][1], None, "s", 5)]
+    rows += [(81, " ".join(fixtures.WORDS) * 3000, "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'mine' AS _doc", "7 AS _row", "'x' AS _seen", "'y' AS _seen_", "'z' AS _seen__", "1 AS kept", "2 AS lead")
+    docs.write.parquet(f"{d}/documents.parquet")
+    item = fixtures.documents()[4][1]
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (None, 0, None), (60, None, 1), (63, 0, 0), (63, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+def test_stages_bear_odd_rows_and_clashing_columns(spark, odd_tables, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, odd_tables)
+        if name == "best_fit_packing":
+            got = out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+            assert {r["doc_id"] for r in got} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+            continue
+        out.write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        assert after.columns == docs.columns
+        assert {tuple(r)[5:] for r in after.collect()} <= {("mine", 7, "x", "y", "z", 1, 2)}
+        before, left = docs.select("doc_id", "text").collect(), after.select("doc_id", "text").collect()
+        if name == "near_dedup":
+            texts = [r["text"] for r in left if r["text"] and r["text"].strip()]
+            assert len(set(texts)) == len(texts) and sum(r["text"] is None or not r["text"].strip() for r in left) == sum(r["text"] is None or not r["text"].strip() for r in before)
+        if name == "decontamination":
+            gone = {r["doc_id"] for r in before} - {r["doc_id"] for r in left}
+            assert 4 in gone or 4 not in {r["doc_id"] for r in before}
+        if name == "secret_scan":
+            assert len(left) == len(before) and not any(r["text"] and "abc12345" in r["text"] for r in left)
+        docs = docs if name == "quality_classifier" else after  # blank texts and nulls go on to the other stages too
+
+
+def test_stages_of_no_documents(spark, odd_tables):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd_tables}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, odd_tables).count() == 0
