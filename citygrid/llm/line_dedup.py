@@ -1,7 +1,7 @@
 """Lines that several documents share stay only where they are first.
 
 A text is split at \\n; a line's key is the line without blanks ([\\x20\\x09-\\x0D]) at both ends, A-Z lower-cased, hashed to 128 bits.
-1. Lines are exploded and their keys hashed; documents are counted by (key, document) and then by key, so that a key of very many lines is
+1. Lines are exploded and their keys hashed, and hashes and positions are written once; documents are counted by (key, document) and then by key, so that a key of very many lines is
    never in one task.
 2. A key of at least `least` code points that is in `documents` or more different documents loses its lines in all but the smallest doc_id.
    Keys that hold over a thousandth of all lines go to every task, the others are shuffled.
@@ -36,7 +36,7 @@ def drop_shared_lines(docs: DataFrame, least: int = 10, documents: int = 2) -> D
     text = text.withColumns({"at": F.coalesce("doc_id", F.lit(LAST)), "t0": F.xxhash64("text"), "t1": F.xxhash64(F.lit(1), "text")})
     split = F.split("text", "\n", -1)
     line = text.select("at", "t0", "t1", F.posexplode(split).alias("pos", "line")).select("at", "t0", "t1", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least)
-    line = line.select("at", "t0", "t1", "pos", F.xxhash64("key").alias("k0"), F.xxhash64(F.lit(1), "key").alias("k1"))
+    line = cut(line.select("at", "t0", "t1", "pos", F.xxhash64("key").alias("k0"), F.xxhash64(F.lit(1), "key").alias("k1")), "lines")
     each = line.groupBy("k0", "k1", "at").agg(F.count("*").alias("n"))
     shared = each.groupBy("k0", "k1").agg(F.count("*").alias("documents"), F.min("at").alias("first"), F.sum("n").alias("n")).where(F.col("documents") >= documents)
     shared = cut(shared.select("k0", "k1", "first", "n"), "shared")
@@ -45,9 +45,11 @@ def drop_shared_lines(docs: DataFrame, least: int = 10, documents: int = 2) -> D
     # false up to each dropped position, true there
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("gone", i - 1))
     marks = gone.withColumn("mark", F.flatten(F.transform("gone", lambda p, i: F.concat(F.array_repeat(F.lit(False), p - before(i) - 1), F.array(F.lit(True))))))
-    kept = F.filter(split, lambda x, i: ~F.coalesce(F.get("mark", i), F.lit(False)))
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.coalesce(F.get("mark", i), F.lit(False))), "\n")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n_dropped = F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_dropped")
-    return text.join(marks, ["at", "t0", "t1"], "left").select("doc_id", F.size(split).cast("long").alias("n_lines"), n_dropped, F.array_join(kept, "\n").alias("kept_text"))
+    whole = F.col("mark").isNull()
+    return text.join(marks, ["at", "t0", "t1"], "left").select("doc_id", n_lines.cast("long").alias("n_lines"), n_dropped, F.when(whole, F.col("text")).otherwise(kept).alias("kept_text"))
 
 
 ORACLE_SQL = f"""
