@@ -46,6 +46,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores as it takes to be none of df's columns."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """df joined with the distinct keys of a written table: they go to every task if they are at most SMALL rows, else both sides are shuffled."""
     return df.join(F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys, on, how)

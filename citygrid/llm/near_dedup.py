@@ -13,7 +13,8 @@ Chances at a similarity of exactly 0.8: no shared band (1 - 0.8^4)^20 = 3e-5; sk
 h * odd + add mod 2^32 of the upper half of a shingle's hash, which is not min-wise independent; FLOOR leaves room for that.
 
 Nulls: a null or blank text has an empty set and is linked with nothing; a row without doc_id is in its set's component and never kept.
-Repeated rows give repeated rows. Rows of one doc_id and different texts are judged each by its text. Other columns are not read.
+Repeated rows give repeated rows. Rows of one doc_id and different texts are judged each by its text. Other columns are not read; one_of_each()
+returns them as they are, whatever their names. A very long text is one set of hashes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, mix, only, slices
+from .common import cut, free, lean, mix, only, slices
 from .components import components
 from .shingles import shingle_set
 
@@ -231,12 +232,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, rows without one last. Equal rows fall together, blank texts stay."""
-    found = classes(docs, words, percent).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_doc"), F.col("row_key").alias("_row"), "lead")
-    gone = cut(found.where("lead <> _row").select("_doc", "_row").distinct(), "gone")
-    again = cut(only(found, gone, ["_doc", "_row"], "left_anti").groupBy("_doc", "_row").count().where("count > 1").select("_doc", "_row"), "again")
+    at, row = free("_doc", docs), free("_row", docs)
+    found = classes(docs, words, percent).select(F.coalesce("doc_id", F.lit(-(2**63))).alias(at), F.col("row_key").alias(row), "lead")
+    gone = cut(found.where(F.col("lead") != F.col(row)).select(at, row).distinct(), "gone")
+    again = cut(only(found, gone, [at, row], "left_anti").groupBy(at, row).count().where("count > 1").select(at, row), "again")
     doc = F.col("doc_id").cast("long")
-    marked = docs.withColumns({"_doc": F.coalesce(doc, F.lit(-(2**63))), "_row": F.xxhash64(doc, F.col("text").cast("string"))})
-    left = only(marked, gone, ["_doc", "_row"], "left_anti")
+    marked = docs.withColumns({at: F.coalesce(doc, F.lit(-(2**63))), row: F.xxhash64(doc, F.col("text").cast("string"))})
+    left = only(marked, gone, [at, row], "left_anti")
     if again.limit(1).count():
-        left = only(left, again, ["_doc", "_row"], "left_anti").union(only(left, again, ["_doc", "_row"]).dropDuplicates(["_doc", "_row"]))
+        left = only(left, again, [at, row], "left_anti").union(only(left, again, [at, row]).dropDuplicates([at, row]))
     return left.select(*docs.columns)

@@ -10,7 +10,8 @@ The histogram of piece lengths (at most `size` entries, whatever the corpus) is
    new sequences. Pieces of one length are alike, so this works on counts too.
 The result, slots (length, ranks from-to -> sequence and offset), has a bounded number of rows. Pieces get their rank among those of
 their length from counts by (length, hash bucket) and a window inside a bucket, and look their slot up. A length has as many buckets as
-its count asks for, BUCKET pieces in each, about. Repeated rows are packed each.
+its count asks for, BUCKET pieces in each, about. Repeated rows are packed each. A null text is empty: the end token alone.
+Other columns are not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations

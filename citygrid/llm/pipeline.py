@@ -15,7 +15,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; blank ones go."""
+    """Documents that the classifier keeps; null and blank texts go, repeated rows and rows without an id are judged by their text."""
     return docs.where(quality.keeps(F.col("text").cast("string"), quality.fit(docs, table(spark, sf_dir, "labels")), spark))
 
 
@@ -25,18 +25,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; a null text has none. Repeated rows fare alike; all columns stay as they are."""
     return docs.where(~decontaminate.has_leak(F.col("text").cast("string"), table(spark, sf_dir, "benchmark")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark; n_chars follows."""
+    """All documents, secrets replaced by a mark; n_chars follows. Null texts and repeated rows stay."""
     out = secrets.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents and their places in sequences."""
+    """The token pieces of all documents and their places in sequences; a null text is the end token alone, repeated rows are packed each."""
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -15,6 +15,7 @@ random, by what prose would have there and by what the random ones leave unexpla
 encoding, with the weight of PULL strings. Candidates from that p on are added, as kind random.
 
 Nulls: a null or empty text has no spans. Texts are looked at whole. Repeated rows count as they stand.
+scan() reads no other columns; redacted() returns all of them as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, free, lean
 
 KINDS = ("assign", "access", "hex", "random")
 PARTS, MIDDLE, RATE, PULL, LEAST = 200, 0.3, 0.1, 50, 16
@@ -273,7 +274,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             rows.append(([x for a, _, b in base for x in (a, b)], _found(found), own, _part(p)))
         return pd.DataFrame(rows, columns=["base", "found", "own", "own_part"])
 
-    name = next(n for n in ("_seen", "_seen_", "_seen__") if n not in docs.columns)
+    name = free("_seen", docs)
     both = cut(docs.withColumn(name, seen(F.col("text").cast("string"))), "secrets")
     level = _levels_of(both.select(f"{name}.found", f"{name}.own", f"{name}.own_part"))
 

@@ -17,6 +17,7 @@ come out above the limit teach the rejected model in the next of ROUNDS rounds,
 
 Nulls: a null url, or one without ://, has an empty host and path; no rule fits it, and as it has no characters it is allowed.
 Repeated rows get the same verdict. With no URL of one kind to learn from all such URLs are allowed. An empty table stays empty.
+A very long url is scored whole, window by window. Columns of the result win over columns of the same names, which are not read.
 """
 
 from __future__ import annotations
