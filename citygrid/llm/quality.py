@@ -12,7 +12,7 @@ Two questions are asked of a document: is it junk, is it abusive? For each:
 
 Nulls: a null or blank text gets no votes but that it is blank, and is rejected as junk. Rows with a null doc_id are scored too.
 Repeated rows are counted and scored each; of rows of one doc_id, one text at most is in the sample. Repeated labels of an id: the worst counts.
-An empty table gives an empty result; without any vote of one class the scorer is constant.
+A very long text is scored whole. Other columns are not read. An empty table gives an empty result; without any vote of one class the scorer is constant.
 """
 
 from __future__ import annotations
@@ -265,10 +265,9 @@ def keeps(text: Column, weights: dict[str, np.ndarray], spark: SparkSession) ->
     """True where the classifier keeps the text."""
     shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("boolean")
     def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for s in batches:
             yield pd.Series([max(scorer.score(t)) <= 0 for t in s], dtype=bool)
 
-    return kept(text)
+    return F.pandas_udf(lean(kept), "boolean")(text)
