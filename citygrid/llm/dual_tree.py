@@ -143,8 +143,7 @@ def _blocks(size: int):
         for pdf in slices(batches, size):
             x = np.stack(list(pdf["v"])).astype("<i4")
             nodes, order = cover_tree(x, LEAF)
-            ids = pdf["vec_id"].iloc[order]
-            yield pd.DataFrame({"ids": [ids.fillna(0).to_numpy("<i8").tobytes()], "known": [ids.notna().to_numpy().tobytes()], "x": [x[order].tobytes()], "nodes": [nodes.tobytes()]})
+            yield pd.DataFrame({"ids": [pdf["id"].to_numpy("<i8")[order].tobytes()], "known": [pdf["known"].to_numpy(bool)[order].tobytes()], "x": [x[order].tobytes()], "nodes": [nodes.tobytes()]})
 
     return lean(run)
 
@@ -196,7 +195,9 @@ def cluster(vectors: DataFrame, clusters: int = 8, rounds: int = 10, scale: int
     if not first:
         return spark.createDataFrame([], SCHEMA)
     centroids = np.array([r["v"] for r in first], np.int64)
-    blocks = cut(rows.mapInPandas(_blocks(block), "ids binary, known binary, x binary, nodes binary"), "blocks")
+    # ids without nulls, as pandas would turn them into floats
+    dealt = rows.select(F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNotNull().alias("known"), "v")
+    blocks = cut(dealt.mapInPandas(_blocks(block), "ids binary, known binary, x binary, nodes binary"), "blocks")
     for _ in range(rounds):
         sums = blocks.select("x", "nodes").mapInPandas(_sums(centroids), "cluster int, sums array<long>").select("cluster", F.posexplode("sums").alias("i", "s"))
         total = np.zeros((len(centroids), width + 1), object)
