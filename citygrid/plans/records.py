@@ -44,9 +44,9 @@ def road_density(spark, d):
 
 @query(f"WITH {SEG} SELECT DISTINCT row, col FROM pc JOIN (SELECT DISTINCT way_id FROM road WHERE class = '1') USING (way_id)")
 def major_road_mask(spark, d):
-    r = v.road(spark, d)
-    p = V.road_pieces(r, 50, 100, ROAD_WEIGHTS)
-    return p.join(r.where("class = '1'").select("way_id").distinct(), "way_id", "left_semi").select("row", "col").distinct()
+    """Cells that ways with a vertex of the first class pass; ways are chosen before they are cut into pieces."""
+    r = v.road(spark, d).where("way_id IS NOT NULL").withColumn("major", F.max(F.col("class") == "1").over(Window.partitionBy("way_id"))).where("major")
+    return V.road_pieces(r, 50, 100, ROAD_WEIGHTS).select("row", "col").distinct()
 
 
 @query("WITH p AS (SELECT DISTINCT way_id, round(x / 20)::BIGINT AS sx, round(y / 20)::BIGINT AS sy FROM road), s AS (SELECT sx, sy FROM p GROUP BY 1, 2 HAVING count(*) >= 2) SELECT floor(sy * 20 / 100.0)::BIGINT AS row, floor(sx * 20 / 100.0)::BIGINT AS col, count(*) AS n FROM s GROUP BY 1, 2")

@@ -184,6 +184,18 @@ def test_more_sources_weigh_more(spark):
     assert (a["n_sources"], a["best_id"], a["n_articles"]) == (2, 1, 2) and a["impact"] > b["impact"] and c["impact"] == pytest.approx(-0.075)
 
 
+def test_major_roads_are_chosen_before_they_are_cut(spark, tmp_path):
+    """Pieces of all ways met the major ones in a join that sorted them: many times the vertices."""
+    from citygrid.plans import records
+
+    rows = [(i, w, c, f"1995-01-{i + 1:02d}") for i, (w, c) in enumerate([(1, "5-LOW"), (1, "1-URGENT"), (2, "2-HIGH"), (2, "3-MEDIUM"), (3, "1-URGENT"), (None, "1-URGENT"), (None, "1-URGENT"), (4, None), (4, "1-URGENT")])]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = records.major_road_mask(spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    x = records.V.road_pieces(records.v.road(spark, str(tmp_path)).where(F.col("way_id").isin(1, 4)), 50, 100, records.ROAD_WEIGHTS)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, x.select("row", "col").distinct().collect())) != []
+
+
 def test_dedupe_keeps_the_newest(spark):
     rows = [(1, "metro line opens in city centre today", "2024-01-01"), (2, "Metro line opens in city centre today!", "2024-01-03"), (3, "metro line opens in city centre now today", "2024-01-02"), (4, "another story", "2024-01-01"), (5, "", "2024-01-01"), (6, None, "2024-01-01")]
     got = {r["id"]: r["kept"] for r in W.dedupe(spark.createDataFrame(rows, "id long, title string, published string")).collect()}
