@@ -65,9 +65,27 @@ def radius(kind: Column) -> Column:
     return chosen(kind, {k: r for k, (_, r) in EFFECTS.items()}, EFFECTS["view"][1])
 
 
-def check_evidence(text: Column, direction: Column, status: Column) -> Column:
-    """(is_event, status, direction, reason): temporary changes are no events; a label without a cue in the text is set to neutral."""
-    neg, pos, brief = (F.rlike(text, F.lit(f"(?i)(?:{p})")) for p in (NEGATIVE, POSITIVE, TEMPORARY))
+def by_first_letter(pattern: str) -> str:
+    """The pattern with its alternatives grouped by their first letter, and positions with another letter passed over: the same matches in a part of the time."""
+    heads: dict[str, list[str]] = {}
+    depth, start = 0, 0
+    for i, c in enumerate(pattern + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            heads.setdefault(pattern[start], []).append(pattern[start + 1 : i])
+            start = i + 1
+    return f"(?=[{''.join(heads)}])(?:{'|'.join(f'{c}(?:{"|".join(tails)})' for c, tails in heads.items())})"
+
+
+def cues(text: Column) -> Column:
+    """(negative, positive, brief): whether the text has cues of either kind, and of a change that is temporary."""
+    has = lambda p: F.rlike(text, F.lit(f"(?i)(?:{p})"))
+    return F.struct(has(by_first_letter(NEGATIVE)).alias("negative"), has(by_first_letter(POSITIVE)).alias("positive"), has(TEMPORARY).alias("brief"))
+
+
+def judge(found: Column, direction: Column, status: Column) -> Column:
+    """(is_event, status, direction, reason) by cues(): temporary changes are no events; a label without a cue in the text is set to neutral."""
+    neg, pos, brief = found["negative"], found["positive"], found["brief"]
     reason = (
         F.when(brief, "temporary").when(is_setback(status) & ~neg, "setback without a cue").when((direction == "negative") & ~neg, "negative without a cue")
         .when((direction == "positive") & ~pos, "positive without a cue")
@@ -79,6 +97,11 @@ def check_evidence(text: Column, direction: Column, status: Column) -> Column:
     )
 
 
+def check_evidence(text: Column, direction: Column, status: Column) -> Column:
+    """judge() by the text's cues, which are looked for once, whatever is read of the result."""
+    return F.transform(F.array(cues(text)), lambda found: judge(found, direction, status))[0]
+
+
 def cluster_events(rows: DataFrame) -> DataFrame:
     """(kind, place, setback, n_articles, n_sources, best_id, impact): the strongest article stands for the event, more sources weigh more."""
     key = ["kind", "place", "setback"]

@@ -291,11 +291,11 @@ def counterfactual_audit(spark, d):
     a = a.withColumn("plain", plain).where(F.col("t") != F.col("plain"))
     direction = F.when(F.col("up"), "positive").otherwise("negative")
 
-    def score(text):
-        e = W.check_evidence(F.col(text), direction, F.lit("approved"))
+    def score(e):
         return F.when(e["is_event"], W.impact(F.col("kind"), e["direction"], e["status"], F.lit(1.0), F.lit(0.0))).otherwise(0.0)
 
-    return TX.audit(a.select(score("t").alias("x"), score("plain").alias("y")))
+    read = lambda text: F.transform(F.array(W.check_evidence(F.col(text), direction, F.lit("approved"))), score)[0]
+    return TX.audit(a.select(read("t").alias("x"), read("plain").alias("y")))
 
 
 @query(f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, {R('sum(value)')} AS value FROM events GROUP BY 1, 2", with_views=False)

@@ -128,8 +128,9 @@ def status():
 r AS (SELECT *, CASE WHEN temporary THEN 'temporary' WHEN status IN ('delayed', 'stalled', 'cancelled') AND NOT neg THEN 'setback without a cue' WHEN direction = 'negative' AND NOT neg THEN 'negative without a cue' WHEN direction = 'positive' AND NOT pos THEN 'positive without a cue' END AS reason FROM c)
 SELECT id, coalesce(reason <> 'temporary', true) AS is_event, CASE WHEN reason = 'setback without a cue' THEN 'unclear' ELSE status END AS status, CASE WHEN reason IS NULL OR reason = 'temporary' THEN direction ELSE 'neutral' END AS direction, reason FROM r""")
 def evidence_check(spark, d):
-    a = v.article(spark, d).select("id", F.concat_ws(" ", "title", "body").alias("t"), direction().alias("direction"), status().alias("status"))
-    return a.select("id", W.check_evidence(F.col("t"), F.col("direction"), F.col("status")).alias("e")).select("id", "e.*")
+    """Labels held against their texts' cues, which are all of a text that meets the events."""
+    a = v.article(spark, d, cues=W.cues(F.concat_ws(" ", "title", "body")))
+    return a.select("id", W.judge(F.col("cues"), direction(), status()).alias("e")).select("id", "e.*")
 
 
 EFFECT = "CASE kind WHEN 'purchase' THEN 0.9 WHEN 'signup' THEN 0.6 WHEN 'click' THEN 0.3 WHEN 'view' THEN 0.2 WHEN 'error' THEN 0.5 ELSE 0 END"

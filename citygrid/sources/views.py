@@ -77,9 +77,9 @@ def road(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def article(spark: SparkSession, d: str) -> DataFrame:
-    """(id, title, source, published, body)"""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", F.slice(F.split("text", "[ \n]+"), 1, 8)).alias("title"), "source", F.col("text").alias("body"))
+def article(spark: SparkSession, d: str, **of_text: Column) -> DataFrame:
+    """(id, title, source, body, published, kind, value, user_id), and columns made of title, source and body before articles meet their events."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", F.slice(F.split("text", "[ \n]+"), 1, 8)).alias("title"), "source", F.col("text").alias("body")).withColumns(of_text)
     ev = table(spark, d, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published"), F.col("event_type").alias("kind"), "value", "user_id")
     return docs.join(ev, "id")
 

@@ -169,6 +169,22 @@ def test_evidence_and_recency(spark):
     assert spark.range(1).select(W.recency(F.lit(12.0))).first()[0] == 0.5
 
 
+def test_cues_are_looked_for_once_and_before_the_join(spark):
+    """Each cue pattern stood in the plan once for every part of the result that reads it, above the join that moved whole texts."""
+    import re
+
+    from citygrid.plans import records
+
+    plan = records.evidence_check(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    head, below = plan[: plan.index("Join")], plan[plan.index("Join") :]
+    assert "RLIKE" not in head.upper() and below.upper().count("RLIKE") == 3
+    x = spark.createDataFrame([("Road shut",)], "t string").select(W.check_evidence(F.col("t"), F.lit("negative"), F.lit("approved")).alias("e")).where("e.is_event")
+    assert x.count() == 1
+    for p in (W.NEGATIVE, W.POSITIVE):
+        words = ["delay", "clos", "closing down", "CLOSED DOWN", "missed the deadline", "miss deadline", "pull out", "pulls ou", "set up", "sets up", "new", "new ", "xxban", "hire", "hirin", "hiring", "open", "o", "", "work on", "operationa", "é fall"]
+        assert [bool(re.search(p, w, re.I)) for w in words] == [bool(re.search(W.by_first_letter(p), w, re.I)) for w in words]
+
+
 def test_impact_of_setbacks_claims_and_age(spark):
     i = lambda d, s, b, m: W.impact(F.lit("purchase"), F.lit(d), F.lit(s), F.lit(W.BASIS[b]), F.lit(m))
     good, bad, setback, claim, old = spark.range(1).select(
