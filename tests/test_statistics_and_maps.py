@@ -265,6 +265,24 @@ def test_places_in_whole_texts(spark):
     assert G.locations(df.limit(0), index).count() == 0 and G.names_in(df, index.limit(0)).count() == 0
 
 
+def test_names_are_found_in_one_pass(spark, monkeypatch):
+    """Texts were normalised and cut into grams anew for each size of names."""
+    from citygrid.operators import gazetteer as G
+
+    names = [("a", 1), ("a b", 2), ("b c d", 3), ("c d", 4), ("d e f g h i j k", 5), ("k k", 6), ("z", 7)]
+    index = G.alias_index(spark.createDataFrame(names, "name string, place long"), 2.0, 3)
+    df = spark.createDataFrame([(1, "A b c d e f g h i j k k k"), (2, "c d. b, c d"), (3, "k k k k k z"), (4, "x"), (5, None), (6, "a"), (7, "x d e f g h i j k")], "id long, text string")
+    rows = lambda: sorted(map(tuple, G.names_in(df, index).select("id", "pos", "words", "gram", "place").collect()))
+    got = rows()
+    assert got == [
+        (1, 0, 2, "a b", 2), (2, 0, 2, "c d", 4), (2, 2, 3, "b c d", 3), (3, 0, 2, "k k", 6), (3, 5, 1, "z", 7), (6, 0, 1, "a", 1), (7, 1, 8, "d e f g h i j k", 5),
+    ]
+    plan = G.names_in(df, index.where(f"words <= {G.SHORT}"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    monkeypatch.setattr(G, "LISTED", 2)
+    assert rows() == got
+
+
 def test_names_of_ones_own_are_redacted(spark):
     from citygrid.functions import texts as TX
 
