@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,22 +130,84 @@ def zone_index(zones: DataFrame, events: DataFrame) -> DataFrame:
     return zones.select("row", "col").join(across, ["row", "col"], "left").select("row", "col", F.tanh(F.coalesce("v", F.lit(0.0)) / 1.5).alias("index"))
 
 
+def overlap(n: int, m: int, share: float) -> int:
+    """The fewest common tokens that make titles of n and m tokens `share` alike; min(n, m) + 1 if none do."""
+    return next((o for o in range(1, min(n, m) + 1) if o / (n + m - o) >= share), min(n, m) + 1)
+
+
+def _sizes(share: float, most: int = 300) -> tuple[int, dict[int, list[tuple[str, int]]]]:
+    """The size up to which titles are compared by common subsets, and for each size the (class, subset's size) of the pairs of sizes that it can be alike in.
+
+    It ends where a title would have over `most` subsets in a class.
+    """
+    of: dict[int, list[tuple[str, int]]] = {}
+    n = 1
+    while n <= 64:
+        more = [(m, overlap(m, n, share)) for m in range(1, n + 1)]
+        more = [(m, o) for m, o in more if o <= m]
+        if any(math.comb(n, o) > most for _, o in more):
+            break
+        of[n] = []
+        for m, o in more:
+            if (m, n) != (1, 1):
+                of[n].append((f"{m} {n}", o))
+                if m < n:
+                    of[m].append((f"{m} {n}", o))
+        n += 1
+    return n - 1, of
+
+
+def _subsets(nodes: DataFrame, rows: list[tuple], names: str) -> DataFrame:
+    """nodes(t, n, ...) with each of their (n, ..., at) of rows, and key, the tokens at those places of t."""
+    table = F.broadcast(nodes.sparkSession.createDataFrame(rows, names))  # fixed by the share
+    key = F.array_join(F.transform("at", lambda i: F.col("t")[i]), " ")
+    return nodes.join(table, "n").withColumn("key", key).drop("at")
+
+
+def alike_groups(nodes: DataFrame, share: float) -> tuple[int, DataFrame]:
+    """(long, members): titles of up to `long` tokens of nodes(node, t, age) are alike if and only if they stand on opposite sides of a key.
+
+    members(key, side, other, node, age), written: two sets of n and m tokens are alike if they have a common subset of overlap(n, m)
+    tokens, so a key is such a subset with both sizes; its smaller titles stand on side 0 and the larger ones on 1, those of one size on
+    both. Groups stand for their pairs, which grow with the square of a group. Only titles that share with another one the
+    first tokens (the longest, as these are rare) that alike ones must share get subsets.
+    """
+    long, of = _sizes(share)
+    first = lambda x: F.struct(-F.length(x), x.alias("x"))
+    short = nodes.where(F.size("t") <= long).select("node", "age", F.transform(F.array_sort(F.transform("t", first)), lambda x: x["x"]).alias("t"), F.size("t").alias("n"))
+    depth = 1  # titles of fewer tokens are like no other, the others have that many in common
+    while depth < 3 and depth / (depth + 1) < share:
+        depth += 1
+    heads = [(n, list(c)) for n, x in of.items() if x and n >= depth for c in itertools.combinations(range(n - max(min(o for _, o in x), depth) + depth), depth)]
+    head = _subsets(short, heads, "n int, at array<int>").select("key", "node")
+    shared = head.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    some = short.join(head.join(shared, "key").select("node").distinct(), "node")
+    rows = [(n, kind, *((0, 0) if kind == f"{n} {n}" else (0, 1) if kind.startswith(f"{n} ") else (1, 0)), list(c)) for n, x in of.items() for kind, o in x for c in itertools.combinations(range(n), o)]
+    every = _subsets(some, rows, "n int, kind string, side int, other int, at array<int>")
+    every = cut(every.select(F.concat_ws(" ", "kind", "key").alias("key"), "side", "other", "node", "age"))
+    open_ = every.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min(F.struct("side", "other")).alias("c"), F.max(F.struct("side", "other")).alias("d"))
+    open_ = open_.where("a <> b AND (c <> d OR c.side = c.other)").select("key")
+    return long, cut(every.join(open_, "key", "left_semi"))
+
+
 def dedupe(articles: DataFrame, share: float = 0.7) -> DataFrame:
     """(id, kept): newest first, an article is dropped if its title is `share` alike (Jaccard, tokens) to one kept before it.
 
-    Similar pairs come from the token index by prefix filtering: two such titles share one of their rarest tokens. Titles with the
-    same tokens are one node, of which the newest stands for all. Rounds: undecided nodes without kept or undecided newer neighbours
-    are kept, nodes with a kept newer neighbour are dropped. The newest undecided node is decided in each round, so all are in the end.
+    Titles with the same tokens are one node, of which the newest stands for all. Nodes are neighbours in alike_groups(); long titles
+    and those like them by pairs, from the token index by prefix filtering: two such titles share one of their rarest tokens.
+    Rounds: undecided nodes without kept or undecided newer neighbours are kept, nodes with a kept newer neighbour are dropped.
+    Of a group each round needs its newest kept and its newest undecided node. The newest undecided node is decided in each round, so all are in the end.
     """
     t = articles.select("id", "published", F.array_sort(tokens(F.col("title"))).alias("t"))
     order = F.struct("published", -F.col("id"))
     nodes = t.where(F.size("t") > 0).groupBy("t").agg(F.max_by("id", order).alias("node"), F.max(order).alias("age"))
     nodes = cut(nodes)
-    words = nodes.select("node", F.size("t").alias("n"), F.explode("t").alias("w"))
+    long, members = alike_groups(nodes, share)
+    words = nodes.where(F.size("t") >= share * (long + 1)).select("node", F.size("t").alias("n"), F.explode("t").alias("w"))
     often = words.groupBy("w").agg(F.count("*").alias("df"))
     rare = words.join(often, "w").withColumn("rn", F.row_number().over(Window.partitionBy("node").orderBy("df", "w"))).where(F.col("rn") <= F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1)
-    a, b = rare.select(F.col("w"), F.col("node").alias("a")), rare.select(F.col("w"), F.col("node").alias("b"))
-    pairs = a.join(b, "w").where("a < b").select("a", "b").distinct()
+    a, b = rare.where(F.col("n") > long).select("w", F.col("node").alias("a")), rare.select("w", F.col("node").alias("b"), F.col("n").alias("m"))
+    pairs = a.join(b, "w").where((F.col("a") < F.col("b")) | (F.col("a") != F.col("b")) & (F.col("m") <= long)).select("a", "b").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("t").alias(f"t{x}"), F.col("age").alias(f"g{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("ta", "tb"))
@@ -151,9 +216,14 @@ def dedupe(articles: DataFrame, share: float = 0.7) -> DataFrame:
     edges = cut(alike.select(F.when(newer, F.col("a")).otherwise(F.col("b")).alias("new"), F.when(newer, F.col("b")).otherwise(F.col("a")).alias("old")))
     state = cut(nodes.select("node", F.lit(None).cast("boolean").alias("kept")))
     while True:
+        now = members.join(state, "node").where(F.coalesce("kept", F.lit(True)))
+        newest = now.groupBy("key", F.col("side").alias("other")).agg(F.max(F.when(F.col("kept"), F.col("age"))).alias("kept_age"), F.max(F.when(F.col("kept").isNull(), F.col("age"))).alias("open_age"))
+        over = lambda x: F.max(F.coalesce(F.col(x) > F.col("age"), F.lit(False)))
+        met = now.where("kept IS NULL").join(newest, ["key", "other"]).groupBy(F.col("node").alias("old")).agg(over("kept_age").alias("kept_newer"), over("open_age").alias("open_newer"))
         seen = edges.join(state.select(F.col("node").alias("new"), F.col("kept").alias("k")), "new").groupBy("old").agg(
             F.max(F.coalesce("k", F.lit(False))).alias("kept_newer"), F.max(F.col("k").isNull()).alias("open_newer")
         )
+        seen = seen.unionByName(met).groupBy("old").agg(F.max("kept_newer").alias("kept_newer"), F.max("open_newer").alias("open_newer"))
         nxt = state.join(seen.withColumnRenamed("old", "node"), "node", "left")
         now = F.when(F.coalesce("kept_newer", F.lit(False)), False).when(~F.coalesce("open_newer", F.lit(False)), True)
         state = cut(nxt.select("node", F.coalesce("kept", now).alias("kept")))

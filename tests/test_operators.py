@@ -218,6 +218,37 @@ def test_dedupe_keeps_the_newest(spark):
     assert got[1] is False and got[2] is True and got[3] is False and got[4] is True and got[5] is True
 
 
+def test_dedupe_keeps_groups_and_not_their_pairs(spark, monkeypatch):
+    """400 titles that differ in one word are 79,800 pairs; what is written stays in proportion to the titles."""
+    import random
+
+    from citygrid.operators import storage
+
+    rng = random.Random(5)
+    rows = [(i, f"metro line opens in centre of the town today x{i}", f"2024-01-{1 + i % 28:02d}") for i in range(400)]
+    vocabulary = [f"w{i}" for i in range(9)] + ["metro", "line"]
+    rows += [(1000 + i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 30) if i % 7 else 3)), f"2024-02-{1 + i % 28:02d}") for i in range(150)]
+    long = [f"v{i}" for i in range(22)]
+    rows += [(2000 + i, " ".join(rng.sample(long, rng.randint(11, 22))), "2024-03-01") for i in range(60)]
+    most = []
+
+    def counted(df):
+        out = storage.cut(df)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(W, "cut", counted)
+    got = {r["id"]: r["kept"] for r in W.dedupe(spark.createDataFrame(rows, "id long, title string, published string")).collect()}
+    assert max(most) < 60_000
+    kept = []
+    want = {}
+    for i, title, _ in sorted(rows, key=lambda r: (r[2], -r[0]), reverse=True):
+        t = set(title.split()) - set(W.STOPS)
+        want[i] = not any(len(t & k) / len(t | k) >= 0.7 for k in kept)
+        kept += [t] if want[i] else []
+    assert got == want and 1 < sum(want.values()) < len(rows)
+
+
 def test_zone_index_sums_over_all_cells(spark):
     zones = layer(spark, 12, 15, lambda i, j: 0.0)
     events = [(0.9, 3.0, 4, 5), (0.9, 3.0, 4, 5), (-0.5, 2.0, 0, 14), (0.3, 1.0, 11, 0), (2000.0, 1.0, 6, 6)]
