@@ -449,3 +449,18 @@ def test_classifier_on_held_out_labels(spark):
     assert np.mean([kept[r["doc_id"]] for r in good]) >= 0.98
     assert np.mean([not kept[r["doc_id"]] for r in bad]) >= 0.85 and np.mean([not kept[r["doc_id"]] for r in seen]) >= 0.95
     assert got.count() == docs.count() + 2
+
+
+def test_words_of_letters_ask_the_merges_alone(monkeypatch):
+    """Every new word went through the tokenizer's normaliser and splitter, with a digit between words."""
+    from citygrid.llm.tokens import Encoder
+
+    e = Encoder(VOCABULARY)
+    texts = [
+        "The straße, élan vital... ÀÉÎ õ! Naïve; it's don't we'll 's x' 'tis", "ªº µm 12.5 a1, b2. 3rd ¿qué? ¡no! «si» word?! a.b c,d e-f", "Ĳssel Ωmega Word, STRASSE. ſtop ﬁre", "İstanbul, Kelvin. K",
+        "e\u0301lan. a\u0308, \u00e9 x\u0301", ". , ... ,;:!? a, b.. c!!! 0 00 1,0 .a ,b", "\xadsoft\xad hy\xadphen, \xb2 x\xb2. \xbd, \xd7. \xf7",
+    ]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.direct and e.encode(texts) == want == [e.encode([t])[0] for t in texts]
+    monkeypatch.setattr(e, "_ids", lambda texts: [1 / 0 for _ in texts])
+    assert len(e.encode(["Neverseen wördlings, alsoneverseen. ünseen!?"])[0]) > 16
